@@ -138,7 +138,8 @@ def json_shape(value: Column) -> Column:
     return (F.when(F.startswith(kind, F.lit("OBJECT")), "object")
             .when(F.startswith(kind, F.lit("ARRAY")), "array")
             .when(kind == "STRING", "str").when(kind == "BOOLEAN", "bool")
-            .when(kind == "BIGINT", "int").when(kind == "VOID", "NoneType").otherwise("float"))
+            .when(kind == "BIGINT", "int").when(kind == "VOID", "NoneType")
+            .when(kind.isNotNull(), "float"))
 
 
 def strict_json(text: Column) -> Column:
