@@ -20,6 +20,13 @@ def confidence_threshold(raw: object = None) -> float:
     return min(1.0, max(0.0, value))
 
 
+def threshold_column(raw: Column) -> Column:
+    """The same rule for settings kept in a column."""
+    value = F.coalesce(strip(raw).try_cast("double"), F.lit(K.DEFAULT_THRESHOLD))
+    value = F.when(value > 1, value / 100).otherwise(value)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+
+
 def low_confidence(confidence: Column, threshold: float = K.DEFAULT_THRESHOLD) -> Column:
     return F.coalesce(confidence, F.lit(0.0)) < F.lit(threshold)
 

@@ -238,3 +238,20 @@ INPUTS["order_rows"] = f"""
 SELECT o_custkey AS doc_id, o_orderkey AS order_key, {_DATE} AS day,
   CASE WHEN o_orderkey % 8 = 0 THEN ' ' WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderpriority END AS priority,
   {_PRICE} AS price FROM {{orders}}"""
+
+# Model responses in every state they arrive in, one per order.
+_FIELD = f"""chr(123) || '"field_name":" total ","value":"' || {_PRICE} || '","confidence":' || (o_orderkey % 130) || ',"source_snippet":"Total ' || o_orderkey || '"' || chr(125)"""
+_OTHER = f"""chr(123) || '"name":"payer","extracted_value":' || o_custkey || ',"confidence_score":"high","reasoning":"seen"' || chr(125)"""
+_EMPTY = """chr(123) || '"field_name":"gone","value":null' || chr(125) || ',' || chr(123) || '"value":"nameless"' || chr(125) || ',"loose"'"""
+_BODY = f"""chr(123) || '"fields":[' || {_FIELD} || ',' || {_OTHER} || ',' || {_EMPTY} || ']' || chr(125)"""
+INPUTS["responses"] = f"""
+SELECT o_orderkey AS doc_id, 'p' || (o_custkey % 2) AS provider, 'm1' AS model, CASE o_orderkey % 5
+  WHEN 0 THEN '```json' || chr(10) || {_BODY} || chr(10) || '```' WHEN 1 THEN 'Here you are: ' || {_BODY} || ' - done'
+  WHEN 2 THEN '[1, 2]' WHEN 3 THEN {_BODY} ELSE 'no json ' || chr(123) || ' at all' END AS response, {_PRICE} AS price,
+  o_custkey AS customer FROM {{orders}}"""
+_REVIEW = f"""chr(123) || '"summary":" Order ' || o_orderkey || ' ","confidence":' || (o_orderkey % 130) || ',"quality":"Needs Review"'
+  || CASE o_orderkey % 3 WHEN 0 THEN ',"issues":["late",""," ' || o_custkey || ' "]' WHEN 1 THEN ',"issues":[],"potential_issues":"one only"' ELSE '' END
+  || ',"consistency_checks":["sum ok"]' || chr(125)"""
+INPUTS["review_responses"] = f"""
+SELECT o_orderkey AS doc_id, 'p1' AS provider, 'm1' AS model, o_custkey AS customer, CASE WHEN o_orderkey % 4 = 3 THEN 'nothing useful'
+  WHEN o_orderkey % 4 = 2 THEN '```' || {_REVIEW} || '```' ELSE {_REVIEW} END AS response FROM {{orders}}"""
