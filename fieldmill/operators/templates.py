@@ -108,7 +108,7 @@ def record_prefix(name: Column) -> Column:
     return F.regexp_extract(name, r"(?s)^(records\[.*)\.[^.]*$", 1)
 
 
-def canonicalise(matched: DataFrame) -> DataFrame:
+def canonicalise(matched: DataFrame, *carried: str) -> DataFrame:
     """Official names and template columns for matched rows, suggestion names for the others."""
     m, known = F.col("match"), F.col("match").isNotNull()
     in_template = F.col("template_name").isNotNull()
@@ -125,7 +125,7 @@ def canonicalise(matched: DataFrame) -> DataFrame:
         "auto_accept": (F.col("auto_accept"), F.lit(True)),
     }
     return matched.select(
-        "doc_id", "pos", "doc_template", "template_name", *[
+        "doc_id", "pos", "doc_template", "template_name", *carried, *[
             (F.when(known, change[c][0]).when(in_template, change[c][1]).otherwise(F.col(c))
              if c in change else F.col(c)).alias(c) for c in FIELD_COLUMNS])
 
@@ -209,14 +209,21 @@ def apply_template(fields: DataFrame, catalogue: Catalogue,
                    documents: DataFrame | None = None) -> DataFrame:
     """Match, rename, collapse, add missing required rows, keep the rest as suggestions.
 
-    Rows without ``doc_template`` pass through.
+    Rows without ``doc_template`` pass through untouched. The others are shuffled once: official
+    rows meet under their name, suggestions keep a key of their own, and the found keys of a
+    document are read from the same shuffle.
     """
-    named = canonicalise(match_fields(fields, catalogue))
-    official = named.filter("standard_field_key is not null and template_name is not null")
-    others = named.filter("standard_field_key is null or template_name is null")
-    missing = missing_required(named, catalogue, documents)
-    return (collapse_duplicates(official).unionByName(missing).unionByName(others)
-            .drop("template_name"))
+    free = fields.filter("doc_template is null").select("doc_id", "pos", "doc_template", *FIELD_COLUMNS)
+    ruled = fields.filter("doc_template is not null").withColumn("_given", F.struct(
+        "pos", "field_name", "value", F.col("source.json_path").alias("path")))
+    named = canonicalise(match_fields(ruled, catalogue), "_given")
+    own = F.when(F.col("standard_field_key").isNull() | F.col("template_name").isNull(), F.col("_given"))
+    rest = [c for c in named.columns if c not in ("doc_id", "field_name", "_given")]
+    kept = named.groupBy("doc_id", "field_name", own.alias("_own")).agg(F.max_by(
+        F.struct(*rest), F.struct("confidence", -F.col("pos"))).alias("_b"))
+    kept = kept.select("doc_id", "field_name", *[F.col("_b")[c].alias(c) for c in rest])
+    missing = missing_required(kept, catalogue, documents)
+    return kept.unionByName(missing).drop("template_name").unionByName(free)
 
 
 def display_order(stored: DataFrame, catalogue: Catalogue) -> DataFrame:

@@ -131,25 +131,39 @@ def field_rows(processed: DataFrame) -> DataFrame:
     return processed.select("doc_id", F.inline("fields"))
 
 
-def process_structured(docs: DataFrame, catalogue: Catalogue,
-                       threshold: float = K.DEFAULT_THRESHOLD, max_depth: int = 8) -> DataFrame:
-    """CSV and JSON documents (doc_id, raw text in ``text``, parser_type, document_type_key) as
-    decided field rows; a template applies only where the document names one."""
+def structured_rows(docs: DataFrame, max_depth: int = 8) -> DataFrame:
+    """Raw field rows of CSV and JSON documents (doc_id, text, parser_type)."""
     csv = ingest.csv_records(ingest.parse_csv(docs.filter("parser_type = 'csv'")))
     parsed = ingest.parse_json(docs.filter("parser_type = 'json'")).filter("reject_reason is null")
     arrays, objects = parsed.filter("shape = 'array'"), parsed.filter("shape = 'object'")
     scalars = parsed.filter("shape not in ('array', 'object')")
-    cells = records.records_to_fields(csv).drop("record", "column_pos")
-    parts = [records.dataset_summary(csv).drop("pos"), cells,
-             records.dataset_summary(json_records(arrays), "json").drop("pos"),
+    parts = [records.records_to_fields(csv).drop("record", "column_pos"),
              records.json_array_fields(arrays, max_depth),
-             records.json_object_fields(objects, max_depth), records.json_scalar_fields(scalars)]
+             records.json_object_fields(objects, max_depth), records.json_scalar_fields(scalars),
+             records.dataset_summary(csv).drop("pos"),
+             records.dataset_summary(json_records(arrays), "json").drop("pos")]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    asked = docs.select("doc_id", F.col("document_type_key").alias("doc_template"))
-    rows = rows.withColumn("pos", F.lit(0)).join(asked, "doc_id")
-    return decide(validate_fields(apply_template(rows, catalogue)), threshold)
+    return rows.withColumn("pos", F.lit(0))
+
+
+def process_structured(docs: DataFrame, catalogue: Catalogue,
+                       threshold: float = K.DEFAULT_THRESHOLD, max_depth: int = 8,
+                       with_templates: bool = True) -> DataFrame:
+    """CSV and JSON documents (doc_id, text, parser_type, document_type_key) as decided field rows.
+
+    A template applies only where the document names one; those documents are split off first, so
+    that all others stay free of its shuffle. ``with_templates=False``: no document names one.
+    """
+    free = docs.filter("document_type_key is null") if with_templates else docs
+    rows = structured_rows(free, max_depth)
+    if with_templates:
+        asked = docs.filter("document_type_key is not null")
+        ruled = structured_rows(asked, max_depth).join(
+            asked.select("doc_id", F.col("document_type_key").alias("doc_template")), "doc_id")
+        rows = rows.unionByName(apply_template(ruled, catalogue).drop("doc_template"))
+    return decide(validate_fields(rows), threshold)
 
 
 def json_records(arrays: DataFrame) -> DataFrame:

@@ -126,7 +126,8 @@ def labelled(texts: str) -> str:
           SELECT l.doc_id, l.template, l.line_no, l.line, l.start_char AS line_start, f.fkey, f.forder, f.dtype,
             f.req, f.label,
             regexp_extract(l.line, '(?i){K.LABEL_PREFIX}' || f.pat || '{K.LABEL_SEPARATOR}(.+?)\\s*$', 1) AS raw
-          FROM {line_rows(texts)} l JOIN {label_rows} f ON l.template = f.template) m
+          FROM {line_rows(texts)} l JOIN {label_rows} f ON l.template = f.template
+            AND contains(lower(l.line), string_split(f.label, ' ')[1])) m
       WHERE raw <> '') v WHERE value <> '') o WHERE rn = 1)"""
 
 

@@ -23,11 +23,13 @@ pick AS MATERIALIZED (SELECT doc_id, template FROM {D.inferred('docs')} i),
 lab AS MATERIALIZED (SELECT * FROM {D.labelled("(SELECT d.doc_id, d.text, p.template FROM docs d JOIN pick p ON p.doc_id = d.doc_id)")} l),
 full_ AS (SELECT l.doc_id FROM lab l JOIN (SELECT template, count(*) AS c FROM {D.template_fields()} f WHERE req GROUP BY template) n
   ON n.template = l.template WHERE req GROUP BY l.doc_id, c HAVING count(*) = c),
-rows_ AS (SELECT doc_id, forder AS pos, fkey AS field_name, value, CAST(0.98 AS DOUBLE) AS confidence, true AS auto FROM lab
+rows_ AS MATERIALIZED (SELECT doc_id, forder AS pos, fkey AS field_name, value, CAST(0.98 AS DOUBLE) AS confidence, true AS auto FROM lab
   UNION ALL SELECT doc_id, 100 + p, field_name, value, confidence, false FROM {_generic('docs')} g WHERE doc_id NOT IN (SELECT doc_id FROM full_)),
 syn AS (SELECT *, unnest(synonyms) AS s FROM {D.template_fields()} x),
-tagged AS (SELECT r.*, p.template, (SELECT min(forder) FROM syn WHERE syn.template = p.template AND list_contains({D.candidates('r.field_name')}, syn.s)) AS ord
-  FROM rows_ r LEFT JOIN pick p ON p.doc_id = r.doc_id),
+cand AS (SELECT r.doc_id, r.pos, p.template, unnest({D.candidates('r.field_name')}) AS c FROM rows_ r JOIN pick p ON p.doc_id = r.doc_id),
+hit AS (SELECT doc_id, pos, min(forder) AS ord FROM cand JOIN syn ON syn.template = cand.template AND syn.s = cand.c GROUP BY doc_id, pos),
+tagged AS MATERIALIZED (SELECT r.*, p.template, hit.ord FROM rows_ r LEFT JOIN pick p ON p.doc_id = r.doc_id
+  LEFT JOIN hit ON hit.doc_id = r.doc_id AND hit.pos = r.pos),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY confidence DESC, pos) AS rn FROM tagged WHERE ord IS NOT NULL) WHERE rn = 1),
 named AS (
   SELECT b.doc_id, f.fkey AS field_name, b.value, b.confidence, b.auto, f.fkey AS standard_field_key, f.dtype AS data_type, f.req AS required
@@ -100,4 +102,4 @@ def process_structured(t: Tables):
     js = t.json_docs.select("doc_id", "text", F.lit("json").alias("parser_type"))
     cs = t.csv_docs.select((F.col("doc_id") + 1000000000).alias("doc_id"), "text", F.lit("csv").alias("parser_type"))
     docs = js.unionByName(cs).withColumn("document_type_key", F.lit(None).cast("string"))
-    return P.process_structured(docs, BUNDLED).select("doc_id", "field_name", "value", "validation_status", "accepted")
+    return P.process_structured(docs, BUNDLED, with_templates=False).select("doc_id", "field_name", "value", "validation_status", "accepted")
