@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 from fieldmill import constants as K
 from fieldmill.functions.common import is_blank, strip
@@ -52,7 +53,7 @@ def cheap_review_confidence(confidence: Column, original: Column, reviewed: Colu
             .when((a == "") | (b == ""), 0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, 4 places (the one measure Spark has no expression for)."""
     from difflib import SequenceMatcher

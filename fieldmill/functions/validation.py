@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from fieldmill import constants as K
-from fieldmill.functions.common import is_blank, parse_amount, strings, strip, title
+from fieldmill.functions.common import bind, is_blank, parse_amount, strings, strip, title
 from fieldmill.schemas import RULES
 
 DATE_SHAPE = r"^([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[-/][0-9]{1,2}[-/]([0-9]{4}|[0-9]{2}))$"
@@ -20,56 +20,71 @@ def is_email(text: Column) -> Column:
     return F.rlike(text, F.lit(K.EMAIL_FULL))
 
 
-def validate(name: Column, value: Column, data_type: Column, required: Column,
-             rules: Column | None = None) -> Column:
-    """struct(status, message, rule, requires_review); the first branch that applies wins."""
+def check(value: Column, data_type: Column, required: Column, rules: Column | None = None) -> Column:
+    """struct(rule, ok, detail): the first rule that applies and its verdict, each tested once."""
     rules = F.lit(None).cast(RULES) if rules is None else rules
     text = strip(value)
     kind = F.lower(F.coalesce(data_type, F.lit("string")))
     required = F.coalesce(required, F.lit(False))
-    say = K.VALIDATION_TEXT
-
-    def result(status, message, rule, review):
-        return F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(n) for n, x in (
-            ("status", status), ("message", message), ("rule", rule), ("requires_review", review))])
+    none = F.lit(None).cast("string")
 
-    def verdict(ok, good, bad, rule):
-        ok = F.coalesce(ok, F.lit(False))
-        bad = bad if isinstance(bad, Column) else F.lit(bad)
-        return result(F.when(ok, "valid").otherwise("invalid"),
-                      F.when(ok, F.lit(good)).otherwise(bad), rule, ~ok)
+    def result(rule, ok, detail=none):
+        ok = F.coalesce(ok, F.lit(False)) if isinstance(ok, Column) else F.lit(ok)
+        return F.struct(F.lit(rule).alias("rule"), ok.alias("ok"), detail.alias("detail"))
 
     def given(listed, default):
         return F.when(F.size(listed) > 0, listed).otherwise(strings(default))
 
+    def money(amount):
+        symbol = F.exists(given(rules["currencies"], K.DEFAULT_CURRENCIES),
+                          lambda c: F.contains(F.lower(text), F.lower(c)))
+        return (amount.isNotNull()
+                & (~F.coalesce(rules["require_currency_symbol"], F.lit(False)) | symbol)
+                & (rules["min"].isNull() | (amount >= rules["min"])))
+
     amount = parse_amount(text)
-    currencies = given(rules["currencies"], K.DEFAULT_CURRENCIES)
-    symbol = F.exists(currencies, lambda c: F.contains(F.lower(text), F.lower(c)))
-    money = (amount.isNotNull()
-             & (~F.coalesce(rules["require_currency_symbol"], F.lit(False)) | symbol)
-             & (rules["min"].isNull() | (amount >= rules["min"])))
     allowed = given(rules["allowed"], K.DEFAULT_CODES)
     code = F.array_contains(F.transform(allowed, lambda c: F.upper(c)), F.upper(text))
     minimum = F.coalesce(rules["min_length"], F.when(required, 1).otherwise(0))
+    blank = is_blank(value)
     return (
-        F.when(is_blank(value) & required, result(
-            "missing_required", F.concat(title(F.replace(name, F.lit("_"), F.lit(" "))),
-                                         F.lit(say["missing"])), "required", True))
-        .when(is_blank(value), result("not_applicable", say["optional"], "optional_empty", False))
-        .when(kind == "email", verdict(is_email(text), *say["email"], "email"))
-        .when(kind == "date", verdict(is_date(text), *say["date"], "date"))
-        .when(kind == "currency", verdict(money, *say["currency"], "currency"))
-        .when(kind == "currency_code", verdict(code, say["currency_code"][0], F.concat(
-            F.lit(say["currency_code"][1]), F.array_join(allowed, ", "), F.lit(".")),
-            "currency_code"))
-        .when(kind == "percentage", verdict(amount.between(0, 100), *say["percentage"],
-                                            "percentage"))
-        .when(kind == "number", verdict(amount.isNotNull(), *say["number"], "number"))
-        .when(kind == "integer", verdict(amount == F.floor(amount), *say["number"], "integer"))
-        .when(F.length(text) < minimum, result(
-            "invalid", F.concat(F.lit(say["min_length"][0]), minimum.cast("string"),
-                                F.lit(say["min_length"][1])), "string_min_length", True))
-        .when((F.coalesce(rules["pattern"], F.lit("")) != "")
-              & ~F.rlike(text, rules["pattern"]),
-              result("invalid", say["pattern"], "regex", True))
-        .otherwise(result("valid", say["string"], "string", False)))
+        F.when(blank & required, result("required", False)).when(blank, result("optional_empty", True))
+        .when(kind == "email", result("email", is_email(text)))
+        .when(kind == "date", result("date", is_date(text)))
+        .when(kind == "currency", result("currency", money(amount)))
+        .when(kind == "currency_code", result("currency_code", code, F.array_join(allowed, ", ")))
+        .when(kind == "percentage", result("percentage", amount.between(0, 100)))
+        .when(kind == "number", result("number", amount.isNotNull()))
+        .when(kind == "integer", result("integer", amount == F.floor(amount)))
+        .when(F.length(text) < minimum, result("string_min_length", False, minimum.cast("string")))
+        .when((F.coalesce(rules["pattern"], F.lit("")) != "") & ~F.rlike(text, rules["pattern"]),
+              result("regex", False))
+        .otherwise(result("string", True)))
+
+
+def explain(checked: Column, name: Column) -> Column:
+    """struct(status, message, rule, requires_review) of a check."""
+    rule, ok, detail, say = checked["rule"], checked["ok"], checked["detail"], K.VALIDATION_TEXT
+    status = (F.when(rule == "required", "missing_required").when(rule == "optional_empty", "not_applicable")
+              .when(ok, "valid").otherwise("invalid"))
+    message = F.when(rule == "required", F.concat(
+        title(F.replace(name, F.lit("_"), F.lit(" "))), F.lit(say["missing"])))
+    message = message.when(rule == "optional_empty", say["optional"])
+    for kind in ("string", "email", "date", "currency", "currency_code", "percentage", "number", "integer"):
+        good = say["number" if kind == "integer" else kind]
+        message = message.when((rule == kind) & ok, good if kind == "string" else good[0])
+    for kind in ("email", "date", "currency", "percentage", "number", "integer"):
+        message = message.when(rule == kind, say["number" if kind == "integer" else kind][1])
+    message = (message
+               .when(rule == "currency_code", F.concat(F.lit(say["currency_code"][1]), detail, F.lit(".")))
+               .when(rule == "string_min_length", F.concat(
+                   F.lit(say["min_length"][0]), detail, F.lit(say["min_length"][1])))
+               .otherwise(say["pattern"]))
+    return F.struct(status.alias("status"), message.alias("message"), rule.alias("rule"),
+                    (~ok).alias("requires_review"))
+
+
+def validate(name: Column, value: Column, data_type: Column, required: Column,
+             rules: Column | None = None) -> Column:
+    """struct(status, message, rule, requires_review) in one expression."""
+    return bind(check(value, data_type, required, rules), lambda c: explain(c, name))

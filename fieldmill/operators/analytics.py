@@ -8,7 +8,7 @@ from pyspark.sql.types import BinaryType, DateType, StringType, TimestampNTZType
 from fieldmill import constants as K
 from fieldmill.functions import labels as L
 from fieldmill.functions.review import blocks_approval
-from fieldmill.operators.review import mean
+from fieldmill.operators.review import mean, mean_units
 from fieldmill.operators.skew import row_index
 
 SEARCHED = ["filename", "content_type", "parser_type", "document_type_key", "document_type_label",
@@ -216,12 +216,10 @@ def record_stats(documents: DataFrame) -> DataFrame:
 
 def record_list(documents: DataFrame, scored: DataFrame) -> DataFrame:
     """Per document: number of fields and average review confidence in percent."""
-    per = scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("fields"), F.avg(
-        F.col("review_confidence").cast("decimal(10,6)")).alias("_avg"))
+    per = scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("fields"),
+                                       mean_units("review_confidence", 2).alias("review_percent"))
     return documents.join(per, "doc_id", "left").select(
-        "doc_id", "status", F.coalesce("fields", F.lit(0)).alias("fields"),
-        F.floor(F.col("_avg") * 100 + F.lit(0.5).cast("decimal(2,1)")).cast("bigint")
-        .alias("review_percent"))
+        "doc_id", "status", F.coalesce("fields", F.lit(0)).alias("fields"), "review_percent")
 
 
 def client_stats(documents: DataFrame, fields: DataFrame) -> DataFrame:

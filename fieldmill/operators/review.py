@@ -8,25 +8,36 @@ from fieldmill import constants as K
 from fieldmill.catalogue import Catalogue
 from fieldmill.functions import review as R
 from fieldmill.functions.common import is_blank, percent, strip
-from fieldmill.functions.validation import validate
+from fieldmill.functions.validation import check, explain, validate
 from fieldmill.operators.skew import day_bucket, previous_values, keyed_join
 from fieldmill.operators.templates import match_fields
 
 AUDIT_COLUMNS = ["doc_id", "action", "actor", "details"]
 
 
+def mean_units(c: str, places: int) -> Column:
+    """Average of a score in units of its last place, half up, as an exact integer.
+
+    Scores are summed as millionths, so neither the row order nor the partitioning matters.
+    """
+    total = F.sum(F.round(F.col(c) * 1_000_000).cast("bigint"))
+    unit = F.count(F.col(c)) * 10 ** (6 - places)
+    top, below = 2 * total + unit, 2 * unit
+    return F.when(below > 0, ((top - F.pmod(top, below)) / below).cast("bigint"))
+
+
 def mean(c: str, places: int) -> Column:
-    """Exact average of a score (summed as decimals, so the row order does not matter)."""
-    return F.round(F.avg(F.col(c).cast("decimal(10,6)")).cast("double"), places)
+    return mean_units(c, places) / 10 ** places
 
 
 # --- decisions -------------------------------------------------------------------------------
 
 def validate_fields(fields: DataFrame) -> DataFrame:
     """Adds validation_status, validation_message, validation_rule, requires_review."""
-    checked = fields.withColumn("_v", validate(
-        F.coalesce("standard_field_key", "field_name"), F.col("value"), F.col("data_type"),
-        F.col("required"), F.col("rules")))
+    ident = F.coalesce("standard_field_key", "field_name")
+    checked = fields.withColumn("_c", check(
+        F.col("value"), F.col("data_type"), F.col("required"), F.col("rules"))).withColumn(
+        "_v", explain(F.col("_c"), ident))
     return checked.select(
         *fields.columns, F.col("_v.status").alias("validation_status"),
         F.col("_v.message").alias("validation_message"), F.col("_v.rule").alias("validation_rule"),
@@ -211,8 +222,8 @@ def fold_actions(fields: DataFrame, actions: DataFrame) -> DataFrame:
          .withColumn("refusal", F.coalesce("refusal", F.when(
              correct & is_blank(F.col("new_value")), K.REFUSED_VALUE))))
     ident = F.coalesce(F.nullif(F.col("standard_field_key"), F.lit("")), F.col("new_name"))
-    check = lambda v: validate(ident, v, F.col("data_type"), F.col("required"))
-    a = a.withColumn("_v", check(F.col("new_value"))).withColumn("_o", check(F.col("old_value")))
+    result = lambda v: validate(ident, v, F.col("data_type"), F.col("required"))
+    a = a.withColumn("_v", result(F.col("new_value"))).withColumn("_o", result(F.col("old_value")))
     settled = F.when(F.coalesce("prev__any", F.lit(False)) & ~is_blank(F.col("old_value")),
                      ~F.col("_o.requires_review")).otherwise(F.col("_settled"))
     same = (F.col("new_value") == F.col("old_value")) & (F.col("new_name") == F.col("old_name"))

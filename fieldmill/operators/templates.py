@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldmill import constants as K
 from fieldmill.catalogue import Catalogue
-from fieldmill.functions.common import bind, is_blank, normalize_key
+from fieldmill.functions.common import bind, is_blank, normalize_key, strings
 from fieldmill.schemas import FIELD_COLUMNS, field
 
 UNKNOWN_ORDER = 9999
@@ -27,12 +25,13 @@ def template_scores(low: Column, catalogue: Catalogue) -> Column:
     for term in terms:
         stem = next((g for g in groups if g in term), term)
         groups.setdefault(stem, []).append(term)
-    stems = F.from_json(F.lit(json.dumps([dict(stem=g, terms=ts) for g, ts in groups.items()])),
-                        "array<struct<stem:string,terms:array<string>>>")
-    table = F.from_json(F.lit(json.dumps([
-        dict(back=-i, key=t.key, weights={x: t.terms().count(x) for x in t.terms()})
-        for i, t in enumerate(catalogue.templates)])),
-        "array<struct<back:int,key:string,weights:map<string,int>>>")
+    # built from plain literals, which Spark folds into one constant
+    stems = F.array(*[F.struct(F.lit(g).alias("stem"), strings(ts).alias("terms"))
+                      for g, ts in groups.items()])
+    table = F.array(*[F.struct(
+        F.lit(-i).alias("back"), F.lit(t.key).alias("key"), F.create_map(*[
+            F.lit(v) for x in dict.fromkeys(t.terms()) for v in (x, t.terms().count(x))]).alias("weights"))
+        for i, t in enumerate(catalogue.templates)])
 
     def hits(text):
         found = F.filter(stems, lambda g: F.contains(text, g["stem"]))

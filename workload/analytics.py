@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from fieldmill import constants as K
 from fieldmill.operators import analytics as Q
-from workload.registry import TABLES, Tables, q, query
-from workload.review import SCORED, displayed, scored
+from workload import duck as D
+from workload.registry import TABLES, Tables, query
+from workload.review import SCORED, scored
 
 _STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -117,11 +118,9 @@ def field_metrics(t: Tables):
     return Q.field_metrics(t.stored_fields, t.correction_log, t.audit_log)
 
 
-_MEAN = "round(CAST(sum(CAST({0} AS DECIMAL(10,6))) AS DOUBLE) / count(*), 4)"
-
-
 @query("average_confidence", f"""
-SELECT {_MEAN.format('confidence')} AS avg_confidence, {_MEAN.format('review_confidence')} AS avg_review_confidence FROM {SCORED} s""")
+SELECT {D.mean_units('confidence', 4)} / 10000 AS avg_confidence, {D.mean_units('review_confidence', 4)} / 10000 AS avg_review_confidence
+FROM {SCORED} s""")
 def average_confidence(t: Tables):
     return Q.average_confidence(scored(t))
 
@@ -150,7 +149,7 @@ def record_stats(t: Tables):
 
 @query("record_list", f"""
 SELECT d.doc_id, d.status, coalesce(n, 0) AS fields, review_percent FROM @app_documents d LEFT JOIN (SELECT doc_id, count(*) AS n,
-  CAST(floor(sum(CAST(review_confidence AS DECIMAL(10,6))) * 100 / count(*) + 0.5) AS BIGINT) AS review_percent FROM {SCORED} s GROUP BY doc_id) f
+  {D.mean_units('review_confidence', 2)} AS review_percent FROM {SCORED} s GROUP BY doc_id) f
 ON f.doc_id = d.doc_id""")
 def record_list(t: Tables):
     return Q.record_list(t.app_documents, scored(t))

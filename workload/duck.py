@@ -35,6 +35,12 @@ def amount(x: str) -> str:
     return f"try_cast(regexp_replace({x}, '[^0-9.\\-]', '', 'g') AS DOUBLE)"
 
 
+def mean_units(x: str, places: int) -> str:
+    """Half-up average in units of the last place, in whole numbers."""
+    unit = f"(count({x}) * {10 ** (6 - places)})"
+    return f"((2 * CAST(sum(CAST(round({x} * 1000000) AS BIGINT)) AS BIGINT) + {unit}) // (2 * {unit}))"
+
+
 def title(x: str) -> str:
     return (f"array_to_string(list_transform(regexp_extract_all(lower({x}), '[a-z]+|[^a-z]+'), "
             "lambda p: upper(p[1]) || p[2:]), '')")

@@ -94,7 +94,8 @@ def model_eligible(t: Tables):
 _REQ = f"(SELECT doc_id, sha256(text) AS cache_key, text FROM documents)"
 _CACHE = f"""(SELECT cache_key, min(left(text, 40)) AS fields, 1 AS use_count, TIMESTAMP '2024-01-01 00:00:00' AS last_used_at
   FROM {_REQ} r WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY cache_key)"""
-_NOW = F.lit("2024-06-01 12:00:00").cast("timestamp")
+def _now():
+    return F.lit("2024-06-01 12:00:00").cast("timestamp")
 
 
 def cache(t: Tables):
@@ -116,7 +117,7 @@ def cache_lookup(t: Tables):
     req, stored = requests(t).drop("text"), cache(t)
     hits = A.cache_lookup(req, stored).select(F.lit("request").alias("kind"), "cache_key", "doc_id", "hit", "fields")
     miss = A.cache_misses(req, stored).select(F.lit("miss").alias("kind"), "cache_key", "doc_id", F.col("requests").alias("n"))
-    touched = A.cache_touch(stored, req, _NOW).select(
+    touched = A.cache_touch(stored, req, _now()).select(
         F.lit("cache").alias("kind"), "cache_key", "fields", F.col("use_count").alias("n"),
         F.date_format("last_used_at", "yyyy-MM-dd HH:mm:ss").alias("last_used_at"))
     return hits.unionByName(miss, allowMissingColumns=True).unionByName(touched, allowMissingColumns=True)
@@ -133,7 +134,7 @@ FROM {_CACHE} c FULL JOIN {_NEW} n ON n.cache_key = c.cache_key""")
 def cache_upsert(t: Tables):
     new = requests(t).join(t.labels.select("doc_id"), "doc_id", "left_anti").groupBy("cache_key").agg(
         F.concat(F.lit("new "), F.min("doc_id").cast("string")).alias("fields"))
-    return A.cache_upsert(cache(t), new, _NOW).withColumn(
+    return A.cache_upsert(cache(t), new, _now()).withColumn(
         "last_used_at", F.date_format("last_used_at", "yyyy-MM-dd HH:mm:ss"))
 
 

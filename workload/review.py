@@ -342,7 +342,7 @@ _MISS, _INV, _LOWC = f"(required AND {D.blank('value')})", "(validation_status =
 
 @query("reviewer_briefing", f"""
 WITH f AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE {_MISS}) AS n_m, count(*) FILTER (WHERE {_INV}) AS n_v, count(*) FILTER (WHERE {_LOWC}) AS n_l,
-  round(CAST(sum(CAST(confidence AS DECIMAL(10,6))) AS DOUBLE) / count(*), 3) AS c, {_TOP(_MISS, 'field_name')} AS m,
+  {D.mean_units('confidence', 3)} / 1000 AS c, {_TOP(_MISS, 'field_name')} AS m,
   {_TOP(_INV, "(field_name || ': ' || validation_message)")} AS v, {_TOP(_LOWC, 'field_name')} AS l FROM @stored_fields s GROUP BY doc_id),
 d AS (SELECT a.doc_id, a.filename, a.document_type_label, coalesce(n, 0) AS n, coalesce(n_m, 0) AS n_m, coalesce(n_v, 0) AS n_v, coalesce(n_l, 0) AS n_l,
   coalesce(c, 0) AS c, m, v, l FROM @app_documents a LEFT JOIN f ON f.doc_id = a.doc_id)

@@ -127,7 +127,7 @@ UNION ALL SELECT doc_id, 1, 0, 0, 0, pos, field_name, value FROM {_NAMED} n WHER
 @query("template_order", f"SELECT * FROM ({_ORDERED}) o")
 def template_order(t: Tables):
     rows = TP.order_columns(TP.apply_template(_with_rules(t), BUNDLED), BUNDLED)
-    return rows.select(*TP.ORDER_BY, "value").orderBy(*TP.ORDER_BY)
+    return rows.select(*TP.ORDER_BY, "value")
 
 
 @query("display_order", f"""
@@ -140,7 +140,7 @@ FROM @stored_fields s LEFT JOIN (SELECT DISTINCT template AS tk FROM {D.template
 LEFT JOIN {D.template_fields()} x ON x.template = s.doc_template
   AND x.fkey = coalesce(s.standard_field_key, list_last(string_split(s.field_name, '.')))""")
 def display_order(t: Tables):
-    return TP.display_order(t.stored_fields, BUNDLED).select(*TP.DISPLAY_BY).orderBy(*TP.DISPLAY_BY)
+    return TP.display_order(t.stored_fields, BUNDLED).select(*TP.DISPLAY_BY)
 
 
 @query("required_completeness", f"""
