@@ -163,7 +163,8 @@ def labelled_fields(text: Column, template_key: Column, any_label: Column,
 
     def search(segs):
         lines = F.transform(segs, lambda s, i: F.struct(i.alias("i"), strip(s).alias("line")))
-        able = F.filter(lines, lambda c: F.rlike(c["line"], any_label))
+        # regexp_extract keeps the last compiled pattern; rlike would compile it for every line
+        able = F.filter(lines, lambda c: extract(c["line"], any_label, 0) != "")
         return bind(able, lambda ls: F.when(F.size(ls) > 0, F.filter(
             F.transform(template_fields, lambda f: for_field(f, ls, segs)),
             lambda x: x.isNotNull())))

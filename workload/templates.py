@@ -20,8 +20,10 @@ _LOW = "(SELECT doc_id, lower(text) AS low FROM @all_texts a)"
 @query("infer_template", f"SELECT doc_id, template AS template_key, score FROM {D.inferred(_LOW)} i")
 def infer_template(t: Tables):
     best = F.array_max(TP.template_scores(F.lower("text"), BUNDLED))
-    return balanced(t.all_texts).select("doc_id", best.alias("b")).filter("b.score >= 2").select(
-        "doc_id", F.col("b.key").alias("template_key"), F.col("b.score").alias("score"))
+    # inline() keeps the expression in one place; a filter on it would be evaluated a second time
+    hit = F.filter(F.array(best), lambda b: b["score"] >= 2)
+    return balanced(t.all_texts).select("doc_id", F.inline(hit)).select(
+        "doc_id", F.col("key").alias("template_key"), "score")
 
 
 _MODES = """SELECT doc_id, text AS raw_text, CASE doc_id % 7 WHEN 0 THEN 'csv' ELSE parser_type END AS parser_type,
