@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldmill import constants as K
 from fieldmill.catalogue import Catalogue
 from fieldmill.functions import review as R
-from fieldmill.functions.common import bind, is_blank, normalize_key
+from fieldmill.functions.common import bind, is_blank, normalize_key, strip
 from fieldmill.functions.text import generic_fields, labelled_fields, with_template
 from fieldmill.functions.validation import validate
 from fieldmill.operators import ingest, records
@@ -134,9 +134,12 @@ def field_rows(processed: DataFrame) -> DataFrame:
 def structured_rows(docs: DataFrame, max_depth: int = 8) -> DataFrame:
     """Raw field rows of CSV and JSON documents (doc_id, text, parser_type)."""
     csv = ingest.csv_records(ingest.parse_csv(docs.filter("parser_type = 'csv'")))
-    parsed = ingest.parse_json(docs.filter("parser_type = 'json'")).filter("reject_reason is null")
-    arrays, objects = parsed.filter("shape = 'array'"), parsed.filter("shape = 'object'")
-    scalars = parsed.filter("shape not in ('array', 'object')")
+    # the first character says which branch can want a document, so none parses the others' texts
+    first = F.left(strip(F.regexp_replace("text", ingest.BOM, "")), F.lit(1))
+    js = docs.filter("parser_type = 'json'")
+    good = lambda df: ingest.parse_json(df).filter("reject_reason is null")
+    arrays, objects = good(js.filter(first == "[")), good(js.filter(first == "{"))
+    scalars = good(js.filter(~first.isin("[", "{")))
     parts = [records.records_to_fields(csv).drop("record", "column_pos"),
              records.json_array_fields(arrays, max_depth),
              records.json_object_fields(objects, max_depth), records.json_scalar_fields(scalars),
