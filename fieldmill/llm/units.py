@@ -34,31 +34,36 @@ BYTE_SIGNS = byte_signs()
 class UnitEncoder:
     """Ids come out as little-endian bytes of `width` bytes each.
 
-    encode_many: texts to id sequences. encode_word: a run of Latin letters, and whether a blank stands before it, to ids.
+    encode_many: texts to id sequences. encode_words: runs of Latin letters, and whether a blank stands before them, to ids.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], encode_word: Callable[[str, bool], list[int]] | None = None,
+    def __init__(self, encode_many: Callable[[list[str]], list], encode_words: Callable[[list[str], bool], list] | None = None,
                  width: int = 4, limit: int = UNITS_KEPT):
-        self.encode_many, self.encode_word, self.limit = encode_many, encode_word, limit
+        self.encode_many, self.encode_words, self.limit = encode_many, encode_words, limit
         self.code = {2: "H", 4: "I"}[width]
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], units: set[str], blank: bool) -> None:
-        code, word, others = self.code, self.encode_word, []
+        code, others, words, joined = self.code, [], set(), []
         for unit in units - known.keys():
-            match = LATIN.fullmatch(unit) if word else None
+            match = LATIN.fullmatch(unit) if self.encode_words else None
             if not match:
                 others.append(unit)
                 continue
             core, tail = match.groups()
-            ids = known.get(core)
-            if ids is None:
-                ids = known[core] = array(code, word(core, blank)).tobytes()
+            if core not in known:
+                words.add(core)
             if tail:
-                if tail not in self.plain:
-                    self._learn_many(self.plain, [tail], "")
-                known[unit] = ids + self.plain[tail]
+                joined.append((unit, core, tail))
+        if words:
+            fresh = list(words)
+            for word, ids in zip(fresh, self.encode_words(fresh, blank), strict=True):
+                known[word] = array(code, ids).tobytes()
+        for unit, core, tail in joined:
+            if tail not in self.plain:
+                self._learn_many(self.plain, [tail], "")
+            known[unit] = known[core] + self.plain[tail]
         if others:
             self._learn_many(known, others, " " if blank else "")
 
@@ -129,11 +134,13 @@ def library_encoder(path: str, drops_space: bool, width: int = 4) -> UnitEncoder
     def encode_many(texts: list[str]) -> list:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_word(word: str, blank: bool) -> list[int]:
+    def signs(word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
+
+    def encode_words(words: list[str], blank: bool) -> list[list[int]]:
         if drops_space:
-            word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(BYTE_SIGNS)
-        return [t.id for t in model.tokenize("Ġ" + word if blank else word)]
+            words = [w.lower() for w in words]
+        lead = BYTE_SIGNS[32] if blank else ""
+        return [[t.id for t in model.tokenize(lead + signs(w))] for w in words]
 
-    return UnitEncoder(encode_many, encode_word, width)
+    return UnitEncoder(encode_many, encode_words, width)
