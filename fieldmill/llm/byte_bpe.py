@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -174,22 +175,28 @@ class MatrixBpe:
         return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids of each whole text: every match of `pattern` encoded by itself."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, cut = MatrixBpe(read_ranks(ranks_path)), regex.compile(pattern)
+@lru_cache(maxsize=2)
+def unit_encoder(ranks_path: str, pattern: str) -> UnitEncoder:
+    """One per worker: it remembers units over the tasks."""
+    bpe, cut = MatrixBpe(read_ranks(ranks_path)), regex.compile(pattern)
+
+    def encode_many(units: list[str]) -> list[list[int]]:
+        found = [cut.findall(u) for u in units]
+        fresh = list({p for pieces in found for p in pieces})
+        ids = dict(zip(fresh, bpe.encode_pieces([p.encode() for p in fresh]), strict=True))
+        return [[t for p in pieces for t in ids[p]] for pieces in found]
 
-        def encode_many(units: list[str]) -> list[list[int]]:
-            found = [cut.findall(u) for u in units]
-            fresh = list({p for pieces in found for p in pieces})
-            ids = dict(zip(fresh, bpe.encode_pieces([p.encode() for p in fresh]), strict=True))
-            return [[t for p in pieces for t in ids[p]] for pieces in found]
+    def encode_words(words: list[str], blank: bool) -> list[list[int]]:
+        return bpe.encode_pieces([b" " + w.encode() if blank else w.encode() for w in words])
 
-        def encode_words(words: list[str], blank: bool) -> list[list[int]]:
-            return bpe.encode_pieces([b" " + w.encode() if blank else w.encode() for w in words])
+    # with public patterns a run of letters, with the blank before it, is one match
+    return UnitEncoder(encode_many, encode_words if cut.findall(" Abé abc.,!") == [" Abé", " abc", ".,!"] else None)
 
-        # with public patterns a run of letters, with the blank before it, is one match
-        encoder = UnitEncoder(encode_many, encode_words if cut.findall(" Abé abc.,!") == [" Abé", " abc", ".,!"] else None)
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, ids of each whole text: every match of `pattern` encoded by itself."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = unit_encoder(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = encoder.spaced_texts(texts(part))

@@ -2,7 +2,7 @@
 
 A tokenizer that never lets a piece cross from a non-space to a space gives a text the same ids as the sequence of its
 units (a unit: what stands between two such crossings). Units repeat, texts hardly do, so a worker remembers the ids of
-units it has met. `limit` bounds what it remembers; beyond it the memory starts anew, results don't change.
+units it has met, over all its tasks. `limit` bounds what it remembers; beyond it units met only once are forgotten.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable
+from functools import lru_cache
 
 #: White space other than blank and newline.
 ODD_SPACE = re.compile(r"[^\S \n]")
@@ -18,7 +19,7 @@ ODD_SPACE = re.compile(r"[^\S \n]")
 CROSSING = re.compile(r"(?<=\S)(?=[ \n])")
 #: One word of Latin letters and the stops behind it: two pieces for any of the tokenizers used here.
 LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!]*)")
-UNITS_KEPT = 1_000_000
+UNITS_KEPT = 500_000
 
 
 def byte_signs() -> dict[int, str]:
@@ -43,9 +44,21 @@ class UnitEncoder:
         self.code = {2: "H", 4: "I"}[width]
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.again: dict[int, set[str]] = {id(self.plain): set(), id(self.spaced): set()}
+
+    def _forget(self) -> None:
+        if len(self.plain) + len(self.spaced) <= self.limit:
+            return
+        for known in (self.plain, self.spaced):
+            again = self.again[id(known)]
+            held = {} if len(again) > self.limit // 3 else {u: known[u] for u in again}
+            known.clear()
+            known.update(held)
+            again.clear()
 
     def _learn(self, known: dict[str, bytes], units: set[str], blank: bool) -> None:
         code, others, words, joined = self.code, [], set(), []
+        self.again[id(known)].update(units & known.keys())
         for unit in units - known.keys():
             match = LATIN.fullmatch(unit) if self.encode_words else None
             if not match:
@@ -73,9 +86,7 @@ class UnitEncoder:
 
     def spaced_texts(self, texts: list[str]) -> list[bytes]:
         """For tokenizers that join a blank to the word behind it."""
-        if len(self.plain) + len(self.spaced) > self.limit:
-            self.plain.clear()
-            self.spaced.clear()
+        self._forget()
         firsts, rest, cut = {"\n"}, set(), []
         for text in texts:
             if not text:
@@ -112,8 +123,7 @@ class UnitEncoder:
 
     def separate_texts(self, texts: list[str]) -> list[bytes]:
         """For tokenizers that drop white space."""
-        if len(self.plain) > self.limit:
-            self.plain.clear()
+        self._forget()
         cut = [text.replace("\n", " ").split(" ") for text in texts]
         units: set[str] = set()
         for words in cut:
@@ -123,6 +133,7 @@ class UnitEncoder:
         return [b"".join(map(known, words)) for words in cut]
 
 
+@lru_cache(maxsize=2)
 def library_encoder(path: str, drops_space: bool, width: int = 4) -> UnitEncoder:
     """For a byte-level file of the tokenizers library; strings of special tokens are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
