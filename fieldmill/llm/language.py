@@ -32,6 +32,8 @@ ORDER = 4
 SAMPLE_ROWS = 2_000
 SAMPLE_BYTES = 1_500_000
 UNKNOWN = "und"
+#: Bits a byte beyond which a text is in none of the languages; their own texts take 2 to 4, random letters over 7.
+MOST_BITS = 6.5
 PREDICTED = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
 
@@ -177,39 +179,55 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = S
     return PpmModel.train(samples)
 
 
+def judged(part: pa.RecordBatch, ppm: PpmModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lang_pred, score, bits per byte) of the texts of a batch."""
+    names = np.array([*ppm.languages, UNKNOWN], object)
+    text = pc.utf8_lower(part.column("text").fill_null("")).cast(pa.large_string())
+    _, offsets, data = text.buffers()
+    ends = np.frombuffer(offsets, np.int64)[text.offset:text.offset + len(text) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
+    letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
+    best = np.full(len(text), len(ppm.languages))
+    score, rate = np.zeros(len(text)), np.zeros(len(text))
+    if ppm.languages and letters.any():
+        bits = ppm.code_lengths(raw, ends[1:] - ends[0])
+        least = bits.min(1)
+        share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+        best = np.where(letters, bits.argmin(1), best)
+        score = np.where(letters, share, 0.0)
+        rate = np.where(letters, least / np.maximum(1, np.diff(ends)), 0.0)
+    return names[best], score, rate
+
+
 def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
     """doc_id, lang_pred, score (share of the winner among all languages), bits_per_byte of its code."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm = shared.value
-        names = np.array([*ppm.languages, UNKNOWN], object)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                text = pc.utf8_lower(part.column("text").fill_null("")).cast(pa.large_string())
-                _, offsets, data = text.buffers()
-                ends = np.frombuffer(offsets, np.int64)[text.offset:text.offset + len(text) + 1]
-                raw = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
-                letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
-                if not ppm.languages:
-                    letters[:] = False
-                best = np.full(len(text), len(ppm.languages))
-                score, rate = np.zeros(len(text)), np.zeros(len(text))
-                if letters.any():
-                    bits = ppm.code_lengths(raw, ends[1:] - ends[0])
-                    least = bits.min(1)
-                    share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-                    best = np.where(letters, bits.argmin(1), best)
-                    score = np.where(letters, share, 0.0)
-                    rate = np.where(letters, least / np.maximum(1, np.diff(ends)), 0.0)
+                name, score, rate = judged(part, shared.value)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(rate)],
+                    [part.column("doc_id"), pa.array(name, pa.string()), pa.array(score), pa.array(rate)],
                     ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     return rows.mapInArrow(run, PREDICTED)
 
 
+def recognised(docs: DataFrame, model: PpmModel, most_bits: float = MOST_BITS) -> DataFrame:
+    """The documents in one of the model's languages, all columns as they are: not `und`, and a code of most_bits a byte at most."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                name, _, rate = judged(part, shared.value)
+                yield part.filter(pa.array((name != UNKNOWN) & (rate <= most_bits)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learns on the rows that are not held out and predicts all: doc_id, held_out, lang_pred, score, bits_per_byte."""
     return predict(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")

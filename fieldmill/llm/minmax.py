@@ -133,8 +133,8 @@ def classes(links: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+def rooted(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(every row: doc_id, row_key, n_shingles, node; every node: node, least doc_id, least row_key, root of its class)."""
     hasher = MinMax(bands, rows)
     every = stored(signed(docs, size, hasher), "minmax-signed")
     named = every.where("node is not null").groupBy("node").agg(
@@ -167,10 +167,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     if not more.isEmpty():
         label = classes(links.union(more))
 
-    root = named.join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    return every, stored(named.join(label, "node", "left").select(
+        "node", "least", "row_key", F.coalesce("root", "node").alias("root")), "minmax-rooted")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    every, root = rooted(docs, size, percent, bands, rows)
     least = root.groupBy("root").agg(F.min("least").alias("_component"))
     member = stored(root.join(least, "root").select("node", "_component"), "minmax-member")
     out = every.select("doc_id", "n_shingles", "node").join(member, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
+    """docs with one document of each class: the one of smallest doc_id (nulls last); columns as they are.
+
+    Documents with an empty set all stay. Of rows repeated with id and text one stays.
+    """
+    every, root = rooted(docs, size, percent, bands, rows)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "row_key")).alias("_first")
+    best = every.join(root.select("node", "root"), "node").groupBy("root").agg(first).select("_first.row_key")
+    best = stored(best, "minmax-best")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("_row_key")
+    keyed_docs = docs.select("*", key)
+    full = keyed_docs.join(best, F.col("_row_key") == best["row_key"], "left_semi")
+    if best.join(every, "row_key").groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        alone = full
+    else:
+        alone = full.dropDuplicates(["_row_key"])
+    empty = every.where("node is null").select("row_key").distinct()
+    return alone.unionByName(keyed_docs.join(empty, F.col("_row_key") == empty["row_key"], "left_semi")).drop("_row_key")

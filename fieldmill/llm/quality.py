@@ -50,19 +50,20 @@ def line_passes(line: Column) -> Column:
     return punctuation & ~navigation & ~boilerplate
 
 
-def line_first(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_kept_percent: int = 50) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, line_chars, kept_chars, cleaned.
+def line_first(docs: DataFrame, carry: list[str] | None = None, min_words: int = 50, max_repeat_percent: int = 50, min_kept_percent: int = 50) -> DataFrame:
+    """_row (struct of the columns in `carry`, doc_id if None), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, line_chars, kept_chars, cleaned.
 
     cleaned: the lines that pass, and lines without a word, in their order. kept: not base_failed, and the passing lines
     hold at least min_kept_percent of the characters of all lines (line_chars; both without white space at the ends).
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    rows = rows.select("doc_id", "_text", words_in(F.col("_text")).alias("_words"), F.transform(
+    row = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.col("doc_id").cast("long").alias("doc_id"))
+    rows = docs.select(row.alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    rows = rows.select("_row", "_text", words_in(F.col("_text")).alias("_words"), F.transform(
         F.split("_text", "\n", -1), lambda line: F.struct(line.alias("line"), F.btrim(line, F.lit(SPACES)).alias("bare"))).alias("_lines"))
     word, nothing = F.col("_words"), F.array().cast("array<bigint>")
     window = F.when(F.size(word) < 3, nothing).otherwise(F.transform(
         F.sequence(F.lit(0), F.size(word) - 3), lambda i: F.xxhash64(F.get(word, i), F.get(word, i + 1), F.get(word, i + 2))))
-    rows = rows.select("doc_id", "_text", "_lines", F.size(word).cast("long").alias("n_words"),
+    rows = rows.select("_row", "_text", "_lines", F.size(word).cast("long").alias("n_words"),
                        F.length(F.array_join(word, "")).cast("long").alias("word_chars"), window.alias("_hashes"))
     # windows in the order of their hashes; those equal to a neighbour stand twice or more
     rows = rows.withColumn("_sorted", F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -74,19 +75,26 @@ def line_first(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 5
     covered = F.aggregate(F.transform(rep, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(rep, k + 1) - x, F.lit(3)))),
                           F.lit(0), lambda total, x: total + x)
     worded = F.transform(F.filter("_lines", lambda x: x["bare"] != ""), lambda x: x["line"])
-    rows = rows.select("doc_id", "_text", "_lines", "n_words", "word_chars", covered.cast("long").alias("n_repeat_words"),
+    rows = rows.select("_row", "_text", "_lines", "n_words", "word_chars", covered.cast("long").alias("n_repeat_words"),
                        worded.alias("_worded"))
     full = F.transform("_lines", lambda x: F.struct(
         x["line"].alias("line"), x["bare"].alias("bare"), F.lower(x["bare"]).alias("low"),
         F.size(F.split(x["bare"], SPACE)).alias("n")))
     rows = rows.select(
-        "doc_id", "_lines", "n_words", "word_chars", (F.size(F.split("_text", SYMBOL, -1)) - 1).cast("long").alias("n_symbols"),
+        "_row", "_lines", "n_words", "word_chars", (F.size(F.split("_text", SYMBOL, -1)) - 1).cast("long").alias("n_symbols"),
         (F.size("_worded") - F.size(F.array_distinct("_worded"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         F.filter(full, lambda x: (x["bare"] == "") | line_passes(x)).alias("_passed"))
     chars = lambda lines: F.length(F.array_join(F.transform(lines, lambda x: x["bare"]), "")).cast("long")
     rows = rows.select("*", chars("_lines").alias("line_chars"), chars("_passed").alias("kept_chars"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     kept = ~failed & (100 * F.col("kept_chars") >= min_kept_percent * F.col("line_chars"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return rows.select("_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        failed.alias("base_failed"), kept.alias("kept"), "line_chars", "kept_chars",
                        F.array_join(F.transform("_passed", lambda x: x["line"]), "\n").alias("cleaned"))
+
+
+def cleaned_documents(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with their cleaned text (and its length in n_chars, where there is one); same columns."""
+    done = line_first(docs, docs.columns).where("kept")
+    now = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    return done.select(*[now.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmill.llm import byte_bpe, minmax, packing, token_files
+from fieldmill.llm import (
+    byte_bpe, hosts, language, licences, minmax, packing, quality, shards, token_files, topk,
+)
 from fieldmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_line_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality.line_first(table(spark, sf_dir, "documents"))
+    return done.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                       "line_chars", "kept_chars")
+
+
 @query("op2_token_files")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_files.token_places(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -40,12 +49,45 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op4_licence_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query("op5_minmax_duplicates")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+@query("op6_label_propagation_shards")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
+#: Host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+             ("com", "/de/", "block")]
+
+
+@query("op7_host_reputation")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), good.alias("good"))
+    return hosts.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES).drop("share", "bound")
+
+
+@query("op8_ppm_language")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).drop("bits_per_byte")
+
+
 @query("op9_histogram_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return done.withColumn("length", F.col("length").cast("long"))
+
+
+@query("op10_histogram_top_k")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
