@@ -79,7 +79,7 @@ def grams(raw: np.ndarray, size: int) -> np.ndarray:
     """The `size` bytes that end at each place, as one integer (places before size - 1 hold less)."""
     out = np.zeros(len(raw), np.int64)
     for k in range(size):
-        out[k:] += raw[:len(raw) - k].astype(np.int64) << (8 * k)
+        out[k:] += raw[:max(0, len(raw) - k)].astype(np.int64) << (8 * k)
     return out
 
 
@@ -92,6 +92,8 @@ class PpmModel:
     @classmethod
     def train(cls, samples: dict[str, list[bytes]], order: int = ORDER) -> PpmModel:
         languages = sorted(samples)
+        if not languages:
+            return cls([], [], [])
         counted = []  # by order, by language: (strings, counts)
         for k in range(order + 1):
             of = []

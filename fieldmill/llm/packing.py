@@ -132,4 +132,4 @@ def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    return packed(pieces(docs, tokenizer, capacity), capacity)
+    return packed(stored(pieces(docs, tokenizer, capacity), "packing-pieces"), capacity)  # the dealing reads them twice

@@ -95,6 +95,8 @@ def line_first(docs: DataFrame, carry: list[str] | None = None, min_words: int =
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their cleaned text (and its length in n_chars, where there is one); same columns."""
-    done = line_first(docs, docs.columns).where("kept")
+    done = line_first(docs, docs.columns)
     now = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
-    return done.select(*[now.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    row = F.struct(*[now.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    # a generator, not a filter: a filter would be pushed down with every expression above copied into it
+    return done.select(F.inline(F.when(F.col("kept"), F.array(row)).otherwise(F.array().cast(f"array<{docs.schema.simpleString()}>"))))

@@ -229,7 +229,7 @@ def fetch(found: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
         content = files["content"].iloc[0] if len(files) else b""
         ids = [np.frombuffer(content, "<u2", int(n), int(at)).tolist()
                for at, n in zip(asked["at"], asked["n_tokens"], strict=True)]
-        return pd.DataFrame({"doc_id": asked["doc_id"], "copy": asked["copy"], "ids": ids})
+        return pd.DataFrame({"doc_id": asked["doc_id"], "copy": asked["copy"], "ids": pd.Series(ids, asked.index, object)})
 
     return (found.groupBy("shard").cogroup(shard_files(spark, folder).groupBy("shard"))
             .applyInPandas(cut, "doc_id long, copy long, ids array<int>"))

@@ -8,8 +8,8 @@ candidate ids that each block needs.
 
 Vectors become floor(scale * x) as integers. Vectors that are null or empty, or hold null or non-finite components, take no part, nor do rows
 without id; only vectors of one length are multiplied with each other. Repeated ids are candidates each; a query is not
-its own candidate (rows with its id are left out). Fewer candidates than k: all of them. Scores outside 64 bits are held
-at its ends. Ties go to the smaller id.
+its own candidate (rows with its id are left out). Fewer candidates than k: all of them. Scores beyond
+2**62 - 1, either way, are held there. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from fieldmill.llm.common import stored
 QUERY_ROWS = 512
 CANDIDATE_ROWS = 4_096
 BINS = 1_024
-LIMIT = 2 ** 63 - 1
+LIMIT = 2 ** 62 - 1
 BLOCK = "dim int, blk long, n int, ids binary, kind string, data binary"
 
 

@@ -17,8 +17,8 @@ from functools import lru_cache
 ODD_SPACE = re.compile(r"[^\S \n]")
 #: From a non-space to a blank or newline.
 CROSSING = re.compile(r"(?<=\S)(?=[ \n])")
-#: One word of Latin letters and the stops behind it: two pieces for any of the tokenizers used here.
-LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!]*)")
+#: One word of Latin letters and the marks behind it (no apostrophe): two pieces for any of the tokenizers used here.
+LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 UNITS_KEPT = 500_000
 
 
