@@ -7,22 +7,11 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
 from fieldmill import constants as K
-from fieldmill.functions.common import is_blank, strip
-
-
-def confidence_threshold(raw: object = None) -> float:
-    """0..1; above 1 is a percentage; anything unreadable is the default."""
-    try:
-        value = float(str(raw).strip())
-    except ValueError:
-        value = K.DEFAULT_THRESHOLD
-    if value > 1:
-        value /= 100
-    return min(1.0, max(0.0, value))
+from fieldmill.functions.common import strip
 
 
 def threshold_column(raw: Column) -> Column:
-    """The same rule for settings kept in a column."""
+    """0..1; above 1 is a percentage; anything unreadable is the default."""
     value = F.coalesce(strip(raw).try_cast("double"), F.lit(K.DEFAULT_THRESHOLD))
     value = F.when(value > 1, value / 100).otherwise(value)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
@@ -55,10 +44,11 @@ def cheap_review_confidence(confidence: Column, original: Column, reviewed: Colu
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity, 4 places (the one measure Spark has no expression for)."""
+    """Ratcliff-Obershelp similarity, 4 places (the one measure Spark has no expression for); NULL where a text is."""
     from difflib import SequenceMatcher
-    return pd.Series([round(SequenceMatcher(None, x, y).ratio(), 4) for x, y in zip(a, b)],
-                     dtype="float64")
+    pairs = list(zip(a, b, strict=True))
+    ratio = {p: round(SequenceMatcher(None, *p).ratio(), 4) for p in set(pairs) if None not in p}
+    return pd.Series([ratio.get(p) for p in pairs], dtype="float64")
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
@@ -81,7 +71,3 @@ def blocks_approval(needs: Column, accepted: Column) -> Column:
 
 def blocked_by_validation(status: Column) -> Column:
     return F.coalesce(status, F.lit("")).isin("invalid", "missing_required")
-
-
-def found(c: Column) -> Column:
-    return ~is_blank(c)

@@ -175,18 +175,13 @@ def parse_json(uploads: DataFrame) -> DataFrame:
 
 # --- pages -----------------------------------------------------------------------------------
 
-def assemble_pages(pages: DataFrame, pages_per_volume: int = 10_000) -> DataFrame:
-    """Page rows (doc_id, page_no, text) -> document text, blank pages dropped.
-
-    A document longer than ``pages_per_volume`` pages comes as several rows (``volume`` 0, 1, ...)
-    whose texts follow each other, so a group never outgrows one task or one cell.
-    """
+def assemble_pages(pages: DataFrame) -> DataFrame:
+    """Page rows (doc_id, page_no, text) -> one text per document, blank pages dropped."""
     part = F.struct("page_no", F.concat(F.lit("--- Page "), F.col("page_no").cast("string"),
                                         F.lit(" ---\n"), strip(F.col("text"))).alias("text"))
     return (pages.filter(~is_blank(F.col("text")))
-            .groupBy("doc_id", F.floor(F.col("page_no") / pages_per_volume).alias("volume"))
-            .agg(F.array_sort(F.collect_list(part)).alias("_p"))
-            .select("doc_id", "volume", strip(F.array_join(
+            .groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("_p"))
+            .select("doc_id", strip(F.array_join(
                 F.transform("_p", lambda p: p["text"]), "\n\n")).alias("raw_text"),
                 F.lit("pdf_text").alias("parser_type")))
 

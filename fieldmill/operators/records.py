@@ -65,13 +65,27 @@ def dataset_summary(records: DataFrame, kind: str = "csv") -> DataFrame:
 
 # --- JSON ------------------------------------------------------------------------------------
 
-def flatten(df: DataFrame, value: str, max_depth: int = 8) -> DataFrame:
+def nesting(value: Column) -> Column:
+    """How deep containers stand inside each other in a VARIANT: its text without strings, bracket by bracket."""
+    bare = F.regexp_replace(F.regexp_replace(F.to_json(value), r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(depth, bracket):
+        now = depth["now"] + F.when(bracket.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(depth["most"], now).alias("most"))
+    return F.when(bare != "", F.aggregate(F.split(bare, ""), start, step, lambda d: d["most"])).otherwise(0)
+
+
+def flatten(df: DataFrame, value: str, max_depth: int | None = None) -> DataFrame:
     """VARIANT column -> one row per leaf: the other columns, path, leaf, too_deep.
 
     Each level is one lateral step and leaves pass through unchanged, so the JSON is parsed and
-    read once, in a single narrow stage. A leaf below ``max_depth`` is kept as its JSON text and
-    marked. Empty containers have no leaves.
+    read once, in a single narrow stage. Without ``max_depth`` the deepest value of ``df`` is found
+    first (one aggregate) and gives the number of levels. With it, a leaf below is kept as its JSON
+    text and marked. Empty containers have no leaves.
     """
+    if max_depth is None:
+        max_depth = df.agg(F.max(nesting(F.col(value))).alias("n")).first()["n"] or 0
     spark = df.sparkSession
     others = [c for c in df.columns if c != value]
     now = df.select(*others, F.lit("").alias("path"), F.col(value).alias("_v"),
@@ -106,7 +120,7 @@ def leaf_text(value: Column, kind: Column) -> Column:
             .otherwise(text))
 
 
-def json_array_fields(docs: DataFrame, max_depth: int = 8) -> DataFrame:
+def json_array_fields(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Arrays (doc_id, value VARIANT) -> `records[i].key[.suffix]` rows.
 
     A value below a key is flattened on its own, so a list under k shows as
@@ -134,7 +148,7 @@ def json_array_fields(docs: DataFrame, max_depth: int = 8) -> DataFrame:
     return _leaf_fields(rows.unionByName(plain), F.col("why"))
 
 
-def json_object_fields(docs: DataFrame, max_depth: int = 8) -> DataFrame:
+def json_object_fields(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Objects (doc_id, text, value) -> type, summary and key rows, then one row per leaf."""
     keys = F.array_join(F.json_object_keys("text"), ", ")
     head = F.array(

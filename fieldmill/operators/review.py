@@ -75,7 +75,7 @@ def display_values(fields: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def review_confidence(displayed: DataFrame, method: str = "sequence") -> DataFrame:
-    """Adds review_confidence. Text comparison runs once per distinct pair that needs one.
+    """Adds review_confidence in one pass. Only texts that need a comparison reach it, repeated pairs once per batch.
 
     method: `sequence` (Ratcliff-Obershelp, Arrow batches) or `levenshtein` (JVM only).
     """
@@ -85,12 +85,8 @@ def review_confidence(displayed: DataFrame, method: str = "sequence") -> DataFra
     a, b = R.for_review(F.col("extracted_value")), R.for_review(F.col("display_value"))
     if method == "levenshtein":
         return scored.withColumn("review_confidence", F.coalesce("review_confidence", R.edit_ratio(a, b)))
-    open_ = (scored.filter("review_confidence is null").drop("review_confidence")
-             .withColumn("_a", a).withColumn("_b", b))
-    pairs = open_.select("_a", "_b").distinct().withColumn(
-        "review_confidence", R.sequence_ratio("_a", "_b"))
-    compared = keyed_join(open_, pairs, ["_a", "_b"], "inner").drop("_a", "_b")
-    return scored.filter("review_confidence is not null").unionByName(compared)
+    return scored.withColumn("review_confidence", F.coalesce(
+        cheap, R.sequence_ratio(F.when(cheap.isNull(), a), F.when(cheap.isNull(), b))))
 
 
 def review_statuses(scored: DataFrame) -> DataFrame:

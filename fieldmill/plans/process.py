@@ -20,7 +20,6 @@ from fieldmill.operators.review import decide, validate_fields
 from fieldmill.operators.templates import (
     apply_template, name_candidates, resolve_template, strategy)
 from fieldmill.schemas import FIELD, field
-from fieldmill.sources.files import balanced
 
 EMPTY = f"array<{FIELD}>"
 
@@ -90,7 +89,7 @@ def process_text(docs: DataFrame, catalogue: Catalogue, threshold: float = K.DEF
     """
     carried = [c for c in docs.columns if c not in ("raw_text", "document_type_key")]
     profile = catalogue.profiles(docs.sparkSession)
-    d = resolve_template(balanced(docs), catalogue).join(F.broadcast(profile), "template_key", "left")
+    d = resolve_template(docs, catalogue).join(F.broadcast(profile), "template_key", "left")
     text = F.col("raw_text")
 
     def gather(labelled):
@@ -131,7 +130,7 @@ def field_rows(processed: DataFrame) -> DataFrame:
     return processed.select("doc_id", F.inline("fields"))
 
 
-def structured_rows(docs: DataFrame, max_depth: int = 8) -> DataFrame:
+def structured_rows(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Raw field rows of CSV and JSON documents (doc_id, text, parser_type)."""
     csv = ingest.csv_records(ingest.parse_csv(docs.filter("parser_type = 'csv'")))
     # the first character says which branch can want a document, so none parses the others' texts
@@ -152,7 +151,7 @@ def structured_rows(docs: DataFrame, max_depth: int = 8) -> DataFrame:
 
 
 def process_structured(docs: DataFrame, catalogue: Catalogue,
-                       threshold: float = K.DEFAULT_THRESHOLD, max_depth: int = 8,
+                       threshold: float = K.DEFAULT_THRESHOLD, max_depth: int | None = None,
                        with_templates: bool = True) -> DataFrame:
     """CSV and JSON documents (doc_id, text, parser_type, document_type_key) as decided field rows.
 

@@ -19,37 +19,12 @@ def read_uploads(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
         F.lit(None).cast("string").alias("content_type"), "content")
 
 
-def read_csv_table(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """One large CSV as a splittable table of strings."""
-    return spark.read.option("header", True).option("sep", separator).csv(path)
-
-
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """A folder of template files -> field rows; templates are ordered by file name."""
     files = spark.read.schema(TEMPLATE_FILE).json(path, multiLine=True)
     return template_fields(files.withColumn("file", F.col("_metadata.file_name")), "file")
 
 
-def wide_records(table: DataFrame, doc_id: Column, record: Column) -> DataFrame:
-    """A wide table as records: doc_id, record, cells (one per column, as text)."""
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"))
-                      for c in table.columns])
-    return table.select(doc_id.alias("doc_id"), record.cast("bigint").alias("record"), cells.alias("cells"))
-
-
-def balanced(df: DataFrame, small_bytes: int = 1 << 30) -> DataFrame:
-    """Deal out the rows of a small file-based table over all cores; larger ones stay as scanned.
-
-    A few megabytes in one file come as one task, whatever the text work per row. The size is
-    Spark's own estimate of the plan, so a large table is never shuffled for this.
-    """
-    spark = df.sparkSession
-    if df.isStreaming:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size < small_bytes else df
-
-
 def replace_by_document(old: DataFrame, new: DataFrame, documents: DataFrame) -> DataFrame:
     """Stored rows without those of the re-processed documents, plus the new rows."""
     return old.join(documents.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)

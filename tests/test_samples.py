@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fieldmill.catalogue import Catalogue
 from fieldmill.functions import labels as L
 from fieldmill.functions.common import normalize_key, parse_amount
-from fieldmill.functions.review import confidence_threshold
+from fieldmill.functions.review import threshold_column
 from fieldmill.functions.validation import validate
 from fieldmill.operators import ingest as I, records as R, results as A, templates as TP
 from fieldmill.plans import process as P
@@ -83,6 +83,15 @@ def test_json(spark):
         ("records[0].a", "1"), ("records[0].k.records[0]", "1"), ("records[0].k.records[1]", "2"), ("records[1]", "5")]
 
 
+def test_json_of_any_depth_is_flattened(spark):
+    text = '{"a":' * 9 + '{"b":["[{",1]}' + "}" * 9
+    docs = spark.createDataFrame([(1, text), (2, '{"x":1}'), (3, '"}{"')], "doc_id int, text string")
+    rows = R.flatten(I.parse_json(docs).select("doc_id", "value"), "value").collect()
+    deep = ".".join("a" * 9) + ".b"
+    assert sorted((r.path, r.leaf, r.too_deep) for r in rows) == sorted([
+        (deep + "[0]", "[{", False), (deep + "[1]", "1", False), ("x", "1", False), ("value", "}{", False)])
+
+
 def test_json_below_the_depth_is_kept_and_marked(spark):
     docs = spark.createDataFrame([(1, '{"a":{"b":{"c":1}}}')], "doc_id int, text string")
     rows = R.flatten(I.parse_json(docs).select("doc_id", "value"), "value", max_depth=2).collect()
@@ -105,7 +114,8 @@ def test_small_functions(spark):
         A.lenient_json_object(F.lit("[1]")).alias("c"), L.mode_label(F.lit("discovery")).alias("d"),
         L.pretty_json(F.lit("not json")).alias("e")).first()
     assert (r.a, r.b, r.c, r.d, r.e) == ("work_completed", 1250.0, None, "Free Extraction", "not json")
-    assert [confidence_threshold(x) for x in ("80", "1.5", "bad", "-3")] == [0.8, 0.015, 0.8, 0.0]
+    limits = spark.createDataFrame([("80",), ("1.5",), ("bad",), ("-3",)], "raw string")
+    assert [r[0] for r in limits.select(threshold_column(F.col("raw"))).collect()] == [0.8, 0.015, 0.8, 0.0]
 
 
 def test_scores_of_any_catalogue(spark):

@@ -118,13 +118,18 @@ def field_metrics(t: Tables):
     return Q.field_metrics(t.stored_fields, t.correction_log, t.audit_log)
 
 
-@query("average_confidence", f"""
-SELECT {D.mean_units('confidence', 4)} / 10000 AS avg_confidence, {D.mean_units('review_confidence', 4)} / 10000 AS avg_review_confidence
-FROM {SCORED} s""")
+@query("average_confidence")
 def average_confidence(t: Tables):
     return Q.average_confidence(scored(t))
 
 
+@query("average_confidence_edit", f"""
+SELECT {D.mean_units('confidence', 4)} / 10000 AS avg_confidence, {D.mean_units('review_confidence', 4)} / 10000 AS avg_review_confidence
+FROM {SCORED} s""")
+def average_confidence_edit(t: Tables):
+    return Q.average_confidence(scored(t, "levenshtein"))
+
+
 @query("review_queue", """
 WITH d AS (SELECT * FROM @app_documents x WHERE status = 'needs_review' ORDER BY updated_at DESC, doc_id DESC LIMIT 5)
 SELECT d.doc_id, coalesce(filename, 'Raw text document #' || d.doc_id) AS filename, status, <<show:updated_at>> AS updated_at,
@@ -147,12 +152,17 @@ def record_stats(t: Tables):
     return Q.record_stats(t.app_documents)
 
 
-@query("record_list", f"""
+@query("record_list")
+def record_list(t: Tables):
+    return Q.record_list(t.app_documents, scored(t))
+
+
+@query("record_list_edit", f"""
 SELECT d.doc_id, d.status, coalesce(n, 0) AS fields, review_percent FROM @app_documents d LEFT JOIN (SELECT doc_id, count(*) AS n,
   {D.mean_units('review_confidence', 2)} AS review_percent FROM {SCORED} s GROUP BY doc_id) f
 ON f.doc_id = d.doc_id""")
-def record_list(t: Tables):
-    return Q.record_list(t.app_documents, scored(t))
+def record_list_edit(t: Tables):
+    return Q.record_list(t.app_documents, scored(t, "levenshtein"))
 
 
 @query("client_stats", """

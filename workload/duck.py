@@ -89,9 +89,12 @@ def template_fields() -> str:
         for j, f in enumerate(t.fields):
             listed = lambda xs: "[" + ", ".join(q(x) for x in xs) + "]"
             rows.append(f"({q(t.key)}, {i}, {q(t.name)}, {j}, {q(f.key)}, {q(f.label)}, {q(f.data_type)}, "
-                        f"{str(f.required).lower()}, {listed(f.synonyms())}, {listed(f.labels())})")
-    return ("(SELECT * FROM (VALUES " + ", ".join(rows) +
-            ") v(template, torder, tname, forder, fkey, label, dtype, req, synonyms, labels))")
+                        f"{str(f.required).lower()}, {listed([f.key, f.label, *f.aliases])})")
+    synonyms = f"list_distinct(list_transform(names, lambda x: {label_key('x')}))"
+    labels = ("list_filter(list_distinct(list_transform(names, lambda x: trim(regexp_replace(lower(replace(x, '_', ' ')), "
+              "'[[:space:]]+', ' ', 'g')))), lambda x: x <> '')")
+    return (f"(SELECT * EXCLUDE (names), {synonyms} AS synonyms, {labels} AS labels FROM (VALUES " + ", ".join(rows) +
+            ") v(template, torder, tname, forder, fkey, label, dtype, req, names))")
 
 
 def template_terms() -> str:

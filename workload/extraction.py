@@ -10,7 +10,6 @@ from fieldmill.functions import labels as L, text as T
 from fieldmill.functions.common import normalize_key
 from fieldmill.operators import templates as TP
 from fieldmill.operators.analytics import run_metadata as run_metadata_of
-from fieldmill.sources.files import balanced
 from workload import duck as D
 from workload.registry import Tables, q, query
 
@@ -24,14 +23,14 @@ FROM (SELECT doc_id, lower(text) AS low, CASE doc_id % 6 WHEN 0 THEN 'csv' WHEN
 def classify_document(t: Tables):
     parser = F.expr("CASE doc_id % 6 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'pdf_text' "
                     "ELSE 'plain_text' END")
-    return balanced(t.all_texts).select("doc_id", T.classify(F.lower(F.col("text")), parser).alias("c")).select("doc_id", "c.*")
+    return t.all_texts.select("doc_id", T.classify(F.lower(F.col("text")), parser).alias("c")).select("doc_id", "c.*")
 
 
 @query("extractive_summary", f"""
 SELECT doc_id, summary, CAST(CASE WHEN summary <> '' THEN 0.7 ELSE 0.4 END AS DOUBLE) AS confidence
 FROM (SELECT doc_id, {D.summary('text')} AS summary FROM @all_texts a) s""")
 def extractive_summary(t: Tables):
-    return balanced(t.all_texts).select("doc_id", T.summary(F.col("text")).alias("summary")).withColumn(
+    return t.all_texts.select("doc_id", T.summary(F.col("text")).alias("summary")).withColumn(
         "confidence", F.when(F.col("summary") != "", 0.7).otherwise(0.4))
 
 
@@ -39,7 +38,7 @@ def _token(name: str, pattern: str, fn):
     @query(name, f"SELECT doc_id, v AS value FROM (SELECT doc_id, {D.find('text', pattern)} AS v "
                  "FROM @all_texts a) s WHERE v <> ''")
     def run(t: Tables):
-        return balanced(t.all_texts).select("doc_id", fn(F.col("text")).alias("value")).filter("value <> ''")
+        return t.all_texts.select("doc_id", fn(F.col("text")).alias("value")).filter("value <> ''")
 
 
 _token("extract_email", K.EMAIL_FIND, T.first_email)
@@ -54,7 +53,7 @@ SELECT doc_id, {D.snippet('text', 'v')} AS snippet FROM (
   FROM @all_texts a) s""")
 def context_snippet(t: Tables):
     value = F.when(F.col("doc_id") % 3 == 0, "NOT THERE").otherwise(T.first_amount(F.col("text")))
-    return balanced(t.all_texts).select("doc_id", T.snippet(F.col("text"), value).alias("snippet"))
+    return t.all_texts.select("doc_id", T.snippet(F.col("text"), value).alias("snippet"))
 
 
 _FOUND = " + ".join(f"CAST({D.find('text', p)} <> '' AS INT)" for p in (
@@ -65,7 +64,7 @@ _FOUND = " + ".join(f"CAST({D.find('text', p)} <> '' AS INT)" for p in (
 SELECT doc_id, {q(K.NO_FIELDS_VALUE)} AS value, CAST(0.48 AS DOUBLE) AS confidence, left(text, 220) AS snippet
 FROM @all_texts a WHERE {_FOUND} = 0""")
 def manual_review_reason(t: Tables):
-    fields = balanced(t.all_texts).select("doc_id", F.inline(T.generic_fields(F.col("text"), F.col("parser_type"))))
+    fields = t.all_texts.select("doc_id", F.inline(T.generic_fields(F.col("text"), F.col("parser_type"))))
     return fields.filter("field_name = 'needs_manual_review_reason'").select(
         "doc_id", "value", "confidence", "snippet")
 
@@ -93,7 +92,7 @@ def _generic(texts: str) -> str:
 @query("deterministic_fields", "WITH docs AS MATERIALIZED (SELECT *, lower(text) AS low FROM @all_texts a) "
        f"SELECT doc_id, field_name, value, confidence, snippet, reasoning FROM {_generic('docs')} g")
 def deterministic_fields(t: Tables):
-    return balanced(t.all_texts).select("doc_id", F.inline(T.generic_fields(F.col("text"), F.col("parser_type")))).select(
+    return t.all_texts.select("doc_id", F.inline(T.generic_fields(F.col("text"), F.col("parser_type")))).select(
         "doc_id", "field_name", "value", "confidence", "snippet", "reasoning")
 
 
@@ -101,7 +100,7 @@ def deterministic_fields(t: Tables):
 SELECT doc_id, line_no AS line, start_char AS start, line AS text
 FROM {D.line_rows("(SELECT doc_id, 'x' AS template, text FROM @all_texts a)")} r""")
 def line_table(t: Tables):
-    return balanced(t.all_texts).select("doc_id", F.inline(T.line_table(F.col("text"))))
+    return t.all_texts.select("doc_id", F.inline(T.line_table(F.col("text"))))
 
 
 _KINDS = """CASE doc_id % 4 WHEN 0 THEN 'finance_invoice' WHEN 1 THEN 'construction_purchase_order'
@@ -113,7 +112,7 @@ SELECT doc_id, fkey AS field_name, value, line_no AS line, start_char AS start,
   'Deterministically extracted from labelled source line using template label/alias "' || label || '".' AS reasoning
 FROM {D.labelled(f"(SELECT doc_id, text, {_KINDS} AS template FROM @all_texts a)")} l""")
 def labelled_values(t: Tables):
-    docs = balanced(t.all_texts).withColumn("template_key", F.expr(_KINDS)).join(
+    docs = t.all_texts.withColumn("template_key", F.expr(_KINDS)).join(
         F.broadcast(Catalogue.bundled().profiles(t.spark)), "template_key", "left")
     found = docs.select("doc_id", F.inline(T.labelled_fields(
         F.col("text"), F.col("template_key"), F.col("any_label"), F.col("template_fields"))))
@@ -126,9 +125,9 @@ def labelled_values(t: Tables):
 SELECT p_partkey, array_to_string(list_sort(list_distinct([lower(trim(regexp_replace(
   replace(p_name, '_', ' '), '\\s+', ' ', 'g'))), lower(p_type), lower(p_brand)])), '|') AS labels FROM part""")
 def label_variants(t: Tables):
-    from fieldmill.functions.common import normalize_label
-    names = F.array(*[normalize_label(F.col(c)) for c in ("p_name", "p_type", "p_brand")])
-    return t.part.select("p_partkey", F.array_join(F.array_sort(F.array_distinct(names)), "|").alias("labels"))
+    from fieldmill.catalogue import label_variants as variants
+    labels = variants(F.col("p_name"), F.col("p_type"), F.array("p_brand"))
+    return t.part.select("p_partkey", F.array_join(F.array_sort(labels), "|").alias("labels"))
 
 
 @query("normalize_key", f"""
@@ -162,7 +161,7 @@ SELECT doc_id, (s IS NOT NULL AND hi > lo) OR a_snip >= 0 OR a_shown >= 0 OR a_f
 FROM f""")
 def locate_source_span(t: Tables):
     from workload.registry import INPUTS
-    d = balanced(t.sql(_SPAN_INPUT + "(" + INPUTS["all_texts"] + ") a"))
+    d = t.sql(_SPAN_INPUT + "(" + INPUTS["all_texts"] + ") a")
     return d.select("doc_id", L.source_span(F.col("text"), *[F.col(c) for c in ("s", "e", "snip", "shown", "found")])
                     .alias("x")).select("doc_id", "x.*")
 
@@ -192,7 +191,7 @@ SELECT doc_id, array_to_string(list_transform((list_filter(string_split_regex({D
   lambda c: {D.strip('c')}), '|')), chr(10)) AS preview FROM @all_texts a""")
 def record_preview(t: Tables):
     rows = F.transform(L.record_preview(F.col("text")), lambda r: F.array_join(r, "|"))
-    return balanced(t.all_texts).select("doc_id", F.array_join(rows, "\n").alias("preview"))
+    return t.all_texts.select("doc_id", F.array_join(rows, "\n").alias("preview"))
 
 
 @query("display_labels", """

@@ -103,10 +103,10 @@ _PAGES = """SELECT conv_id AS doc_id, turn + 1 AS page_no,
 
 
 @query("page_text_assembly", f"""
-SELECT doc_id, 0 AS volume, string_agg('--- Page ' || page_no || ' ---' || chr(10) || {D.strip('text')},
+SELECT doc_id, string_agg('--- Page ' || page_no || ' ---' || chr(10) || {D.strip('text')},
   chr(10) || chr(10) ORDER BY page_no, {D.strip('text')}) AS raw_text, NULL AS reject_reason
 FROM ({_PAGES} conversations) p WHERE {D.blank('text')} = false GROUP BY doc_id
-UNION ALL SELECT doc_id, NULL, NULL, {q(K.NO_PAGE_TEXT_REASON)} FROM ({_PAGES} conversations) p
+UNION ALL SELECT doc_id, NULL, {q(K.NO_PAGE_TEXT_REASON)} FROM ({_PAGES} conversations) p
 GROUP BY doc_id HAVING bool_and({D.blank('text')})""")
 def page_text_assembly(t: Tables):
     pages = t.sql(_PAGES + "{conversations}")

@@ -79,27 +79,32 @@ SCORED = f"""(SELECT *, CASE WHEN NOT corrected THEN round(confidence, 4) WHEN e
   FROM (SELECT *, {_FOLD('extracted_value')} AS a, {_FOLD('display_value')} AS b FROM {DISPLAYED} d) e)"""
 
 
-def scored(t: Tables, method: str = "levenshtein"):
+def scored(t: Tables, method: str = "sequence"):
     return R.review_confidence(displayed(t), method)
 
 
 # The sequence ratio has no SQL form; tests check it against the standard library pair by pair.
 @query("review_confidence")
 def review_confidence(t: Tables):
-    return scored(t, "sequence").select("field_id", "review_confidence")
+    return scored(t).select("field_id", "review_confidence")
 
 
 @query("review_confidence_edit", f"SELECT field_id, review_confidence FROM {SCORED} s")
 def review_confidence_edit(t: Tables):
-    return scored(t).select("field_id", "review_confidence")
+    return scored(t, "levenshtein").select("field_id", "review_confidence")
+
+
+@query("review_status")
+def review_status(t: Tables):
+    return R.review_statuses(scored(t)).select("field_id", "review_status")
 
 
-@query("review_status", f"""
+@query("review_status_edit", f"""
 SELECT field_id, CASE WHEN NOT accepted AND needs_review THEN 'needs_review' WHEN NOT accepted THEN 'awaiting_acceptance'
   WHEN NOT corrected THEN 'accepted_original' WHEN review_confidence >= 0.98 THEN 'accepted_same'
   WHEN review_confidence >= 0.75 THEN 'accepted_minor_change' ELSE 'accepted_modified' END AS review_status FROM {SCORED} s""")
-def review_status(t: Tables):
-    return R.review_statuses(scored(t)).select("field_id", "review_status")
+def review_status_edit(t: Tables):
+    return R.review_statuses(scored(t, "levenshtein")).select("field_id", "review_status")
 
 
 _DOUBT = "(coalesce(confidence, 0) < 0.8 OR validation_status IN ('invalid', 'missing_required'))"

@@ -8,7 +8,6 @@ from fieldmill import constants as K
 from fieldmill.catalogue import Catalogue
 from fieldmill.functions.common import normalize_key
 from fieldmill.operators import catalog, templates as TP
-from fieldmill.sources.files import balanced
 from workload import duck as D
 from workload.ingest import _DEFINED, definitions
 from workload.registry import Tables, q, query
@@ -22,7 +21,7 @@ def infer_template(t: Tables):
     best = F.array_max(TP.template_scores(F.lower("text"), BUNDLED))
     # inline() keeps the expression in one place; a filter on it would be evaluated a second time
     hit = F.filter(F.array(best), lambda b: b["score"] >= 2)
-    return balanced(t.all_texts).select("doc_id", F.inline(hit)).select(
+    return t.all_texts.select("doc_id", F.inline(hit)).select(
         "doc_id", F.col("key").alias("template_key"), "score")
 
 
@@ -43,7 +42,7 @@ SELECT doc_id, key AS document_type_key, CASE WHEN key IS NOT NULL THEN {_NAMES}
 FROM r""")
 def resolve_mode(t: Tables):
     from workload.registry import INPUTS
-    docs = balanced(t.sql(_MODES + "(" + INPUTS["all_texts"] + ") a"))
+    docs = t.sql(_MODES + "(" + INPUTS["all_texts"] + ") a")
     chosen = TP.resolve_template(docs, BUNDLED).withColumnRenamed("template_key", "applied_template")
     return TP.settle_mode(chosen, BUNDLED).select(
         "doc_id", "document_type_key", "document_type_label", "extraction_mode")
