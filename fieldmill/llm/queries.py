@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmill.llm import (
-    byte_bpe, hosts, language, licences, minmax, packing, quality, shards, token_files, topk,
+    byte_bpe, checks, hosts, language, licences, minmax, packing, quality, shards, token_files, topk,
 )
 from fieldmill.llm.common import table
 
@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op1_line_quality")
+@query("op1_line_quality", checks.LINE_QUALITY)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality.line_first(table(spark, sf_dir, "documents"))
     return done.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -54,7 +54,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-@query("op5_minmax_duplicates")
+@query("op5_minmax_duplicates", checks.NEAR_DUPLICATES)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -69,7 +69,7 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
              ("com", "/de/", "block")]
 
 
-@query("op7_host_reputation")
+@query("op7_host_reputation", checks.reputation(URL_RULES))
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
@@ -88,6 +88,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("length", F.col("length").cast("long"))
 
 
-@query("op10_histogram_top_k")
+@query("op10_histogram_top_k", checks.TOP_K)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
