@@ -63,17 +63,26 @@ def sniff_separator(text: Column) -> Column:
 
 
 def csv_rows(text: Column, separator: Column) -> Column:
-    """array<array<string>> of the non-empty rows; quotes may hold separators and line ends."""
-    def cells(row, sep):
-        pattern = F.concat(F.lit("["), sep, F.lit(r']("(?:[^"]++|"")*+"[^'), sep, F.lit("]*|[^"),
-                           sep, F.lit("]*)"))
-        raw = F.call_function("regexp_extract_all", F.concat(sep, row), pattern, F.lit(1))
-        return F.transform(raw, lambda c: F.when(
-            F.startswith(c, F.lit('"')),
-            F.replace(F.regexp_extract(c, r'^"((?:[^"]++|"")*+)"?', 1), F.lit('""'), F.lit('"'))
-        ).otherwise(c))
-    rows = F.regexp_extract_all(text, F.lit(r'(?:[^"\r\n]++|"(?:[^"]++|"")*+")++'), F.lit(0))
-    return bind(separator, lambda sep: F.transform(rows, lambda r: cells(r, sep)))
+    """array<array<string>> of the non-empty rows.
+
+    A quote opens a quoted cell only where a cell starts; such a cell may hold separators and line ends, and what
+    follows its closing quote belongs to it. Any other quote is a character like the rest.
+    """
+    quoted = r'"(?:[^"]++|"")*+"?+'
+    joined = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    find = lambda where, pattern, group: F.call_function("regexp_extract_all", where, pattern, F.lit(group))
+
+    def cell_text(cell):
+        inner = F.regexp_extract(cell, r'^"((?:[^"]++|"")*+)', 1)
+        rest = F.regexp_extract(cell, r'^"(?:[^"]++|"")*+"?+([\s\S]*)$', 1)
+        return F.when(F.startswith(cell, F.lit('"')), F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest)).otherwise(cell)
+
+    def rows(sep):
+        cell = joined("(?:", quoted, "[^", sep, r"\r\n]*+|[^", sep, r"\r\n]*+)")
+        lines = F.filter(find(text, joined(cell, "(?:[", sep, "]", cell, ")*+"), 0), lambda r: r != "")
+        in_row = joined("[", sep, "]((?:", quoted, ")?+[^", sep, "]*+)")
+        return F.transform(lines, lambda r: F.transform(find(F.concat(sep, r), in_row, 1), cell_text))
+    return bind(separator, rows)
 
 
 def parse_csv(uploads: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldmill import constants as K
 from fieldmill.functions.common import is_blank
-from fieldmill.operators.ingest import json_shape, strict_json
+from fieldmill.operators.ingest import BOM, json_shape, strict_json
 from fieldmill.schemas import field, source_span
 
 def records_to_fields(records: DataFrame) -> DataFrame:
@@ -38,12 +38,17 @@ def schema_keys(records: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("first", "key"))), lambda s: s["key"]).alias("schema_keys"))
 
 
-def dataset_summary(records: DataFrame, kind: str = "csv") -> DataFrame:
-    """The five leading rows of a record set (JSON without object keys has four)."""
+def dataset_summary(records: DataFrame, kind: str = "csv", documents: DataFrame | None = None) -> DataFrame:
+    """The five leading rows of a record set (JSON without object keys has four).
+
+    ``documents`` (doc_id) adds the sets that have no record.
+    """
     noun, listed = ("CSV", " with columns: ") if kind == "csv" else ("JSON", " with fields: ")
     why = K.DATASET_REASONS[kind]
     type_name = "structured_csv" if kind == "csv" else "structured_json_array"
     counts = records.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if documents is not None:
+        counts = documents.select("doc_id").join(counts, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     both = counts.join(schema_keys(records), "doc_id", "left")
     keys = F.coalesce(F.array_join("schema_keys", ", "), F.lit(""))
     n = F.col("n").cast("string")
@@ -150,9 +155,10 @@ def json_array_fields(docs: DataFrame, max_depth: int | None = None) -> DataFram
 
 def json_object_fields(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Objects (doc_id, text, value) -> type, summary and key rows, then one row per leaf."""
-    keys = F.array_join(F.json_object_keys("text"), ", ")
+    text = F.regexp_replace("text", BOM, "")
+    keys = F.array_join(F.json_object_keys(text), ", ")
     head = F.array(
-        field("document_type", "structured_json_object", 1.0, F.left("text", F.lit(220)),
+        field("document_type", "structured_json_object", 1.0, F.left(text, F.lit(220)),
               K.OBJECT_REASONS[0], True),
         field("summary", F.concat(F.lit("JSON object with fields: "), keys, F.lit(".")), 1.0, keys,
               K.OBJECT_REASONS[1], True),

@@ -132,9 +132,11 @@ def field_rows(processed: DataFrame) -> DataFrame:
 
 def structured_rows(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Raw field rows of CSV and JSON documents (doc_id, text, parser_type)."""
-    csv = ingest.csv_records(ingest.parse_csv(docs.filter("parser_type = 'csv'")))
+    docs = docs.withColumn("text", F.regexp_replace("text", ingest.BOM, ""))
+    grids = ingest.parse_csv(docs.filter("parser_type = 'csv'"))
+    csv = ingest.csv_records(grids)
     # the first character says which branch can want a document, so none parses the others' texts
-    first = F.left(strip(F.regexp_replace("text", ingest.BOM, "")), F.lit(1))
+    first = F.left(strip(F.col("text")), F.lit(1))
     js = docs.filter("parser_type = 'json'")
     good = lambda df: ingest.parse_json(df).filter("reject_reason is null")
     arrays, objects = good(js.filter(first == "[")), good(js.filter(first == "{"))
@@ -142,8 +144,8 @@ def structured_rows(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     parts = [records.records_to_fields(csv).drop("record", "column_pos"),
              records.json_array_fields(arrays, max_depth),
              records.json_object_fields(objects, max_depth), records.json_scalar_fields(scalars),
-             records.dataset_summary(csv).drop("pos"),
-             records.dataset_summary(json_records(arrays), "json").drop("pos")]
+             records.dataset_summary(csv, "csv", grids).drop("pos"),
+             records.dataset_summary(json_records(arrays), "json", arrays).drop("pos")]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

@@ -125,3 +125,21 @@ def test_scores_of_any_catalogue(spark):
     want = {t.key: sum(x in low for x in t.terms()) for t in c.templates}
     got = spark.range(1).select(F.inline(TP.template_scores(F.lit(low), c))).collect()
     assert {r.key: r.score for r in got} == want
+
+
+def test_quotes_inside_unquoted_cells(spark):
+    text = 'item,size\r\npipe,5" wide\nrod,"7"" tall"\n\n"a\nb"x,c "d" e\n'
+    (row,) = I.parse_csv(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert row.headers == ["item", "size"]
+    assert row.rows == [["pipe", '5" wide'], ["rod", '7" tall'], ["a\nbx", 'c "d" e']]
+
+
+def test_sets_without_records_have_their_summary(spark):
+    from fieldmill.catalogue import Catalogue
+    from fieldmill.plans.process import process_structured
+    docs = spark.createDataFrame([(1, "[]", "json", None), (2, "a,b\n", "csv", None), (3, '\ufeff[{"k":1}]', "json", None), (4, '\ufeff{"k":1}', "json", None)],
+                                 "doc_id int, text string, parser_type string, document_type_key string")
+    rows = process_structured(docs, Catalogue.bundled(), with_templates=False).collect()
+    got = {(r.doc_id, r.field_name): r.value for r in rows}
+    assert got[1, "summary"] == "0 JSON record(s)." and got[2, "summary"] == "0 CSV record(s)."
+    assert got[3, "summary"] == "1 JSON record(s) with fields: k." and got[4, "summary"] == "JSON object with fields: k."
