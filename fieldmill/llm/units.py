@@ -58,8 +58,9 @@ class UnitEncoder:
 
     def _learn(self, known: dict[str, bytes], units: set[str], blank: bool) -> None:
         code, others, words, joined = self.code, [], set(), []
-        self.again[id(known)].update(units & known.keys())
-        for unit in units - known.keys():
+        new = units.difference(known)
+        self.again[id(known)].update(units.difference(new))
+        for unit in new:
             match = LATIN.fullmatch(unit) if self.encode_words else None
             if not match:
                 others.append(unit)
