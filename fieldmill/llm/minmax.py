@@ -2,13 +2,13 @@
 
 Under each permutation both the smallest and the largest value of a shingle set are kept, so `permutations` evaluations
 give a signature of twice that length. Bands of `rows` signature values make keys; sets with a common key are compared on
-their full sets. With the defaults (40 bands of 5 values from 100 permutations) two sets of similarity 0.8 miss each other
-with a chance of about 1e-7.
+their full sets. With the defaults (48 bands of 6 values from 144 permutations) two sets of similarity 0.8 miss each other
+with a chance of about 5e-7, more similar ones with far less.
 
 * Equal sets are one node from the start, however many documents share it; a node is named by a 128-bit print of its set.
 * First every node is compared with one pivot of each of its keys (a few edges per node and key, also for hot keys).
-* Then, only among nodes of one key that are still in different classes, all pairs are compared: no link between
-  different texts is lost, and a large group of copies never makes all its pairs.
+* Then, only among nodes of one key that are still in different classes, the pairs whose sketches (a bit per signature
+  value) and sizes allow the similarity are compared: a large group of copies never makes all its pairs.
 * Classes come from repeated smallest-label joins with pointer jumping; every round is written to the shared folder.
 
 Null or wordless text: empty set, linked with nothing, a class of its own. Null doc_id: takes part; a class with no other
@@ -17,6 +17,7 @@ id has a null component_id, and its rows are kept. Repeated rows: same class; ev
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,14 @@ from fieldmill.llm.shingles import U64, mix, set_print, shingle_sets
 
 #: Shingle hashes that are permuted at once.
 BLOCK = 1 << 14
-SIGNED = "doc_id long, row_key long, n_shingles long, node binary, keys array<long>"
+SKETCH = ["s0", "s1", "s2", "s3"]
+SIGNED = "doc_id long, row_key long, n_shingles long, node binary, keys array<long>, s0 long, s1 long, s2 long, s3 long"
 
 
 class MinMax:
     """Signatures of shingle sets: multiply-add permutations of 32-bit values."""
 
-    def __init__(self, bands: int = 40, rows: int = 5, seed: int = 7):
+    def __init__(self, bands: int = 48, rows: int = 6, seed: int = 7):
         self.bands, self.rows = bands, rows
         self.permutations = -(-bands * rows // 2)
         salts = mix(np.arange(1, 2 * self.permutations + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
@@ -63,21 +65,39 @@ class MinMax:
                 key = mix(key * U64(0x9E3779B97F4A7C15) + values[:, :, k])
         return key.view(np.int64)
 
+    def sketches(self, signatures: np.ndarray) -> np.ndarray:
+        """Four 64-bit numbers: one bit of each of the first 256 signature values."""
+        values = signatures[:, :256].astype(U64)
+        with np.errstate(over="ignore"):
+            bits = mix(values + np.arange(values.shape[1], dtype=U64) * U64(0x9E3779B97F4A7C15)) & U64(1)
+        packed = np.zeros((len(bits), 4), U64)
+        for k in range(bits.shape[1]):
+            packed[:, k // 64] |= bits[:, k] << U64(k % 64)
+        return packed.view(np.int64)
+
+    def most_different(self, percent: int) -> int:
+        """Bits in which two sketches of sets of this similarity differ at most, but for one pair in about ten million."""
+        n = min(256, 2 * self.permutations)
+        share = (1 - percent / 100) / 2
+        return math.ceil(n * share + 5.2 * math.sqrt(n * share * (1 - share)))
+
 
 def signed(docs: DataFrame, size: int, hasher: MinMax) -> DataFrame:
-    """doc_id, row_key, n_shingles, node (print of the set, null if empty), keys (none if empty)."""
+    """doc_id, row_key, n_shingles, node (print of the set, null if empty), keys (none if empty), sketch."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 sets = shingle_sets(part.column("text"), size)
-                keys = hasher.keys(np.stack([hasher.signature(s) for s in sets]))
+                signatures = np.stack([hasher.signature(s) for s in sets])
+                keys, sketches = hasher.keys(signatures), hasher.sketches(signatures)
                 full = np.array([len(s) > 0 for s in sets])
                 ends = np.concatenate([[0], np.cumsum(full * hasher.bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("row_key"), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([set_print(s) for s in sets], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel()))],
-                    ["doc_id", "row_key", "n_shingles", "node", "keys"])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel())),
+                     *[pa.array(np.ascontiguousarray(sketches[:, k])) for k in range(4)]],
+                    ["doc_id", "row_key", "n_shingles", "node", "keys", *SKETCH])
 
     return keyed(docs).mapInArrow(sign, SIGNED)
 
@@ -140,8 +160,9 @@ def rooted(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> t
     named = every.where("node is not null").groupBy("node").agg(
         F.min("row_key").alias("row_key"), F.min("doc_id").alias("least"))
     named = stored(named, "minmax-nodes")
-    nodes = every.where("node is not null").select("node", "row_key", "n_shingles", "keys").join(
+    nodes = every.where("node is not null").select("node", "row_key", "n_shingles", "keys", *SKETCH).join(
         named.select("node", "row_key"), ["node", "row_key"], "left_semi").dropDuplicates(["node"])
+    nodes = stored(nodes, "minmax-distinct")
     banded = nodes.select("node", "n_shingles", F.explode("keys").alias("key"))
     pivots = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     shared = stored(banded.join(pivots.select("key", "pivot"), "key"), "minmax-shared")
@@ -158,10 +179,14 @@ def rooted(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> t
     # nodes of one key that are still apart
     marked = shared.join(label, "node", "left").select("key", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
     split = marked.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
-    open_keys = stored(marked.join(split.select("key"), "key", "left_semi"), "minmax-open")
-    other = open_keys.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("_nb"), F.col("root").alias("_rb"))
+    open_keys = marked.join(split.select("key"), "key", "left_semi").join(nodes.select("node", *SKETCH), "node")
+    open_keys = stored(open_keys, "minmax-open")
+    other = open_keys.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("_nb"), F.col("root").alias("_rb"),
+                             *[F.col(c).alias(f"_{c}") for c in SKETCH])
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in SKETCH), F.lit(0))
     rest = open_keys.join(other, "key").where(
-        (F.col("node") < F.col("b")) & (F.col("root") != F.col("_rb")) & sized).select(F.col("node").alias("a"), "b").distinct()
+        (F.col("node") < F.col("b")) & (F.col("root") != F.col("_rb")) & sized & (differ <= hasher.most_different(percent)))
+    rest = rest.select(F.col("node").alias("a"), "b").distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     more = stored(verified(rest, sets, percent), "minmax-more")
     if not more.isEmpty():
@@ -171,7 +196,7 @@ def rooted(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> t
         "node", "least", "row_key", F.coalesce("root", "node").alias("root")), "minmax-rooted")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     every, root = rooted(docs, size, percent, bands, rows)
     least = root.groupBy("root").agg(F.min("least").alias("_component"))
@@ -182,7 +207,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
     """docs with one document of each class: the one of smallest doc_id (nulls last); columns as they are.
 
     Documents with an empty set all stay. Of rows repeated with id and text one stays.

@@ -262,12 +262,15 @@ def test_group_of_near_copies_is_one_class(spark):
 
 
 def test_estimates_are_close():
-    hasher = minmax.MinMax(40, 5)
+    hasher = minmax.MinMax()
     rnd = np.random.default_rng(1)
     a = rnd.integers(0, 2 ** 63, 1000, dtype=np.uint64)
     b = np.concatenate([a[:800], rnd.integers(0, 2 ** 63, 200, dtype=np.uint64)])
     same = (hasher.signature(a) == hasher.signature(b)).mean()
     assert abs(same - 800 / 1200) < 0.12
+    bits = hasher.sketches(np.stack([hasher.signature(a), hasher.signature(b)])).view(np.uint64)
+    differ = sum(int(x).bit_count() for x in bits[0] ^ bits[1])
+    assert abs(differ / 256 - (1 - same) / 2) < 0.1 and hasher.most_different(80) == 51
 
 
 # ---- shards
