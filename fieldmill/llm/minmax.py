@@ -118,7 +118,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     [pa.array([set_print(s) for s in sets], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "hashes"])
 
-    rows = keyed(docs).join(wanted.select("row_key"), "row_key", "left_semi").select("text")
+    # a merge join at every size: the plan, and what it moves per row, stays the same when `wanted` outgrows a broadcast
+    rows = keyed(docs).join(wanted.select("row_key").hint("merge"), "row_key", "left_semi").select("text")
     found = rows.mapInArrow(again, "node binary, hashes array<long>")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
