@@ -295,6 +295,25 @@ def test_groups_stay_together_and_a_large_one_is_spread(spark):
     assert spread[[t for t in spread.index if t.startswith("group")]].mean() < 1.5 and spread["large"] <= 5
 
 
+@pytest.mark.parametrize("hot", [0, 1600])
+def test_groups_stay_together_where_every_row_has_a_copy(spark, hot):
+    rnd, names = random.Random(5), ["hot"] * hot
+    while len(names) < 4798:
+        names += [f"group {len(names)}"] * rnd.choice([2, 2, 2, 3, 7, 40])
+    rows = [(k, t, "en", True, 1, "", "", "") for k, t in enumerate(rnd.sample(names, len(names)))]
+    got = shards.shard_documents(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    sizes = got.groupby("shard").size()
+    assert len(sizes) == 16 and sizes.max() - sizes.min() <= 1
+    assert all(sorted(own.slot) == list(range(len(own))) for _, own in got.groupby("shard"))
+    spread = got.assign(text=got.doc_id.map({r[0]: r[1] for r in rows})).groupby("text").shard.nunique()
+    assert spread.get("hot", 6) == 6 and (spread.drop("hot", errors="ignore") > 1).sum() < 16
+
+
+def test_moves_count_the_rows_that_leave():
+    assert shards.admissible({(0, 1): 10, (1, 0): 10}, [50, 50], [50, 50]) == [1.0, 1.0]
+    assert shards.admissible({(0, 1): 10}, [50, 46], [50, 50]) == [0.0, 0.4]
+
+
 # ---- hosts
 
 def test_hosts(spark):
