@@ -190,6 +190,15 @@ def test_quality(spark, docs, rows, none):
     assert quality.cleaned_documents(none).columns == none.columns and quality.cleaned_documents(none).count() == 0
 
 
+def test_long_lines_are_not_lost_for_one_mark_or_mention(spark):
+    clean = " ".join(f"Word{k} follows another{k} one{k} here." for k in range(30))
+    hindi = " ".join(f"शब्द{k} दूसरा{k} वाक्य{k} है।" for k in range(30))
+    whole = [clean + " And then it stops in the", clean + " Their privacy policy was read aloud.", hindi, hindi + " अधूरा"]
+    lost = [clean.replace(".", ""), "All rights reserved by us. " * 2 + "See our privacy policy and terms of use. " + " ".join(clean.split()[:50])]
+    made = spark.createDataFrame(list(enumerate(whole + lost)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in quality.cleaned_documents(made).collect()) == [0, 1, 2, 3]
+
+
 # ---- licenses
 
 def test_licences(docs, rows, none):
