@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmill.llm import (
-    byte_bpe, checks, hosts, language, licences, minmax, packing, quality, shards, token_files, topk,
+    byte_bpe, checks, hosts, language, licences, minmax, packing, periodic, quality, shards, token_files, topk,
 )
 from fieldmill.llm.common import table
 
@@ -91,3 +91,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_histogram_top_k", checks.TOP_K)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+@query("op11_minimizer_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.looped(table(spark, sf_dir, "documents")))
+    best = found.select("doc_id", "runs", "collapsed", periodic.greatest_exponent(F.col("runs")).alias("best"))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
