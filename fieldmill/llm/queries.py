@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmill.llm import (
-    byte_bpe, checks, hosts, language, licences, minmax, packing, periodic, quality, shards, token_files, topk,
+    additive, byte_bpe, checks, hosts, language, licences, minmax, packing, periodic, quality, shards, token_files, topk,
 )
 from fieldmill.llm.common import table
 
@@ -103,3 +103,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op12_additive_quality")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    described = additive.described(table(spark, sf_dir, "documents"))
+    model = additive.train(described, table(spark, sf_dir, "labels").where(~held_out))
+    return additive.scored(described, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "weakest")
