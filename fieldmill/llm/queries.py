@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmill.llm import (
-    additive, byte_bpe, checks, hosts, language, licences, minmax, packing, periodic, quality, shards, token_files, topk,
+    additive, byte_bpe, checks, hosts, language, licences, minmax, packing, periodic, quality, shards, token_files, topk, trie,
 )
 from fieldmill.llm.common import table
 
@@ -111,3 +111,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = additive.described(table(spark, sf_dir, "documents"))
     model = additive.train(described, table(spark, sf_dir, "labels").where(~held_out))
     return additive.scored(described, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "weakest")
+
+
+@query("op13_parentheses_trie", checks.PREFIX_TRIE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = trie.conversations_of(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.with_shared_openings(convs))
