@@ -94,20 +94,20 @@ def parse_csv(uploads: DataFrame) -> DataFrame:
         F.slice("grid", F.lit(2), F.greatest(F.size("grid") - 1, F.lit(0))).alias("rows"))
 
 
-def csv_records(parsed: DataFrame) -> DataFrame:
-    """One row per CSV record: doc_id, record (0-based), cells array<struct(name, value)>.
+def named_cells(headers: Column, row: Column) -> Column:
+    """array<struct(name, value)> of a row's cells. A short row has NULL cells; surplus cells stand together under `null`."""
+    def cells(values):
+        named = F.transform(headers, lambda h, i: F.struct(h.alias("name"), F.get(values, i).alias("value")))
+        surplus = F.array(F.struct(F.lit("null").alias("name"), F.concat(
+            F.lit("['"), F.array_join(F.slice(values, F.size(headers) + 1, F.size(values)), "', '"), F.lit("']")).alias("value")))
+        return F.when(F.size(values) > F.size(headers), F.concat(named, surplus)).otherwise(named)
+    return bind(row, cells)
 
-    A short row has NULL cells; surplus cells are kept together under the name `null`.
-    """
+
+def csv_records(parsed: DataFrame) -> DataFrame:
+    """One row per CSV record: doc_id, record (0-based), cells array<struct(name, value)>."""
     exploded = parsed.select("doc_id", "headers", F.posexplode("rows").alias("record", "row"))
-    named = F.transform(F.col("headers"), lambda h, i: F.struct(
-        h.alias("name"), F.get(F.col("row"), i).alias("value")))
-    surplus = F.when(F.size("row") > F.size("headers"), F.array(F.struct(
-        F.lit("null").alias("name"),
-        F.concat(F.lit("['"), F.array_join(F.slice("row", F.size("headers") + 1, F.size("row")), "', '"),
-                 F.lit("']")).alias("value"))))
-    return exploded.select("doc_id", "record", F.when(
-        surplus.isNotNull(), F.concat(named, surplus)).otherwise(named).alias("cells"))
+    return exploded.select("doc_id", "record", named_cells(F.col("headers"), F.col("row")).alias("cells"))
 
 
 def csv_profile(records: DataFrame, preview_rows: int = 10) -> DataFrame:

@@ -8,9 +8,10 @@ from fieldmill import constants as K
 from fieldmill.operators import catalog, ingest as I
 from fieldmill.operators.skew import row_index
 from fieldmill.schemas import TEMPLATE_FILE
+from fieldmill.sources.csv_ranges import read_csv_records
 from fieldmill.sources.files import replace_by_document as replace_documents
 from workload import duck as D
-from workload.registry import Tables, q, query
+from workload.registry import Tables, new_folder, q, query
 
 _UPLOADS = """
 SELECT doc_id, source || CASE doc_id % 8 WHEN 0 THEN '.TXT' WHEN 1 THEN '.md' WHEN 2 THEN '.csv' WHEN 3 THEN '.json'
@@ -61,6 +62,27 @@ def csv_source(t: Tables):
     return records.select("doc_id", "record", F.inline("cells"))
 
 
+# Orders with a note that holds separators, quotes and line ends, as a CSV table.
+_NOTED = """SELECT o_orderkey AS order_key, o_custkey AS customer, CASE WHEN o_orderkey % 3 = 0 THEN 'plain ' || o_orderstatus
+    WHEN o_orderkey % 3 = 1 THEN 'say "hi",' || chr(10) || o_orderpriority || chr(10) || chr(10) || '"end' ELSE 'a "b" ' || chr(13) || chr(10) || 'c' END AS note,
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS price FROM """
+
+
+@query("csv_ranges", f"""
+SELECT order_key, customer, note, price, 4 AS cells, true AS in_place FROM (SELECT CAST(order_key AS VARCHAR) AS order_key,
+  CAST(customer AS VARCHAR) AS customer, note, price FROM ({_NOTED} orders) n) s""")
+def csv_ranges(t: Tables):
+    folder = new_folder(t)
+    t.sql(_NOTED + "{orders}").write.csv(folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    files, records = read_csv_records(t.spark, f"{folder}/*.csv", range_bytes=1 << 16)
+    # the numbers of a file's records are 0, 1, 2, ...: their sum is known from their count
+    placed = records.groupBy("doc_id").agg((F.sum("record") * 2 == F.count(F.lit(1)) * (F.count(F.lit(1)) - 1)).alias("in_place"))
+    cells = F.map_from_entries("cells")
+    return records.join(placed, "doc_id").select(
+        *[F.get(F.col("cells"), F.lit(i))["value"].alias(c) for i, c in enumerate(("order_key", "customer", "note", "price"))],
+        F.size(cells).alias("cells"), "in_place")
+
+
 def order_records(t: Tables):
     """Orders as records of their customer, numbered in key order."""
     rows = row_index(t.order_rows, ["doc_id"], F.floor(F.col("order_key") / 100_000), ["order_key"], "record")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,14 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def new_folder(t: Tables) -> str:
+    """A new folder below the one the session names; a local one only for a local session."""
+    named, master = t.spark.conf.get("spark.checkpoint.dir", None), t.spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='run-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 # --- two dialects ----------------------------------------------------------------------------
 
 SPARK = {"seq": "explode(sequence(0, {n} - 1))", "at": "timestamp_seconds({x})",

@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from fieldmill.catalogue import Catalogue
 from fieldmill.sources.files import read_fields
 from fieldmill.streaming import jobs as S
 from workload.process import SHOWN, SHOWN_SQL, run_sql
-from workload.registry import Tables, query
+from workload.registry import Tables, new_folder, query
 from workload.review import _LATEST
 
 
-def _root(t: Tables) -> str:
-    """A new folder below the one the session names; a local one only for a local session."""
-    named = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not t.spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{(named or tempfile.mkdtemp(prefix='run-')).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _arriving(t: Tables, name: str) -> DataFrame:
     return (t.spark.readStream.schema(getattr(t, name).schema).option("pathGlobFilter", f"{name}.parquet")
             .parquet(t.folder))
 
 
 def _through(t: Tables, stream: DataFrame) -> DataFrame:
-    root = _root(t)
+    root = new_folder(t)
     S.run_available(stream, "parquet", f"{root}/state", f"{root}/out")
     return t.spark.read.schema(stream.schema).parquet(f"{root}/out")
 
@@ -63,7 +52,7 @@ def stream_dedup(t: Tables):
 
 @query("stream_latest_value", f"SELECT field_id, lastv AS corrected_value FROM {_LATEST} l")
 def stream_latest_value(t: Tables):
-    root = _root(t)
+    root = new_folder(t)
     log = _arriving(t, "events").select(
         F.col("event_id").alias("correction_id"), ((F.col("event_id") * 31) % 6007).alias("field_id"),
         F.col("ts").cast("timestamp").alias("corrected_at"), F.expr(
