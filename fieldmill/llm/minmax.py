@@ -6,9 +6,12 @@ their full sets. With the defaults (48 bands of 6 values from 144 permutations)
 with a chance of about 5e-7, more similar ones with far less.
 
 * Equal sets are one node from the start, however many documents share it; a node is named by a 128-bit print of its set.
-* First every node is compared with one pivot of each of its keys (a few edges per node and key, also for hot keys).
-* Then, only among nodes of one key that are still in different classes, the pairs whose sketches (a bit per signature
-  value) and sizes allow the similarity are compared: a large group of copies never makes all its pairs.
+* First every node is compared with one pivot of each of its keys (a few edges per node and key, also for hot keys), where
+  sizes and sketches (a bit per signature value) allow the similarity. What this leaves out is met again in the next step.
+* Then the nodes of keys whose nodes are still in different classes are joined exactly: shingles are ordered by the number of
+  classes that hold them, and two sets of different classes can only reach the similarity if the first few shingles of one (its
+  prefix) hold one of the first few of the other. Shingles of one class alone come first and meet nothing, so neither a large
+  group of copies nor a passage that many otherwise different documents share makes all its pairs.
 * Classes come from repeated smallest-label joins with pointer jumping; every round is written to the shared folder.
 
 Null or wordless text: empty set, linked with nothing, a class of its own. Null doc_id: takes part; a class with no other
@@ -31,7 +34,7 @@ from fieldmill.llm.shingles import U64, mix, set_print, shingle_sets
 #: Shingle hashes that are permuted at once.
 BLOCK = 1 << 14
 SKETCH = ["s0", "s1", "s2", "s3"]
-SIGNED = "doc_id long, row_key long, n_shingles long, node binary, keys array<long>, s0 long, s1 long, s2 long, s3 long"
+SIGNED = "doc_id long, row_key long, row_print long, n_shingles long, node binary, keys array<long>, s0 long, s1 long, s2 long, s3 long"
 
 
 class MinMax:
@@ -83,7 +86,7 @@ class MinMax:
 
 
 def signed(docs: DataFrame, size: int, hasher: MinMax) -> DataFrame:
-    """doc_id, row_key, n_shingles, node (print of the set, null if empty), keys (none if empty), sketch."""
+    """doc_id, row_key, row_print, n_shingles, node (print of the set, null if empty), keys (none if empty), sketch."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -93,18 +96,23 @@ def signed(docs: DataFrame, size: int, hasher: MinMax) -> DataFrame:
                 full = np.array([len(s) > 0 for s in sets])
                 ends = np.concatenate([[0], np.cumsum(full * hasher.bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row_key"), pa.array([len(s) for s in sets], pa.int64()),
+                    [part.column("doc_id"), part.column("row_key"), part.column("row_print"), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([set_print(s) for s in sets], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel())),
                      *[pa.array(np.ascontiguousarray(sketches[:, k])) for k in range(4)]],
-                    ["doc_id", "row_key", "n_shingles", "node", "keys", *SKETCH])
+                    ["doc_id", "row_key", "row_print", "n_shingles", "node", "keys", *SKETCH])
 
     return keyed(docs).mapInArrow(sign, SIGNED)
 
 
+def row_keys() -> list:
+    """128 bits that name a row by doc_id and text, as two numbers."""
+    doc_id = F.col("doc_id").cast("long")
+    return [F.xxhash64(doc_id, "text").alias("row_key"), F.xxhash64(F.lit(1), "text", doc_id).alias("row_print")]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(), "text")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -134,6 +142,31 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.lit(100) * F.col("_c") >= F.lit(percent) * (F.col("_t") - F.col("_c"))).select("a", "b")
 
 
+def prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that may have the similarity; every pair that has it is among them.
+
+    apart: node, root. In one order of all shingles, a set of n and one of at least as many that have the similarity share one of the
+    first n - ceil(2 t n / (1 + t)) + 1 of the smaller and n - ceil(t n) + 1 of the larger; at the first such one, what is left
+    of both must be enough. Only shingles that several roots hold are counted, joined and listed; all others stand before them.
+    """
+    t, whole = F.lit(percent), F.lit(100 + percent)
+    held = stored(apart.join(sets, "node").select("node", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("token")), "minmax-held")
+    spread = held.select("token", "root").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("_roots")).where("_roots > 1")
+    listed = held.join(spread, "token").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("_roots", "token"))).alias("_tokens"))
+    alone = F.col("n") - F.size("_tokens")
+    longest = F.col("n") - F.ceil(t * F.col("n") / 100) + 1
+    listed = listed.where(alone < longest).select("node", "root", "n", alone.alias("_alone"), F.posexplode(
+        F.slice("_tokens", F.lit(1), (longest - alone).cast("int"))).alias("_i", "_t"))
+    tokens = stored(listed.select("node", "root", "n", (F.col("_alone") + F.col("_i")).alias("place"), F.col("_t.token").alias("token")), "minmax-prefix")
+    short = tokens.where(F.col("place") < F.col("n") - F.ceil(2 * t * F.col("n") / whole) + 1)
+    small = short.select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "root", "n", "place")])
+    smaller = F.struct("_n", "_node") < F.struct("n", "node")
+    enough = F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place")) * whole >= t * (F.col("n") + F.col("_n"))
+    pairs = tokens.join(small, "token").where(
+        (F.col("root") != F.col("_root")) & smaller & (100 * F.col("_n") >= t * F.col("n")) & enough)
+    return pairs.select(F.col("_node").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def classes(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link: root is the smallest node of its class.
 
@@ -170,26 +203,21 @@ def rooted(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> t
     sized = F.lit(100) * F.least("n_shingles", "_nb") >= F.lit(percent) * F.greatest("n_shingles", "_nb")
 
     # one pivot for each key
-    stars = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = stored(stars, "minmax-stars")
+    other = nodes.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("_nb"), *[F.col(c).alias(f"_{c}") for c in SKETCH])
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in SKETCH), F.lit(0))
+    stars = shared.where("node <> pivot").select("node", "pivot").distinct().join(nodes.select("node", "n_shingles", *SKETCH), "node")
+    stars = stars.join(other, "pivot").where(sized & (differ <= hasher.most_different(percent)))
+    stars = stored(stars.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "minmax-stars")
     touched = shared.select("node").distinct().join(named, "node").select("node", "row_key")
     sets = stored(sets_of(docs, touched, size), "minmax-sets")
     links = stored(verified(stars, sets, percent), "minmax-links")
     label = classes(links)
 
     # nodes of one key that are still apart
-    marked = shared.join(label, "node", "left").select("key", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
+    marked = shared.join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     split = marked.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
-    open_keys = marked.join(split.select("key"), "key", "left_semi").join(nodes.select("node", *SKETCH), "node")
-    open_keys = stored(open_keys, "minmax-open")
-    other = open_keys.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("_nb"), F.col("root").alias("_rb"),
-                             *[F.col(c).alias(f"_{c}") for c in SKETCH])
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in SKETCH), F.lit(0))
-    rest = open_keys.join(other, "key").where(
-        (F.col("node") < F.col("b")) & (F.col("root") != F.col("_rb")) & sized & (differ <= hasher.most_different(percent)))
-    rest = rest.select(F.col("node").alias("a"), "b").distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = stored(verified(rest, sets, percent), "minmax-more")
+    apart = stored(marked.join(split.select("key"), "key", "left_semi").select("node", "root").distinct(), "minmax-apart")
+    more = stored(verified(prefix_pairs(apart, sets, percent), sets, percent), "minmax-more")
     if not more.isEmpty():
         label = classes(links.union(more))
 
@@ -214,15 +242,13 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
     Documents with an empty set all stay. Of rows repeated with id and text one stays.
     """
     every, root = rooted(docs, size, percent, bands, rows)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "row_key")).alias("_first")
-    best = every.join(root.select("node", "root"), "node").groupBy("root").agg(first).select("_first.row_key")
-    best = stored(best, "minmax-best")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("_row_key")
-    keyed_docs = docs.select("*", key)
-    full = keyed_docs.join(best, F.col("_row_key") == best["row_key"], "left_semi")
-    if best.join(every, "row_key").groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        alone = full
-    else:
-        alone = full.dropDuplicates(["_row_key"])
-    empty = every.where("node is null").select("row_key").distinct()
-    return alone.unionByName(keyed_docs.join(empty, F.col("_row_key") == empty["row_key"], "left_semi")).drop("_row_key")
+    key = ["row_key", "row_print"]
+    times = every.where("node is not null").groupBy("node", "doc_id", *key).agg(F.count(F.lit(1)).alias("_n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", *key, "_n")).alias("_first")
+    best = times.join(root.select("node", "root"), "node").groupBy("root").agg(first).select(*[f"_first.{c}" for c in key], F.expr("_first._n > 1").alias("_many"))
+    empty = every.where("node is null").select(*key).distinct().withColumn("_many", F.lit(False))
+    wanted = stored(best.union(empty), "minmax-best")
+    # the row travels as a struct, so that its columns may have any names
+    rows_in = docs.select(*row_keys(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).join(wanted, key)
+    once = rows_in.where("_many").dropDuplicates(key)
+    return rows_in.where("not _many").unionByName(once).select("_row.*")
