@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fieldmill import constants as K
+from fieldmill.functions import json_tree
 from fieldmill.functions.common import bind, is_blank, strip
 
+#: JSON documents that an Arrow function works on at once.
+JSON_SLICE = 500
 BOM = "^﻿"
 
 
@@ -164,22 +171,27 @@ def strict_json(text: Column) -> Column:
 
 
 def parse_json(uploads: DataFrame) -> DataFrame:
-    """JSON documents (doc_id, text) -> value, shape, raw_text; bad ones get reject_reason."""
-    body = F.regexp_replace(F.col("text"), BOM, "")
-    parsed = (uploads.withColumn("value", strict_json(body))
-              .withColumn("shape", F.when(F.col("value").isNotNull(), json_shape(F.col("value")))))
-    prefix = (
-        F.when(F.col("shape") == "array", F.concat(
-            F.lit("JSON document containing a list with "),
-            F.json_array_length(body).cast("string"), F.lit(" items.\n")))
-        .when(F.col("shape") == "object", F.concat(
-            F.lit("JSON document containing an object with keys: "),
-            F.array_join(F.json_object_keys(body), ", "), F.lit(".\n")))
-        .otherwise(F.concat(F.lit("JSON document containing "), F.col("shape"), F.lit(".\n"))))
-    return (parsed.withColumn("raw_text", F.concat(prefix, F.to_json("value")))
-            .withColumn("parser_type", F.lit("json"))
-            .withColumn("preview", F.left("raw_text", F.lit(500)))
-            .withColumn("reject_reason", F.when(F.col("value").isNull(), K.INVALID_JSON_REASON)))
+    """JSON documents (doc_id, text) -> shape, raw_text, parser_type, preview; bad ones get reject_reason. One parse a document."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, JSON_SLICE):
+                part = batch.slice(start, JSON_SLICE)
+                values = [json_tree.parse(text) for text in part.column("text").to_pylist()]
+                bad = [v is json_tree.INVALID for v in values]
+                shown = ([None if b else of(v) for v, b in zip(values, bad, strict=True)] for of in (json_tree.shape, json_tree.readable))
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(utf8, shown)], [*part.schema.names, "shape", "raw_text"])
+
+    rows = uploads.mapInArrow(read, StructType([*uploads.schema, StructField("shape", StringType()), StructField("raw_text", StringType())]))
+    return (rows.withColumn("parser_type", F.lit("json")).withColumn("preview", F.left("raw_text", F.lit(500)))
+            .withColumn("reject_reason", F.when(F.col("shape").isNull(), K.INVALID_JSON_REASON)))
+
+
+def utf8(values: list) -> pa.Array:
+    """Texts for Arrow; halves of surrogate pairs, which JSON can name, become the replacement character."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v if v is None else v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for v in values], pa.string())
 
 
 # --- pages -----------------------------------------------------------------------------------

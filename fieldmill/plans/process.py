@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldmill import constants as K
 from fieldmill.catalogue import Catalogue
 from fieldmill.functions import review as R
-from fieldmill.functions.common import bind, is_blank, normalize_key, strip
+from fieldmill.functions.common import bind, is_blank, normalize_key
 from fieldmill.functions.text import generic_fields, labelled_fields, with_template
 from fieldmill.functions.validation import validate
 from fieldmill.operators import ingest, records
 from fieldmill.operators.review import decide, validate_fields
 from fieldmill.operators.templates import (
-    apply_template, name_candidates, resolve_template, strategy)
+    apply_template, name_candidates, order_columns, resolve_template, strategy)
 from fieldmill.schemas import FIELD, field
 
 EMPTY = f"array<{FIELD}>"
@@ -131,51 +131,50 @@ def field_rows(processed: DataFrame) -> DataFrame:
 
 
 def structured_rows(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Raw field rows of CSV and JSON documents (doc_id, text, parser_type)."""
-    docs = docs.withColumn("text", F.regexp_replace("text", ingest.BOM, ""))
-    grids = ingest.parse_csv(docs.filter("parser_type = 'csv'"))
-    csv = ingest.csv_records(grids)
-    # the first character says which branch can want a document, so none parses the others' texts
-    first = F.left(strip(F.col("text")), F.lit(1))
-    js = docs.filter("parser_type = 'json'")
-    good = lambda df: ingest.parse_json(df).filter("reject_reason is null")
-    arrays, objects = good(js.filter(first == "[")), good(js.filter(first == "{"))
-    scalars = good(js.filter(~first.isin("[", "{")))
-    parts = [records.records_to_fields(csv).drop("record", "column_pos"),
-             records.json_array_fields(arrays, max_depth),
-             records.json_object_fields(objects, max_depth), records.json_scalar_fields(scalars),
-             records.dataset_summary(csv, "csv", grids).drop("pos"),
-             records.dataset_summary(json_records(arrays), "json", arrays).drop("pos")]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.withColumn("pos", F.lit(0))
-
-
-def process_structured(docs: DataFrame, catalogue: Catalogue,
-                       threshold: float = K.DEFAULT_THRESHOLD, max_depth: int | None = None,
-                       with_templates: bool = True) -> DataFrame:
-    """CSV and JSON documents (doc_id, text, parser_type, document_type_key) as decided field rows.
-
-    A template applies only where the document names one; those documents are split off first, so
-    that all others stay free of its shuffle. ``with_templates=False``: no document names one.
+    """Raw field rows of CSV and JSON documents (doc_id, text, parser_type), pos as written; no shuffle, one parse a document.
+
+    A JSON text that is refused has one row without field_name.
+    """
+    csv = records.csv_fields(ingest.parse_csv(docs.filter("parser_type = 'csv'")))
+    return csv.unionByName(records.json_fields(docs.filter("parser_type = 'json'"), max_depth).drop("shape", "is_head"))
+
+
+def structured_fields(docs: DataFrame, catalogue: Catalogue, threshold: float = K.DEFAULT_THRESHOLD,
+                      max_depth: int | None = None) -> DataFrame:
+    """CSV and JSON documents (doc_id, text, parser_type, document_type_key) as decided field rows, refused ones as a row without field_name.
+
+    A template applies only where the document names one that exists; only the rows of such documents are shuffled. Ties between two
+    aliases of one field go to the one written first. Adds doc_template and the sort columns of template order (ORDER_BY).
     """
-    free = docs.filter("document_type_key is null") if with_templates else docs
-    rows = structured_rows(free, max_depth)
-    if with_templates:
-        asked = docs.filter("document_type_key is not null")
-        ruled = structured_rows(asked, max_depth).join(
-            asked.select("doc_id", F.col("document_type_key").alias("doc_template")), "doc_id")
-        rows = rows.unionByName(apply_template(ruled, catalogue).drop("doc_template"))
-    return decide(validate_fields(rows), threshold)
-
-
-def json_records(arrays: DataFrame) -> DataFrame:
-    """Items of JSON arrays (doc_id, text) as records, keys in the order they were written."""
-    items = arrays.select("doc_id", F.posexplode(F.from_json("text", "array<string>")).alias("record", "_item"))
-    cells = F.when(F.startswith("_item", F.lit("{")), F.transform(
-        F.map_entries(F.from_json("_item", "map<string,string>")),
-        lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"))))
-    none = F.array().cast("array<struct<name:string,value:string>>")
-    return items.select("doc_id", F.col("record").cast("bigint").alias("record"),
-                        F.coalesce(cells, none).alias("cells"))
+    asked = docs.select("doc_id", F.col("document_type_key").alias("doc_template")).where("doc_template is not null")
+    known = asked.where(F.col("doc_template").isin([t.key for t in catalogue.templates]))
+    free = docs.where(F.coalesce(~F.col("document_type_key").isin([t.key for t in catalogue.templates]), F.lit(True)))
+    ruled = structured_rows(docs.where(F.col("document_type_key").isin([t.key for t in catalogue.templates])), max_depth)
+    refused = ruled.where("field_name is null").withColumn("doc_template", F.lit(None).cast("string"))
+    named = apply_template(ruled.where("field_name is not null").join(known, "doc_id"), catalogue)
+    rows = structured_rows(free, max_depth).withColumn("doc_template", F.lit(None).cast("string"))
+    rows = rows.unionByName(refused).unionByName(named)
+    return order_columns(decide(validate_fields(rows), threshold), catalogue)
+
+
+def process_structured(docs: DataFrame, catalogue: Catalogue, threshold: float = K.DEFAULT_THRESHOLD,
+                       max_depth: int | None = None) -> DataFrame:
+    """The decided field rows of structured_fields, without the refused documents."""
+    return structured_fields(docs, catalogue, threshold, max_depth).where("field_name is not null")
+
+
+def structured_documents(fields: DataFrame, catalogue: Catalogue) -> DataFrame:
+    """Rows of structured_fields -> one row per document: strategy, applied_template, document_type_label, extraction_mode, status,
+    accepted_fields, review_fields, reject_reason. Refused documents have a reason and nothing else."""
+    there = F.col("field_name").isNotNull()
+    one = fields.groupBy("doc_id").agg(
+        F.count_if(there).alias("_n"), F.bool_or(there & F.col("needs_review")).alias("_review"), F.max("doc_template").alias("applied_template"),
+        F.count_if(there & F.col("accepted")).alias("accepted_fields"), F.count_if(there & ~F.col("accepted")).alias("review_fields"))
+    good, template = F.col("_n") > 0, F.col("applied_template")
+    no, none = F.lit(False), F.lit(None).cast("string")
+    return one.select(
+        "doc_id", F.when(good, strategy(no, no, no, no, no, none, none, none, template)).alias("strategy"), "applied_template",
+        catalogue.label_of(template).alias("document_type_label"),
+        F.when(good, F.when(F.col("_review"), K.NEEDS_REVIEW).otherwise(K.APPROVED)).alias("status"),
+        F.when(good, F.col("accepted_fields")).alias("accepted_fields"), F.when(good, F.col("review_fields")).alias("review_fields"),
+        F.when(~good, K.INVALID_JSON_REASON).alias("reject_reason"))

@@ -73,31 +73,73 @@ def test_csv(spark):
 
 def test_json(spark):
     docs = spark.createDataFrame([(1, '{"a":1,"b":[1,{"c":null}],"d":{},"e":1.0}'), (2, '{"a":1} x'),
-                                  (3, '[{"a":{"a":1},"k":[1,2]},5]')], "doc_id int, text string")
-    parsed = I.parse_json(docs)
-    assert [r.doc_id for r in parsed.filter("reject_reason is not null").collect()] == [2]
-    leaves = R.flatten(parsed.filter("doc_id = 1").select("doc_id", "value"), "value").collect()
-    assert sorted((r.path, r.leaf) for r in leaves) == [("a", "1"), ("b[0]", "1"), ("b[1].c", "null"), ("e", "1.0")]
-    rows = R.json_array_fields(parsed.filter("doc_id = 3")).collect()
-    assert sorted((r.field_name, r.value) for r in rows) == [
-        ("records[0].a", "1"), ("records[0].k.records[0]", "1"), ("records[0].k.records[1]", "2"), ("records[1]", "5")]
+                                  (3, '[{"a":{"a":1},"k":[1,2]},5,[1,"é"]]'), (4, None), (5, '"a\\ud800"')], "doc_id int, text string")
+    parsed = {r.doc_id: r for r in I.parse_json(docs).collect()}
+    assert {i for i, r in parsed.items() if r.reject_reason} == {2, 4}
+    assert parsed[3].raw_text.startswith('JSON document containing a list with 3 items.\n[\n  {\n    "a": {\n      "a": 1')
+    leaves = R.flatten(docs.filter("doc_id = 1")).orderBy("pos").collect()
+    assert [(r.path, r.leaf) for r in leaves] == [("a", "1"), ("b[0]", "1"), ("b[1].c", "null"), ("e", "1.0")]
+    rows = R.json_array_fields(docs).orderBy("pos").collect()
+    assert [(r.field_name, r.value) for r in rows] == [
+        ("records[0].a", "1"), ("records[0].k.records[0]", "1"), ("records[0].k.records[1]", "2"), ("records[1]", "5"), ("records[2]", '[1, "é"]')]
+    assert [r.value for r in R.json_scalar_fields(docs).orderBy("pos").collect()] == ["structured_json_str", chr(34) + "a\ufffd" + chr(34)]
 
 
 def test_json_of_any_depth_is_flattened(spark):
-    text = '{"a":' * 9 + '{"b":["[{",1]}' + "}" * 9
+    text = '{"a":' * 500 + '{"b":["[{",1]}' + "}" * 500
     docs = spark.createDataFrame([(1, text), (2, '{"x":1}'), (3, '"}{"')], "doc_id int, text string")
-    rows = R.flatten(I.parse_json(docs).select("doc_id", "value"), "value").collect()
-    deep = ".".join("a" * 9) + ".b"
+    rows = R.flatten(docs).collect()
+    deep = ".".join("a" * 500) + ".b"
     assert sorted((r.path, r.leaf, r.too_deep) for r in rows) == sorted([
         (deep + "[0]", "[{", False), (deep + "[1]", "1", False), ("x", "1", False), ("value", "}{", False)])
+    assert I.parse_json(docs).filter("shape = 'object' and reject_reason is null").count() == 2
+    assert R.json_object_fields(docs).filter("not field_name in ('document_type', 'summary', 'schema_fields')").count() == 3
 
 
 def test_json_below_the_depth_is_kept_and_marked(spark):
     docs = spark.createDataFrame([(1, '{"a":{"b":{"c":1}}}')], "doc_id int, text string")
-    rows = R.flatten(I.parse_json(docs).select("doc_id", "value"), "value", max_depth=2).collect()
+    rows = R.flatten(docs, max_depth=2).collect()
     assert [(r.path, r.leaf, r.too_deep) for r in rows] == [("a.b", '{"c":1}', True)]
 
 
+def test_repeated_members_and_very_long_strings(spark):
+    docs = spark.createDataFrame([(1, '{"a":1,"b":2,"a":{"c":3}}'), (2, '["' + "x" * 21_000_000 + '"]')], "doc_id int, text string")
+    assert [(r.path, r.leaf) for r in R.flatten(docs.filter("doc_id = 1")).orderBy("pos").collect()] == [("a.c", "3"), ("b", "2")]
+    parsed = I.parse_json(docs).selectExpr("doc_id", "shape", "reject_reason", "length(raw_text) as n").collect()
+    assert [(r.shape, r.reject_reason) for r in parsed] == [("object", None), ("array", None)] and parsed[1].n > 21_000_000
+
+
+def test_many_leaves_leave_in_batches(spark):
+    docs = spark.createDataFrame([(1, "[" + ",".join(f'{{"k":{i}}}' for i in range(45_000)) + "]"), (2, "[1]")], "doc_id int, text string")
+    rows = R.json_array_fields(docs)
+    assert rows.groupBy("doc_id").agg(F.count("*"), F.min("pos"), F.max("pos")).orderBy("doc_id").collect() == [
+        (1, 45_000, 5, 45_004), (2, 1, 4, 4)]
+
+
+def test_the_alias_written_first_wins_a_tie(spark):
+    from fieldmill.catalogue import Catalogue
+    from fieldmill.plans.process import process_structured, structured_documents, structured_fields
+    docs = spark.createDataFrame([(1, '[{"supplier":"A","vendor":"B"}]', "json", "finance_invoice"), (2, "vendor,supplier\nB,A\n", "csv", "finance_invoice"),
+                                  (3, '[{"vendor":"B","supplier":"A"}]', "json", "unheard_of"), (4, "{", "json", "finance_invoice")],
+                                 "doc_id int, text string, parser_type string, document_type_key string")
+    catalogue = Catalogue.bundled()
+    rows = process_structured(docs, catalogue).collect()
+    key = "records[0].supplier_name"
+    assert {r.doc_id: r.value for r in rows if r.field_name == key} == {1: "A", 2: "B"}
+    assert [r.field_name for r in rows if r.doc_id == 3][-2:] == ["records[0].vendor", "records[0].supplier"]
+    done = {r.doc_id: r for r in structured_documents(structured_fields(docs, catalogue), catalogue).collect()}
+    assert done[1].strategy == "deterministic:template:finance_invoice" and done[1].status == "needs_review"
+    assert done[3].strategy == "deterministic" and done[3].applied_template is None and done[3].status == "approved"
+    assert done[4].reject_reason == "Invalid JSON" and done[4].status is None
+
+
+def test_structured_rows_are_read_once_and_not_shuffled(spark):
+    from fieldmill.plans.process import structured_rows
+    docs = spark.createDataFrame([(1, "[]", "json"), (2, "a\n1\n", "csv")], "doc_id int, text string, parser_type string")
+    plan = structured_rows(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan ExistingRDD") == 2
+
+
 @pytest.mark.parametrize("kind, value, status", [
     ("date", "2026-6-9", "valid"), ("date", "31/02/2026", "invalid"), ("date", "5/6/26", "valid"),
     ("date", "2026.06.09", "invalid"), ("currency", "RM 1,250.00", "valid"), ("currency", "1-2", "invalid"),
@@ -139,7 +181,7 @@ def test_sets_without_records_have_their_summary(spark):
     from fieldmill.plans.process import process_structured
     docs = spark.createDataFrame([(1, "[]", "json", None), (2, "a,b\n", "csv", None), (3, '\ufeff[{"k":1}]', "json", None), (4, '\ufeff{"k":1}', "json", None)],
                                  "doc_id int, text string, parser_type string, document_type_key string")
-    rows = process_structured(docs, Catalogue.bundled(), with_templates=False).collect()
+    rows = process_structured(docs, Catalogue.bundled()).collect()
     got = {(r.doc_id, r.field_name): r.value for r in rows}
     assert got[1, "summary"] == "0 JSON record(s)." and got[2, "summary"] == "0 CSV record(s)."
     assert got[3, "summary"] == "1 JSON record(s) with fields: k." and got[4, "summary"] == "JSON object with fields: k."

@@ -106,18 +106,26 @@ def csv_profile_text(t: Tables):
     return I.csv_profile(order_records(t))
 
 
-@query("json_source", """
+# Objects that name a member twice: the last value counts, at the first place.
+_REPEATED = """SELECT o_orderkey + 2000000000 AS doc_id, o_custkey AS customer, chr(123) || '"a":[1],"b":' || o_custkey || ',"a":"last"' || chr(125) AS text FROM """
+
+
+@query("json_source", f"""
 SELECT doc_id, shape, reason AS reject_reason, CASE shape
     WHEN 'object' THEN 'JSON document containing an object with keys: customer, day, lines, note, open, z.'
     WHEN 'array' THEN 'JSON document containing a list with 4 items.'
-    ELSE 'JSON document containing ' || shape || '.' END AS first_line
+    ELSE 'JSON document containing ' || shape || '.' END AS first_line, NULL AS whole
 FROM (SELECT doc_id, CASE WHEN NOT json_valid(text) THEN NULL ELSE CASE json_type(text) WHEN 'OBJECT' THEN 'object'
     WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'str' ELSE 'int' END END AS shape,
-    CASE WHEN NOT json_valid(text) THEN 'Invalid JSON' END AS reason FROM @json_docs j) s""")
+    CASE WHEN NOT json_valid(text) THEN 'Invalid JSON' END AS reason FROM @json_docs j) s
+UNION ALL SELECT doc_id, 'object', NULL, 'JSON document containing an object with keys: a, b.',
+  'JSON document containing an object with keys: a, b.' || chr(10) || '{{' || chr(10) || '  "a": "last",' || chr(10) || '  "b": ' || customer || chr(10) || '}}'
+FROM ({_REPEATED} orders) r""")
 def json_source(t: Tables):
-    return I.parse_json(t.json_docs).select(
-        "doc_id", "shape", "reject_reason",
-        F.when(F.col("shape").isNotNull(), F.substring_index("raw_text", "\n", 1)).alias("first_line"))
+    docs = t.json_docs.select("doc_id", "text").unionByName(t.sql(_REPEATED + "{orders}").select("doc_id", "text"))
+    return I.parse_json(docs).select(
+        "doc_id", "shape", "reject_reason", F.when(F.col("shape").isNotNull(), F.substring_index("raw_text", "\n", 1)).alias("first_line"),
+        F.when(F.col("doc_id") >= 2000000000, F.col("raw_text")).alias("whole"))
 
 
 _PAGES = """SELECT conv_id AS doc_id, turn + 1 AS page_no,

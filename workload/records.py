@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from fieldmill import constants as K
 from fieldmill.operators import ingest as I, records as R
-from fieldmill.plans.process import json_records
 from workload import duck as D
 from workload.ingest import NUMBERED, order_records
 from workload.registry import Tables, q, query
@@ -44,14 +43,14 @@ f AS (SELECT doc_id, key, min(i * 1000 + p) AS place FROM (SELECT doc_id, i, unn
     generate_subscripts(ks, 1) AS p FROM k) u GROUP BY doc_id, key)
 SELECT doc_id, string_agg(key, ', ' ORDER BY place) AS schema_keys FROM f GROUP BY doc_id""")
 def schema_key_union(t: Tables):
-    arrays = I.parse_json(t.json_docs).filter("shape = 'array'")
-    return R.schema_keys(json_records(arrays)).select("doc_id", F.array_join("schema_keys", ", ").alias("schema_keys"))
+    described = R.json_fields(t.json_docs).where("shape = 'array' and is_head and field_name = 'schema_fields'")
+    return described.select("doc_id", F.col("value").alias("schema_keys"))
 
 
 def _tree(where: str) -> str:
     """Leaves of valid JSON documents by DuckDB's own tree walk."""
     return f"""(SELECT d.doc_id, t.type, CASE WHEN t.type = 'NULL' THEN 'null' ELSE json_extract_string(t.value, '$') END AS leaf,
-      regexp_replace(substr(t.fullkey, 2), '^\\.', '') AS raw
+      regexp_replace(substr(t.fullkey, 2), '^\\.', '') AS raw, t.id AS place
       FROM (SELECT * FROM @json_docs j WHERE json_valid(text) AND {where}) d, json_tree(d.text) t
       WHERE t.type NOT IN ('OBJECT', 'ARRAY'))"""
 
@@ -61,8 +60,7 @@ _PATH = """CASE WHEN raw = '' THEN 'value' WHEN raw LIKE '[%' THEN 'records' ||
 
 @query("json_flatten", f"SELECT doc_id, {_PATH} AS path, leaf, false AS too_deep FROM {_tree('true')} x")
 def json_flatten(t: Tables):
-    parsed = I.parse_json(t.json_docs).filter("reject_reason is null").select("doc_id", "value")
-    return R.flatten(parsed, "value").select("doc_id", "path", "leaf", "too_deep")
+    return R.flatten(t.json_docs).select("doc_id", "path", "leaf", "too_deep")
 
 
 @query("json_array_to_fields", f"""
@@ -71,21 +69,21 @@ SELECT doc_id, path AS field_name, value, left(path || ': ' || value, 500) AS sn
     WHEN raw = '[1].w.w' THEN 'records[1].w' ELSE 'records' || replace(raw, '.tags[', '.tags.records[') END AS path,
     CASE WHEN raw = '[2]' THEN '"' || leaf || '"' ELSE leaf END AS value FROM {_tree("json_type(text) = 'ARRAY'")} x) f""")
 def json_array_to_fields(t: Tables):
-    arrays = I.parse_json(t.json_docs).filter("shape = 'array'")
-    return R.json_array_fields(arrays).select("doc_id", "field_name", "value", "snippet",
+    return R.json_array_fields(t.json_docs).select("doc_id", "field_name", "value", "snippet",
                                               F.col("source.json_path").alias("json_path"))
 
 
 @query("json_object_to_fields", f"""
 WITH o AS (SELECT doc_id, array_to_string(json_keys(text), ', ') AS keys FROM @json_docs j
            WHERE json_valid(text) AND json_type(text) = 'OBJECT')
-SELECT doc_id, {_PATH} AS field_name, leaf AS value FROM {_tree("json_type(text) = 'OBJECT'")} x
-UNION ALL SELECT doc_id, 'document_type', 'structured_json_object' FROM o
-UNION ALL SELECT doc_id, 'summary', 'JSON object with fields: ' || keys || '.' FROM o
-UNION ALL SELECT doc_id, 'schema_fields', keys FROM o""")
+SELECT doc_id, 2 + row_number() OVER (PARTITION BY doc_id ORDER BY place) AS pos, {_PATH} AS field_name, leaf AS value,
+  CAST(1 AS DOUBLE) AS confidence, left({_PATH} || ': ' || leaf, 500) AS snippet FROM {_tree("json_type(text) = 'OBJECT'")} x
+UNION ALL SELECT doc_id, 0, 'document_type', 'structured_json_object', 1, NULL FROM o
+UNION ALL SELECT doc_id, 1, 'summary', 'JSON object with fields: ' || keys || '.', 1, keys FROM o
+UNION ALL SELECT doc_id, 2, 'schema_fields', keys, 1, keys FROM o""")
 def json_object_to_fields(t: Tables):
-    objects = I.parse_json(t.json_docs).filter("shape = 'object'")
-    return R.json_object_fields(objects).select("doc_id", "field_name", "value")
+    return R.json_object_fields(t.json_docs).select("doc_id", "pos", "field_name", "value", "confidence", F.when(
+        F.col("field_name") != "document_type", F.col("snippet")).alias("snippet"))
 
 
 @query("json_scalar_to_fields", """
@@ -94,8 +92,7 @@ WITH s AS (SELECT doc_id, text, json_type(text) AS kind FROM @json_docs j WHERE
 SELECT doc_id, 'document_type' AS field_name, 'structured_json_' || CASE kind WHEN 'VARCHAR' THEN 'str' ELSE 'int' END AS value
 FROM s UNION ALL SELECT doc_id, 'value', text FROM s""")
 def json_scalar_to_fields(t: Tables):
-    scalars = I.parse_json(t.json_docs).filter("shape not in ('object', 'array')")
-    return R.json_scalar_fields(scalars).select("doc_id", "field_name", "value")
+    return R.json_scalar_fields(t.json_docs).select("doc_id", "field_name", "value")
 
 
 @query("embedded_json", """

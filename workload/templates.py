@@ -48,27 +48,42 @@ def resolve_mode(t: Tables):
         "doc_id", "document_type_key", "document_type_label", "extraction_mode")
 
 
-# Matched rows: every raw field with its template field, by a join on every candidate form.
-_MATCHED = f"""(SELECT f.*, m.fkey, m.forder, m.dtype, m.req, n.tname FROM @raw_fields f
+def matched(src: str) -> str:
+    """Field rows with their template field, by a join on every candidate form of the name."""
+    return f"""(SELECT f.*, m.fkey, m.forder, m.dtype, m.req, n.tname FROM {src} f
   LEFT JOIN (SELECT field_id, arg_min(fkey, forder) AS fkey, min(forder) AS forder, arg_min(dtype, forder) AS dtype,
-      arg_min(req, forder) AS req FROM (SELECT field_id, doc_template, unnest({D.candidates('field_name')}) AS c FROM @raw_fields f) c
+      arg_min(req, forder) AS req FROM (SELECT field_id, doc_template, unnest({D.candidates('field_name')}) AS c FROM {src} f) c
       JOIN (SELECT *, unnest(synonyms) AS syn FROM {D.template_fields()} x) s ON s.template = c.doc_template AND s.syn = c.c
       GROUP BY field_id) m USING (field_id)
   LEFT JOIN (SELECT DISTINCT template, tname FROM {D.template_fields()} x) n ON n.template = f.doc_template)"""
+
+
 _OFFICIAL = """CASE WHEN field_name LIKE 'records[%.%' THEN regexp_extract(field_name, '^(records\\[.*)\\.[^.]*$', 1) || '.' || fkey
   ELSE fkey END"""
-_NAMED = f"""(SELECT field_id, pos, doc_id, doc_template, tname, value, confidence, snippet, reasoning, fkey, forder,
+
+
+def named_sql(src: str) -> str:
+    return f"""(SELECT field_id, pos, doc_id, doc_template, tname, value, confidence, snippet, reasoning, fkey, forder,
   CASE WHEN fkey IS NOT NULL THEN {_OFFICIAL} WHEN tname IS NOT NULL THEN '{K.SUGGESTED}' ||
     coalesce(nullif({D.label_key('field_name')}, ''), 'unknown_field') ELSE field_name END AS field_name,
   CASE WHEN fkey IS NOT NULL THEN doc_template END AS template_key,
   CASE WHEN fkey IS NOT NULL THEN dtype WHEN tname IS NOT NULL THEN 'suggestion' END AS data_type,
   coalesce(req, false) AS required, CASE WHEN fkey IS NULL AND tname IS NOT NULL THEN true ELSE auto_accept END AS auto_accept
-  FROM {_MATCHED} m)"""
-_BEST = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, field_name ORDER BY confidence DESC, pos) AS rn
-  FROM {_NAMED} n WHERE fkey IS NOT NULL) b WHERE rn = 1)"""
-_MISSING = f"""(SELECT d.doc_id, d.doc_template, f.tname, f.fkey, f.forder, f.dtype FROM
-  (SELECT DISTINCT doc_id, doc_template FROM @raw_fields r) d JOIN {D.template_fields()} f ON f.template = d.doc_template AND f.req
-  WHERE NOT EXISTS (SELECT 1 FROM {_NAMED} n WHERE n.doc_id = d.doc_id AND n.fkey = f.fkey))"""
+  FROM {matched(src)} m)"""
+
+
+def best_sql(src: str) -> str:
+    return f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, field_name ORDER BY confidence DESC, pos) AS rn
+  FROM {named_sql(src)} n WHERE fkey IS NOT NULL) b WHERE rn = 1)"""
+
+
+def missing_sql(src: str) -> str:
+    return f"""(SELECT d.doc_id, d.doc_template, f.tname, f.fkey, f.forder, f.dtype FROM
+  (SELECT DISTINCT doc_id, doc_template FROM {src} r) d JOIN {D.template_fields()} f ON f.template = d.doc_template AND f.req
+  WHERE NOT EXISTS (SELECT 1 FROM {named_sql(src)} n WHERE n.doc_id = d.doc_id AND n.fkey = f.fkey))"""
+
+
+_MATCHED, _NAMED, _BEST, _MISSING = (make("@raw_fields") for make in (matched, named_sql, best_sql, missing_sql))
 
 
 @query("match_field", f"SELECT field_id, field_name, fkey AS field_key FROM {_MATCHED} m")
