@@ -198,14 +198,17 @@ def rooted(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> t
         named.select("node", "row_key"), ["node", "row_key"], "left_semi").dropDuplicates(["node"])
     nodes = stored(nodes, "minmax-distinct")
     banded = nodes.select("node", "n_shingles", F.explode("keys").alias("key"))
-    pivots = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    shared = stored(banded.join(pivots.select("key", "pivot"), "key"), "minmax-shared")
+    often = banded.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = stored(banded.join(often, "key"), "minmax-shared")
+    # the pivot of a key is its node that meets the most others: the text that copies were made of, rather than one of them
+    degree = shared.groupBy("node").agg(F.sum("_n").alias("_degree"))
+    pivots = shared.select("node", "key").join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("_degree", "node")).alias("pivot"))
     sized = F.lit(100) * F.least("n_shingles", "_nb") >= F.lit(percent) * F.greatest("n_shingles", "_nb")
 
     # one pivot for each key
     other = nodes.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("_nb"), *[F.col(c).alias(f"_{c}") for c in SKETCH])
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in SKETCH), F.lit(0))
-    stars = shared.where("node <> pivot").select("node", "pivot").distinct().join(nodes.select("node", "n_shingles", *SKETCH), "node")
+    stars = shared.select("node", "key").join(pivots, "key").where("node <> pivot").select("node", "pivot").distinct().join(nodes.select("node", "n_shingles", *SKETCH), "node")
     stars = stars.join(other, "pivot").where(sized & (differ <= hasher.most_different(percent)))
     stars = stored(stars.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "minmax-stars")
     touched = shared.select("node").distinct().join(named, "node").select("node", "row_key")
