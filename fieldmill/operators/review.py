@@ -9,7 +9,7 @@ from fieldmill.catalogue import Catalogue
 from fieldmill.functions import review as R
 from fieldmill.functions.common import is_blank, percent, strip
 from fieldmill.functions.validation import check, explain, validate
-from fieldmill.operators.skew import day_bucket, previous_values, keyed_join
+from fieldmill.operators.skew import bucketed_join, day_bucket, keyed_join, previous_values
 from fieldmill.operators.templates import match_fields
 
 AUDIT_COLUMNS = ["doc_id", "action", "actor", "details"]
@@ -196,7 +196,8 @@ def fold_actions(fields: DataFrame, actions: DataFrame) -> DataFrame:
         "field_id", F.col("doc_id").alias("_doc"), F.col("field_name").alias("_name"), "extracted_value",
         "standard_field_key", "data_type", "required",
         (F.col("accepted") & ~F.col("needs_review")).alias("_settled"))
-    a = keyed_join(actions, known, ["field_id"], "left")
+    # a hot field is spread by days from here on: its row goes to every day, and what happened is summed up per day
+    a = bucketed_join(actions, known, ["field_id"], F.coalesce(day_bucket(F.col("ts")), F.lit(0).cast("timestamp")))
     correct = F.col("kind") == "correct"
     name = strip(F.when(correct, F.nullif(F.col("field_name"), F.lit(""))))
     locked = F.coalesce(F.col("standard_field_key"), F.lit("")) != ""

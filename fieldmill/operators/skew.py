@@ -35,7 +35,7 @@ def previous_values(df: DataFrame, keys: list[str], bucket: Column, order: list[
     Looked up inside the bucket first, then in the closing values of the earlier buckets, so a
     group of any size is spread over as many tasks as it has buckets.
     """
-    tagged = df.withColumn("_bucket", bucket)
+    tagged = df if "_bucket" in df.columns else df.withColumn("_bucket", bucket)
     at = F.struct(*order)
     ends = tagged.groupBy(*keys, "_bucket").agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_end_{c}") for c in columns])
@@ -70,6 +70,17 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def bucketed_join(big: DataFrame, small: DataFrame, keys: list[str], bucket: Column, how: str = "left") -> DataFrame:
+    """Equi-join where ``small`` has one row per key, spread by (keys, bucket): no task gets all rows of a hot key.
+
+    The (key, bucket) pairs of ``big``, reduced before their shuffle, say how often a row of ``small`` is repeated. What follows and
+    groups by (keys, bucket), with the bucket under the name `_bucket`, needs no further exchange.
+    """
+    tagged = big.withColumn("_bucket", bucket)
+    copies = tagged.select(*keys, "_bucket").distinct().join(small, keys)
+    return tagged.join(copies, [*keys, "_bucket"], how)
+
+
 def day_bucket(ts: Column) -> Column:
     """Order-keeping bucket for event times."""
     return F.date_trunc("day", ts)

@@ -1,6 +1,7 @@
 """Hot groups, batching and reruns must not change results; simulations as brute force."""
 
 import random
+import re
 from collections import defaultdict
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
@@ -126,15 +127,50 @@ def test_replacing_sink(spark, tmp_path):
 
 
 def test_latest_values_stream_in_batches_and_reruns(spark, tmp_path):
-    write = S.keep_latest(str(tmp_path / "latest"), buckets=3)
+    path = tmp_path / "latest"
+    write = S.keep_latest(str(path))
     schema = "field_id long, corrected_value string, corrected_at timestamp, correction_id long"
     at = lambda s: datetime(2024, 1, 1, 0, 0, s)
     one = spark.createDataFrame([(1, "a", at(1), 1), (1, "b", at(5), 2), (2, "c", at(2), 3)], schema)
     two = spark.createDataFrame([(1, "old", at(3), 4), (3, "d", at(9), 5)], schema)
-    for n, batch in enumerate((one, two, two)):
-        write(batch, n)
-    got = files.read_fields(str(tmp_path / "latest"), spark).select("doc_id", "corrected_value")
-    assert rows(got) == [(1, "b"), (2, "c"), (3, "d")]
+    write(one, 0)
+    names = {f: f.stat().st_mtime_ns for f in (path / "version=0").iterdir()}
+    write(two, 1)
+    write(two, 1)  # a batch that is run again
+    assert {f: f.stat().st_mtime_ns for f in (path / "version=0").iterdir()} == names
+    got = lambda p: rows(S.read_latest(spark, str(p)).select("field_id", "corrected_value"))
+    assert got(path) == [(1, "b"), (2, "c"), (3, "d")]
+    assert S.compact_latest(spark, str(path), str(tmp_path / "compact")) == 1
+    assert got(tmp_path / "compact") == got(path)
+
+
+def test_a_hot_field_is_spread_by_days(spark):
+    fields = spark.createDataFrame([(7, 1, "a", "x", None, "string", False, False, True), (8, 1, "b", "y", None, "string", False, False, True)],
+                                   "field_id long, doc_id long, field_name string, extracted_value string, standard_field_key string, "
+                                   "data_type string, required boolean, accepted boolean, needs_review boolean")
+    data = [(i, datetime(2024, 1, 1) + timedelta(hours=7 * i), "correct", 7 if i % 5 else 8 + i % 2, None, f"v{i}", "u") for i in range(200)]
+    actions = spark.createDataFrame(data, "action_id long, ts timestamp, kind string, field_id long, field_name string, value string, actor string")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        folded = R.fold_actions(fields, actions)
+        plan = folded._jdf.queryExecution().executedPlan().toString()
+        exchanges = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+        # the actions are dealt out by field and day; by field alone go only the fields and the distinct pairs
+        assert any(re.match(r"field_id#\d+L, _bucket#\d+, ", e) for e in exchanges)
+        assert "Window" in plan and not re.search(r"Window(?:(?!Window).)*?Exchange hashpartitioning\(field_id#\d+L, \d+\)", plan.split("SortMergeJoin")[0], re.S)
+        got = {r.action_id: (r.old_value, r.new_value, r.outcome) for r in folded.collect()}
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    now = {7: "x", 8: "y"}
+    for i, _, _, field_id, _, value, _ in data:
+        if field_id in now:
+            assert got[i] == (now[field_id], value, "applied")
+            now[field_id] = value
+        else:
+            assert got[i][2] == "refused"
 
 
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):

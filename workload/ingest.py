@@ -8,6 +8,7 @@ from fieldmill import constants as K
 from fieldmill.operators import catalog, ingest as I
 from fieldmill.operators.skew import row_index
 from fieldmill.schemas import TEMPLATE_FILE
+from fieldmill.sources import versions as V
 from fieldmill.sources.csv_ranges import read_csv_records
 from fieldmill.sources.files import replace_by_document as replace_documents
 from workload import duck as D
@@ -253,6 +254,27 @@ def replace_by_document(t: Tables):
     return replace_documents(old, new.select(old.columns), docs)
 
 
+_REDONE_AGAIN = "SELECT field_id, doc_id, field_name, 'again ' || field_id AS value FROM "
+
+
+@query("versioned_sink", f"""
+SELECT field_id, doc_id, field_name, value FROM @raw_fields f WHERE doc_id % 3 <> 0
+UNION ALL {_REDONE} @raw_fields f WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0 AND field_name <> 'vendor'
+UNION ALL {_REDONE_AGAIN} @raw_fields f WHERE doc_id % 6 = 0 AND doc_id % 12 <> 0""")
+def versioned_sink(t: Tables):
+    """Writes all documents, writes a third of them again, then half of these (some without any row left), and reads back."""
+    path = new_folder(t)
+    rows = t.raw_fields.select("field_id", "doc_id", "field_name", "value")
+    docs = t.customer.select(F.col("c_custkey").alias("doc_id"))
+    def said(word, which):
+        return rows.where(which).withColumn("value", F.concat(F.lit(word), F.col("field_id").cast("string")))
+    V.append_documents(path, rows, docs, 1)
+    V.append_documents(path, said("redone ", "doc_id % 3 = 0 and field_name <> 'vendor'"), docs.where("doc_id % 3 = 0"), 2)
+    V.append_documents(path, said("again ", "doc_id % 6 = 0 and doc_id % 12 <> 0"), docs.where("doc_id % 6 = 0"), 3)
+    V.compact_documents(t.spark, path, f"{path}-compact")
+    return V.read_documents(t.spark, f"{path}-compact")
+
+
 @query("original_preview", """
 SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN text ELSE 'parsed ' || doc_id END AS original_preview FROM documents""")
 def original_preview(t: Tables):

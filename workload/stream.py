@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fieldmill.catalogue import Catalogue
-from fieldmill.sources.files import read_fields
+from fieldmill.sources.versions import versions
 from fieldmill.streaming import jobs as S
 from workload.process import SHOWN, SHOWN_SQL, run_sql
 from workload.registry import Tables, new_folder, query
@@ -32,22 +32,25 @@ def stream_extract(t: Tables):
 
 
 @query("stream_quota_counts", """
-SELECT 'p' || (user_id % 2) AS provider, 'm1' AS model, <<show:date_trunc('minute', ts)>> AS window_start, count(*) AS request_count
-FROM events WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)
-GROUP BY user_id % 2, date_trunc('minute', ts)""")
+SELECT 'p' || (user_id % 2) AS provider, 'm1' AS model, <<show:date_trunc('minute', ts)>> AS window_start, count(*) AS request_count, 0 AS late_requests,
+  date_trunc('minute', ts) + INTERVAL 1 MINUTE > (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) AS is_open
+FROM events WHERE ts IS NOT NULL GROUP BY user_id % 2, date_trunc('minute', ts)""")
 def stream_quota_counts(t: Tables):
     requests = _arriving(t, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.lit("m1").alias("model"),
         F.concat(F.lit("p"), (F.col("user_id") % 2).cast("string")).alias("provider"))
-    return _through(t, S.quota_counts(requests)).withColumn(
-        "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    root = new_folder(t)
+    S.run_available(requests, "", f"{root}/state", writer=S.append_counts(f"{root}/counts"))
+    return S.read_counts(t.spark, f"{root}/counts").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query("stream_dedup", "SELECT DISTINCT sha256(props) AS content_hash FROM events")
 def stream_dedup(t: Tables):
     copies = _arriving(t, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.sha2("props", 256).alias("content_hash"))
-    return _through(t, S.first_of_content(copies, "400 days")).select("content_hash")
+    root = new_folder(t)
+    S.run_available(copies, "", f"{root}/state", writer=S.append_new_content(f"{root}/contents"))
+    return versions(t.spark, f"{root}/contents").select("content_hash")
 
 
 @query("stream_latest_value", f"SELECT field_id, lastv AS corrected_value FROM {_LATEST} l")
@@ -60,4 +63,4 @@ def stream_latest_value(t: Tables):
             "WHEN 1 THEN '  inv-' || CAST(floor((event_id * 31) % 6007 / 6) AS BIGINT) WHEN 2 THEN '' "
             "WHEN 3 THEN 'Supplier ' || user_id ELSE 'Changed ' || event_id END").alias("corrected_value"))
     S.run_available(log, "", f"{root}/state", writer=S.keep_latest(f"{root}/latest"))
-    return read_fields(f"{root}/latest", t.spark).select(F.col("doc_id").alias("field_id"), "corrected_value")
+    return S.read_latest(t.spark, f"{root}/latest").select("field_id", "corrected_value")
