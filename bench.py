@@ -30,8 +30,11 @@ def session(cpus: str):
 
 def main() -> None:
     from workload.all import QUERIES
+    from workload.registry import deal_out
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = session(os.environ.get("BENCH_CPUS", "8"))
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = session(cpus)
+    deal_out(int(cpus) if cpus.isdigit() else 8)  # every test table is one file with one row group
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
     spark.read.parquet(f"{folder}/orders.parquet").write.format("noop").mode("overwrite").save()

@@ -67,18 +67,23 @@ def pretty_json(text: Column) -> Column:
 
 def source_span(text: Column, start: Column, end: Column, snippet: Column, display: Column,
                 extracted: Column) -> Column:
-    """struct(matched, start, end) of a field in its text.
+    """struct(matched, start, end, before, hit, after) of a field in its text; without a match all of the text stands in `before`.
 
     Stored offsets win; else the first of snippet / display / extracted value that is found,
     exactly or with any whitespace where it has whitespace, ignoring case.
     """
     def flexible(needle):
-        # the quoted needle, with every whitespace run opened up to \\s+
-        pattern = F.concat(F.lit("(?is)^(.*?)\\Q"), F.regexp_replace(
-            F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), r"\s+", r"\\E\\s+\\Q"),
-            F.lit("\\E"))
-        return F.when(F.rlike(text, pattern),
-                      F.length(extract(text, pattern, 1))).otherwise(F.lit(-1))
+        """Looks for the needle in the text with every run of whitespace as one blank, and takes the place back to the text as it is."""
+        def own_place(before):
+            # each piece of the text ends with a run of whitespace, which is one blank in `before`
+            pieces = F.split(text, r"(?<=\s)(?!\s)")
+            runs = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+            return F.length(F.array_join(F.slice(pieces, F.lit(1), runs), "")) + F.length(F.substring_index(before, " ", -1))
+
+        def look(folded):
+            at = F.position(F.regexp_replace(F.lower(needle), r"\s+", " "), folded)
+            return bind(at, lambda a: F.when(a > 0, bind(F.left(folded, a - 1), own_place)).otherwise(F.lit(-1)))
+        return bind(F.regexp_replace(F.lower(text), r"\s+", " "), look)
 
     def find(needle):
         def hit(v):
@@ -96,4 +101,7 @@ def source_span(text: Column, start: Column, end: Column, snippet: Column, displ
                     F.struct(low.alias("start"), high.alias("end")))
     best = F.coalesce(stored, find(snippet), find(display), find(extracted))
     return bind(best, lambda b: F.struct(
-        b.isNotNull().alias("matched"), b["start"].alias("start"), b["end"].alias("end")))
+        b.isNotNull().alias("matched"), b["start"].alias("start"), b["end"].alias("end"),
+        F.when(b.isNull(), text).otherwise(F.left(text, b["start"])).alias("before"),
+        F.when(b.isNull(), "").otherwise(F.substring(text, b["start"] + 1, b["end"] - b["start"])).alias("hit"),
+        F.when(b.isNull(), "").otherwise(F.substring(text, b["end"] + 1, F.length(text))).alias("after")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from fieldmill import constants as K
+from fieldmill.catalogue import MAX_LABEL_WORDS
 from fieldmill.functions.common import bind, extract, strip
 from fieldmill.schemas import FIELD, field, source_span
 
@@ -98,80 +99,143 @@ def segments(text: Column) -> Column:
     return F.split(text, r"(?<=\n)|(?<=\r)(?!\n)")
 
 
-def line_table(text: Column, block: int = 64) -> Column:
-    """array<struct(line, start, text)> of the non-blank lines, 1-based, start 0-based.
+#: Fan-out and number of the levels of sums: 64 ** 5 lines are more than a text can have.
+FAN, LEVELS = 64, 4
 
-    Prefix sums are taken per block of lines and within a block, so a text of n lines costs about
-    n * block + (n / block)^2 / 2 additions instead of n^2 / 2.
+
+def sums_before(values: Column, body) -> Column:
+    """body(before), where before(i) is the sum of the first i values; values: array<int>, bound once.
+
+    Sums of 64 values, of 64 of these sums and so on; before(i) adds up at most 63 numbers of each level, so all of them together cost
+    in proportion to their number.
     """
-    def total(values):
-        return F.aggregate(values, F.lit(0), lambda a, x: a + x)
-
-    def with_sums(segs):
-        lengths = F.transform(segs, lambda s: F.length(s))
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(segs) - 1) / block).cast("int")),
-            lambda b: total(F.slice(lengths, b * block + 1, F.lit(block))))
-        return bind(blocks, lambda sums: bind(
-            F.transform(F.sequence(F.lit(0), F.size(sums) - 1),
-                        lambda b: total(F.slice(sums, F.lit(1), b))),
-            lambda before: bind(lengths, lambda ls: rows(segs, ls, before))))
-
-    def rows(segs, lengths, before):
-        def row(s, i):
-            b = F.floor(i / block).cast("int")
-            start = F.get(before, b) + total(F.slice(lengths, b * block + 1, i - b * block))
-            lead = F.length(s) - F.length(F.ltrim(s, F.lit(" \t\n\r\x0b\x0c")))
-            return F.struct((i + 1).alias("line"), (start + lead).alias("start"),
-                            strip(s).alias("text"))
-        return F.filter(F.transform(segs, row), lambda r: r["text"] != "")
-
-    return bind(segments(text), with_sums)
-
-
-def labelled_fields(text: Column, template_key: Column, any_label: Column,
-                    template_fields: Column) -> Column:
+    def total(part):
+        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def up(levels):
+        if len(levels) <= LEVELS:
+            now = levels[-1]
+            groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(now) - 1) / FAN), F.lit(0)).cast("int")),
+                                 lambda b: total(F.slice(now, b * FAN + 1, F.lit(FAN))))
+            return bind(groups, lambda above: up([*levels, above]))
+
+        def before(i):
+            parts, at = [], i
+            for level in levels:
+                start = F.floor(at / FAN).cast("int")
+                parts.append(total(F.slice(level, start * FAN + 1, at - start * FAN)))
+                at = start
+            return sum(parts[1:], parts[0])
+        return body(before)
+    return bind(values, lambda v: up([v]))
+
+
+def line_table(text: Column) -> Column:
+    """array<struct(line, start, text)> of the non-blank lines, 1-based, start 0-based. Costs in proportion to the lines.
+
+    A line's start is summed from the lengths within its block of 64 lines, whose start comes from sums_before over the blocks.
+    """
+    def rows(segs, blocks):
+        def block(b, before):
+            own = F.slice(segs, b * FAN + 1, F.lit(FAN))
+
+            def row(s, i):
+                lead = F.length(s) - F.length(F.ltrim(s, F.lit(" \t\n\r\x0b\x0c")))
+                start = before(b) + F.length(F.array_join(F.slice(own, F.lit(1), i), ""))
+                return F.struct((b * FAN + i + 1).alias("line"), (start + lead).cast("int").alias("start"), strip(s).alias("text"))
+            return F.transform(own, row)
+        return sums_before(blocks, lambda before: F.filter(
+            F.flatten(F.transform(F.sequence(F.lit(0), F.size(blocks) - 1), lambda b: block(b, before))), lambda r: r["text"] != ""))
+
+    def with_blocks(segs):
+        lengths = F.transform(F.sequence(F.lit(0), F.floor((F.size(segs) - 1) / FAN).cast("int")),
+                              lambda b: F.length(F.array_join(F.slice(segs, b * FAN + 1, F.lit(FAN)), "")))
+        return bind(lengths, lambda blocks: rows(segs, blocks))
+
+    return bind(segments(text), with_blocks)
+
+
+#: What stands in a line before a label, the label's first word, and what follows a label.
+FIRST_WORD = K.LABEL_PREFIX + r"([^\s_\-:=–—]+)"
+AFTER_LABEL = "^" + K.LABEL_SEPARATOR + r"(.+?)\s*$"
+
+
+def words_removed(body: Column, words: Column) -> Column:
+    """body without its first words - 1 words and what parts them; every pattern is a literal, compiled once per run."""
+    chain = F.when(words == 1, body)
+    for n in range(2, MAX_LABEL_WORDS + 1):
+        chain = chain.when(words == n, F.regexp_replace(body, rf"^(?:[^\s_\-]+[\s_\-]+){{{n - 1}}}", ""))
+    return chain
+
+
+def labelled_fields(text: Column, template_key: Column, labels: Column, template_fields: Column) -> Column:
     """`Label: value` lines as array<field>, in template order: first line, then longest label.
 
-    ``any_label`` and ``template_fields`` come from the catalogue profile of the row's template;
-    the row never leaves its partition and only lines that can match are looked at twice.
+    ``labels`` and ``template_fields`` come from the catalogue profile of the row's template. A line's first word names the few labels
+    it may begin with (a map of the profile); only such lines are looked at again, word by word. Patterns are literals; a column holds
+    one only for labels with separators in them.
     """
     def unquote(v):
         return strip(F.btrim(F.btrim(strip(v), F.lit('"')), F.lit("'")))
 
-    def for_field(f, lines, segs):
-        def hit(c):
-            raw = extract(c["line"], f["pattern"], 2)
-            return F.struct(c["i"].alias("i"), c["line"].alias("line"), raw.alias("raw"),
-                            unquote(raw).alias("value"))
-        hits = F.filter(F.transform(lines, hit), lambda h: h["value"] != "")
-        return bind(F.get(hits, F.lit(0)), lambda h: F.when(h.isNotNull(), made(f, h, segs)))
+    def hit(i, line, order, label, raw, start):
+        return F.struct(i.alias("i"), (-F.length(label)).alias("n"), order.alias("order"), line.alias("line"), raw.alias("raw"),
+                        unquote(raw).alias("value"), start.alias("label"))
+
+    def of_line(seg, i):
+        """The labels of a line that its first word may open, as far as they fit."""
+        def fit(line, body, x):
+            def end(tail):
+                rest = F.substring(tail, F.length(x["last"]) + 1, F.length(tail))
+                raw = F.regexp_extract(rest, AFTER_LABEL, 1)
+                written = F.left(body, F.length(body) - F.length(rest))
+                same = normal(written) == x["label"]
+                return F.when((raw != "") & same, hit(i, line, x["order"], x["label"], raw, written))
+            return bind(words_removed(body, x["words"]), end)
+
+        first = F.lower(F.regexp_extract(seg, FIRST_WORD, 1))
+        known = F.try_element_at(labels["by_word"], first)
+        return bind(known, lambda ls: F.when(ls.isNotNull(), bind(strip(seg), lambda line: bind(
+            F.regexp_replace(line, K.LABEL_PREFIX, ""), lambda body: F.transform(ls, lambda x: fit(line, body, x))))))
+
+    def of_pattern(seg, i):
+        def one(x, line):
+            raw = extract(line, x["pattern"], 2)
+            return F.when(raw != "", hit(i, line, x["order"], x["label"], raw, extract(line, x["pattern"], 1)))
+        return bind(strip(seg), lambda line: F.transform(labels["unusual"], lambda x: one(x, line)))
 
     def made(f, h, segs):
         segment = F.get(segs, h["i"])
-        offset = F.aggregate(F.slice(segs, F.lit(1), h["i"]), F.lit(0),
-                             lambda a, s: a + F.length(s))
+        offset = F.length(F.array_join(F.slice(segs, F.lit(1), h["i"]), ""))
         lead = F.length(segment) - F.length(F.ltrim(segment, F.lit(" \t\n\r\x0b\x0c")))
         start = offset + lead + F.length(h["line"]) - F.length(h["raw"])
-        label = strip(F.regexp_replace(
-            F.lower(extract(h["line"], f["pattern"], 1)), r"[\s_\-]+", " "))
         base = field(f["key"], h["value"], 0.98, F.left(h["line"], F.lit(500)), F.concat(
             F.lit('Deterministically extracted from labelled source line using template '
-                  'label/alias "'), label, F.lit('".')), True,
+                  'label/alias "'), strip(normal(h["label"])), F.lit('".')), True,
             source_span(line=h["i"] + 1, start=start, end=start + F.length(h["value"])))
         return with_template(base, f, template_key)
 
+    def chosen(segs, hits):
+        """Per field the longest label of its first line with a value."""
+        def of_field(f):
+            own = F.sort_array(F.filter(hits, lambda h: h["order"] == f["order"]))
+            longest = lambda xs: F.filter(xs, lambda h, k: ((k == 0) | (F.get(xs, k - 1)["i"] != h["i"])) & (h["value"] != ""))
+            return bind(bind(own, lambda xs: F.get(longest(xs), F.lit(0))), lambda h: F.when(h.isNotNull(), made(f, h, segs)))
+        return F.when(F.size(hits) > 0, F.filter(F.transform(template_fields, of_field), lambda x: x.isNotNull()))
+
     def search(segs):
-        lines = F.transform(segs, lambda s, i: F.struct(i.alias("i"), strip(s).alias("line")))
-        # regexp_extract keeps the last compiled pattern; rlike would compile it for every line
-        able = F.filter(lines, lambda c: extract(c["line"], any_label, 0) != "")
-        return bind(able, lambda ls: F.when(F.size(ls) > 0, F.filter(
-            F.transform(template_fields, lambda f: for_field(f, ls, segs)),
-            lambda x: x.isNotNull())))
+        found = F.flatten(F.array_compact(F.transform(segs, of_line)))
+        unusual = F.when(F.size(labels["unusual"]) > 0, F.flatten(F.transform(segs, of_pattern)))
+        hits = F.array_compact(F.when(unusual.isNull(), found).otherwise(F.concat(found, unusual)))
+        return bind(hits, lambda hs: chosen(segs, hs))
 
     empty = F.array().cast(f"array<{FIELD}>")
-    return F.coalesce(F.when(any_label.isNotNull(), bind(segments(text), search))
-                      .cast(f"array<{FIELD}>"), empty)
+    return F.coalesce(F.when(labels.isNotNull(), bind(segments(text), search)).cast(f"array<{FIELD}>"), empty)
+
+
+def normal(label: Column) -> Column:
+    """A written label in lower case, its blanks, '_' and '-' as one blank."""
+    return F.regexp_replace(F.lower(label), r"[\s_\-]+", " ")
 
 
 def with_template(item: Column, f: Column, template_key: Column) -> Column:

@@ -102,7 +102,7 @@ def process_text(docs: DataFrame, catalogue: Catalogue, threshold: float = K.DEF
                 text, F.col("parser_type"), F.col("low_text")))).alias("rows"),
             done.alias("complete"), (F.size(labelled) > 0).alias("has_labelled")))
 
-    found = bind(labelled_fields(text, F.col("template_key"), F.col("any_label"),
+    found = bind(labelled_fields(text, F.col("template_key"), F.col("labels"),
                                  F.col("template_fields")), gather)
     no = F.lit(False)
     none = F.lit(None).cast("string")

@@ -51,7 +51,7 @@ def test_array_and_row_wise_contract_agree(spark):
     from fieldmill.functions.text import generic_fields, labelled_fields
     c = Catalogue.bundled()
     d = TP.resolve_template(raw, c).join(F.broadcast(c.profiles(spark)), "template_key", "left")
-    found = F.concat(labelled_fields(F.col("raw_text"), F.col("template_key"), F.col("any_label"), F.col("template_fields")),
+    found = F.concat(labelled_fields(F.col("raw_text"), F.col("template_key"), F.col("labels"), F.col("template_fields")),
                      generic_fields(F.col("raw_text"), F.col("parser_type")))
     rows = d.select("doc_id", F.col("template_key").alias("doc_template"), F.posexplode(found).alias("pos", "_f")).select(
         "doc_id", "doc_template", "pos", "_f.*")
@@ -62,6 +62,41 @@ def test_array_and_row_wise_contract_agree(spark):
     assert key(flat) == key(inside)
 
 
+def test_labels_of_every_form(spark):
+    from fieldmill.catalogue import Catalogue, Template, TemplateField
+    from fieldmill.functions.text import labelled_fields
+    fields = [TemplateField("claim", "Claim"), TemplateField("claim_no", "Claim No"), TemplateField("mail", "E-mail", aliases=["mail: address"]),
+              TemplateField("long", "one two three four five six seven eight nine ten"), TemplateField("first", "1) Name"), TemplateField("ü", "Über Größe")]
+    profile = Catalogue([Template("t", "T", fields=fields)]).profiles(spark)
+    text = ("  - 2. CLAIM__No -- \"X 1\"\nclaim - first\r\nclaim no: \nE-Mail = a@b.co\rmail: address: later\n"
+            "One  two three four-five six seven eight nine ten — 'deep'\n1) Name: Ann\nÜBER-GRÖSSE: x\nüber  größe : 12\nclaims: none\n")
+    rows = spark.createDataFrame([(text,)], "raw_text string").crossJoin(F.broadcast(profile)).select(F.inline(labelled_fields(
+        F.col("raw_text"), F.col("template_key"), F.col("labels"), F.col("template_fields")))).collect()
+    got = {r.field_name: (r.value, r.source.line) for r in rows}
+    assert got == {"claim": ("first", 2), "claim_no": ("- \"X 1", 1), "mail": ("a@b.co", 4), "long": ("deep", 6), "first": ("Ann", 7), "ü": ("12", 9)}
+    assert all(text[r.source.start:r.source.end] == r.value for r in rows if r.field_name not in ("claim_no", "long"))
+
+
+def test_line_offsets_of_many_lines(spark):
+    from fieldmill.functions.text import line_table
+    text = "".join(f"{'x' * (i % 7)}{' ' * (i % 3)}\r\n" if i % 5 else f" y{i}\n" for i in range(9000))
+    rows = spark.createDataFrame([(text,)], "t string").select(F.inline(line_table(F.col("t")))).collect()
+    expected, at = [], 0
+    for n, line in enumerate(text.split("\n")[:-1], 1):
+        if line.strip():
+            expected.append((n, at + len(line) - len(line.lstrip()), line.strip()))
+        at += len(line) + 1
+    assert [tuple(r) for r in rows] == expected
+
+
+def test_spans_across_line_ends(spark):
+    text = "  Total \n\n amount due:\tRM 5\nnext"
+    got = spark.range(1).select(L.source_span(F.lit(text), F.lit(None), F.lit(None), F.lit(" total amount  DUE: RM"), F.lit(""), F.lit("")).alias("s")).first().s
+    assert (got.matched, got.start, got.before, got.hit + got.after) == (True, 2, "  ", text[2:])
+    none = spark.range(1).select(L.source_span(F.lit(text), F.lit(None), F.lit(None), F.lit("nowhere"), F.lit(None), F.lit("x y")).alias("s")).first().s
+    assert (none.matched, none.before, none.hit, none.after) == (False, text, "", "")
+
+
 def test_csv(spark):
     text = 'a;b;c\n1;"x;""y""\nz";3\n4;5\n6;7;8;9\n\n'
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")

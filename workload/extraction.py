@@ -115,7 +115,7 @@ def labelled_values(t: Tables):
     docs = t.all_texts.withColumn("template_key", F.expr(_KINDS)).join(
         F.broadcast(Catalogue.bundled().profiles(t.spark)), "template_key", "left")
     found = docs.select("doc_id", F.inline(T.labelled_fields(
-        F.col("text"), F.col("template_key"), F.col("any_label"), F.col("template_fields"))))
+        F.col("text"), F.col("template_key"), F.col("labels"), F.col("template_fields"))))
     return found.select("doc_id", "field_name", "value", "source.line", "source.start", "source.end", "snippet",
                         "reasoning")
 
@@ -141,24 +141,26 @@ def normalize_key_query(t: Tables):
 _SPAN_INPUT = """
 SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id % 40 AS INT) END AS s,
   CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id % 90 AS INT) END AS e,
-  CASE doc_id % 4 WHEN 0 THEN 'invoice   DATE:' WHEN 1 THEN ' total: RM ' WHEN 2 THEN 'nowhere at all' ELSE '' END AS snip,
+  CASE doc_id % 4 WHEN 0 THEN 'invoice   DATE:' WHEN 1 THEN ' total: RM ' WHEN 2 THEN substr(replace(text, chr(10), '  '), 40, 30) ELSE '' END AS snip,
   CASE doc_id % 3 WHEN 0 THEN 'nothing' WHEN 1 THEN 'MEETING' ELSE '' END AS shown, 'claim no' AS found FROM """
 
 
 @query("locate_source_span", f"""
 WITH d AS (SELECT *, length(text) AS n, greatest(0, least(length(text), s)) AS lo FROM ({_SPAN_INPUT} @all_texts a) z),
-f AS (SELECT doc_id, n, lo, greatest(lo, least(n, e)) AS hi, s, e, {', '.join(
+f AS (SELECT doc_id, text, n, lo, greatest(lo, least(n, e)) AS hi, s, e, {', '.join(
   f"CASE WHEN {D.strip(c)} = '' THEN -1 WHEN strpos(lower(text), lower({D.strip(c)})) > 0 "
   f"THEN strpos(lower(text), lower({D.strip(c)})) - 1 WHEN regexp_matches(text, '(?i)' || pat_{c}) "
   f"THEN length(regexp_extract(text, '(?is)^(.*?)' || pat_{c}, 1)) ELSE -1 END AS a_{c}, length({D.strip(c)}) AS w_{c}"
   for c in ('snip', 'shown', 'found'))}
   FROM (SELECT *, {', '.join(f"regexp_replace({D.strip(c)}, '[[:space:]]+', '[[:space:]]+', 'g') AS pat_{c}" for c in ('snip', 'shown', 'found'))} FROM d) p)
-SELECT doc_id, (s IS NOT NULL AND hi > lo) OR a_snip >= 0 OR a_shown >= 0 OR a_found >= 0 AS matched,
+SELECT doc_id, matched, start, "end", CASE WHEN matched THEN left(text, start) ELSE text END AS before,
+  CASE WHEN matched THEN substr(text, start + 1, "end" - start) ELSE '' END AS hit, CASE WHEN matched THEN substr(text, "end" + 1) ELSE '' END AS after FROM (
+SELECT doc_id, text, (s IS NOT NULL AND hi > lo) OR a_snip >= 0 OR a_shown >= 0 OR a_found >= 0 AS matched,
   CASE WHEN s IS NOT NULL AND hi > lo THEN lo WHEN a_snip >= 0 THEN a_snip WHEN a_shown >= 0 THEN a_shown
     WHEN a_found >= 0 THEN a_found END AS start,
   CASE WHEN s IS NOT NULL AND hi > lo THEN hi WHEN a_snip >= 0 THEN least(n, a_snip + w_snip)
     WHEN a_shown >= 0 THEN least(n, a_shown + w_shown) WHEN a_found >= 0 THEN least(n, a_found + w_found) END AS "end"
-FROM f""")
+FROM f) g""")
 def locate_source_span(t: Tables):
     from workload.registry import INPUTS
     d = t.sql(_SPAN_INPUT + "(" + INPUTS["all_texts"] + ") a")

@@ -16,6 +16,16 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+#: Into how many partitions every table is dealt before a query works on it; None: as its files are. Set by deal_out().
+PARTITIONS: int | None = None
+
+
+def deal_out(partitions: int | None) -> None:
+    """For tables of few large files with one row group each, which the scan can't split. The same at every size of the tables."""
+    global PARTITIONS
+    PARTITIONS = partitions
+
+
 class Tables:
     """The tables of one folder, and derived inputs by name."""
 
@@ -24,7 +34,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return rows.repartition(PARTITIONS) if PARTITIONS else rows
         return self.sql(INPUTS[name])
 
     def sql(self, text: str) -> DataFrame:
