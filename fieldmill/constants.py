@@ -87,6 +87,8 @@ OBJECT_REASONS = ["Valid JSON object parsed successfully.",
                   "Valid scalar JSON parsed successfully."]
 MISSING_SNIPPET = "Required template field was not found in the extracted data."
 FALLBACK_ERROR_REASON = "Configured AI provider failed, so deterministic fallback was used."
+FALLBACK_LIMIT_REASON = ("AI provider quota was exhausted, so deterministic fallback was used because "
+                         "AI_DEFER_ON_RATE_LIMIT=false.")
 MANUAL_SNIPPET = "Manually added by reviewer; not present as an AI-extracted field."
 MANUAL_MARK = "Manually added by reviewer"
 MANUAL_REASON = ("Manually added by reviewer because this field was absent from the extracted "
@@ -175,6 +177,26 @@ PARSER_LABELS = {
     "json": "Pretty JSON preview",
     "csv": "CSV table preview",
 }
+# --- Fixed values: audit texts of documents, jobs, fields and briefings (in braces: columns) ------------
+AUDIT_TEXTS = {
+    "document_created": "Raw input parsed via {parser_type}; document and durable processing job stored in PostgreSQL. "
+                        "Mode: {extraction_mode}. ",
+    "template_selected": "Template selected: {document_type_label}.",
+    "no_template_selected": "No template selected; free discovery extraction will be used.",
+    "job_queued": "Celery received only the PostgreSQL processing_jobs.id.",
+    "field_manually_added": '{field_name}: manually added with value "{extracted_value}". Validation status: {validation_status}.',
+    "field_removed": '{field_name}: removed from extracted fields. Previous display value was "{display_value}".',
+    "processing_skipped_rejected_document": "Job {job_id} skipped because document #{doc_id} is rejected.",
+    "processing_write_skipped_rejected_document": "Job {job_id} completed extraction work but skipped database writes because "
+                                                  "document #{doc_id} was rejected.",
+    "ai_rate_limited_job_deferred": "Job {job_id} kept pending because {provider}/{model} reached its {window_type} quota of {quota}. "
+                                    "Next retry after {retry_at}.",
+    "ai_review_assistant_completed": "AI Review Assistant generated reviewer briefing using {provider}/{model}.",
+    "ai_review_assistant_fallback_created": "Deterministic AI Review Assistant fallback created. Reason: {reason}",
+    "ai_review_assistant_deferred_or_skipped": "AI Review Assistant provider skipped because quota was reached: {error}",
+    "ai_review_assistant_skipped": "AI Review Assistant provider failed non-fatally: {error}",
+}
+
 MODE_LABELS = {
     "auto_detect": "Auto-detect template",
     "discovery": "Free Extraction",

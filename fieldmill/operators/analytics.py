@@ -41,14 +41,20 @@ def search_documents(docs: DataFrame, status: str | None = None, q: str | None =
 
 
 def search_table(df: DataFrame, id_column: str, q: str | None = None, limit: int = 100,
-                 offset: int = 0) -> DataFrame:
-    """Rows of any table with the text in any string column, newest id first, one page."""
+                 offset: int = 0, after: int | None = None) -> DataFrame:
+    """Rows of any table with the text in any string column, newest id first, one page.
+
+    ``after``: the last id of the page before. The filter on it reaches the scan, so a page costs what follows the one before and
+    never what was shown already; ``offset`` reads and sorts all that it skips and is there for the first few pages.
+    """
     if not 1 <= limit <= 500 or offset < 0:
         raise ValueError("limit must be between 1 and 500, offset at least 0")
     if q and q.strip():
         names = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
         if names:
             df = df.filter(_any([_like(c, q.strip()) for c in names]))
+    if after is not None:
+        df = df.filter(F.col(id_column) < after)
     return df.orderBy(F.desc(id_column)).offset(offset).limit(limit)
 
 

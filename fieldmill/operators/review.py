@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldmill import constants as K
@@ -384,6 +386,66 @@ def audit_rows(df: DataFrame, action: str, actor: str, details: Column) -> DataF
                      details.alias("details"))
 
 
+def audit_text(action: str, shown: dict[str, Column] | None = None) -> Column:
+    """The text of an audit action with its columns filled in; ``shown`` replaces columns by expressions."""
+    shown = shown or {}
+    parts = re.split(r"\{(\w+)\}", K.AUDIT_TEXTS[action])
+    return F.concat(*[shown.get(x, F.col(x)).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts) if i % 2 or x])
+
+
+def creation_audit(documents: DataFrame) -> DataFrame:
+    """Audit rows of new documents: doc_id, parser_type, extraction_mode, document_type_label (NULL without a chosen template)."""
+    chosen = F.when(F.col("document_type_label").isNotNull(), audit_text("template_selected")).otherwise(audit_text("no_template_selected"))
+    rows = F.array(F.struct(F.lit("document_created").alias("action"), F.concat(audit_text("document_created"), chosen).alias("details")),
+                   F.struct(F.lit("job_queued").alias("action"), audit_text("job_queued").alias("details")))
+    return documents.select("doc_id", F.explode(rows).alias("_a")).select("doc_id", "_a.action", F.lit("api").alias("actor"), "_a.details")
+
+
+def addition_audit(added: DataFrame) -> DataFrame:
+    """Audit rows of what apply_additions has added."""
+    return added.where("outcome = 'added'").select("doc_id", F.lit("field_manually_added").alias("action"), "actor",
+                                                   audit_text("field_manually_added").alias("details"))
+
+
+def removal_audit(removals: DataFrame) -> DataFrame:
+    """Audit rows of removed fields: the report of apply_removals with doc_id, actor and display_value."""
+    return removals.where("outcome = 'removed'").select("doc_id", F.lit("field_removed").alias("action"), "actor",
+                                                        audit_text("field_removed").alias("details"))
+
+
+def job_audit(jobs: DataFrame) -> DataFrame:
+    """Audit rows of jobs that did not finish: doc_id, job_id, ending, error, provider, model, window_type, quota, retry_at.
+
+    ending: rejected_before, rejected_while, deferred or failed; other endings leave no row.
+    """
+    ending = F.col("ending")
+    kinds = {"rejected_before": "processing_skipped_rejected_document", "rejected_while": "processing_write_skipped_rejected_document",
+             "deferred": "ai_rate_limited_job_deferred"}
+    row = F.when(ending == "failed", F.struct(F.lit("processing_failed").alias("action"), F.col("error").alias("details")))
+    for name, action in kinds.items():
+        row = row.when(ending == name, F.struct(F.lit(action).alias("action"), audit_text(action).alias("details")))
+    return jobs.select("doc_id", F.explode(F.array_compact(F.array(row))).alias("_a")).select(
+        "doc_id", "_a.action", F.lit("worker").alias("actor"), "_a.details")
+
+
+def briefing_audit(briefed: DataFrame) -> DataFrame:
+    """Audit rows of briefings: doc_id, provider, model, limited, error (NULL unless the model's quota was used up, or it failed).
+
+    A briefing by a model has one row; else what kept the model away, if anything, and the deterministic briefing that stands in.
+    """
+    by_model = F.col("provider") != "system"
+    reason = (F.when(F.col("limited").isNotNull(), F.concat(F.lit("provider quota was reached: "), "limited"))
+              .when(F.col("error").isNotNull(), F.concat(F.lit("provider failed non-fatally: "), "error"))
+              .otherwise(K.BRIEFING["default_reason"]))
+    row = lambda action, **shown: F.struct(F.lit(action).alias("action"), audit_text(action, shown).alias("details"))
+    rows = F.array_compact(F.array(
+        F.when(by_model, row("ai_review_assistant_completed")),
+        F.when(~by_model & F.col("limited").isNotNull(), row("ai_review_assistant_deferred_or_skipped", error=F.col("limited"))),
+        F.when(~by_model & F.col("limited").isNull() & F.col("error").isNotNull(), row("ai_review_assistant_skipped")),
+        F.when(~by_model, row("ai_review_assistant_fallback_created", reason=reason))))
+    return briefed.select("doc_id", F.explode(rows).alias("_a")).select("doc_id", "_a.action", F.lit("worker").alias("actor"), "_a.details")
+
+
 def processing_audit(runs: DataFrame, threshold: float = K.DEFAULT_THRESHOLD) -> DataFrame:
     """Audit rows of finished runs (doc_id, job_id, strategy, status, accepted_fields, review_fields).
 
@@ -419,7 +481,7 @@ def briefings(documents: DataFrame, fields: DataFrame, threshold: float = K.DEFA
               use_validation: bool = True) -> DataFrame:
     """Reviewer briefing per document.
 
-    ``documents``: doc_id, filename, document_type_label, strategy. ``fields``: doc_id, pos,
+    ``documents``: doc_id, filename, document_type_label, document_type_key, strategy. ``fields``: doc_id, pos,
     field_name, value, required, confidence, validation_status, validation_message. At most
     ``listed`` names of a kind are gathered per document (limited before the shuffle too); counts
     and the average cover all rows. ``use_validation=False`` leaves validation results out.
@@ -454,7 +516,10 @@ def briefings(documents: DataFrame, fields: DataFrame, threshold: float = K.DEFA
         F.when(F.col("n_missing") > 0, joined(say["missing"], "missing")).otherwise(none),
         F.col("failures"), F.when(F.col("n_low") > 0, joined(say["low"], "low")).otherwise(none),
         F.when(F.col("n") == 0, F.array(F.lit(say["none"]))).otherwise(none))
+    # the template's name, else its key
     label = F.nullif(F.col("document_type_label"), F.lit(""))
+    if "document_type_key" in documents.columns:
+        label = F.coalesce(label, F.nullif(F.col("document_type_key"), F.lit("")))
     checks = F.array_compact(F.array(
         F.when(label.isNotNull(), F.concat(F.lit(say["template"]), label, F.lit(".")))
         .otherwise(say["no_template"]),

@@ -269,38 +269,69 @@ def required_complete(labelled: DataFrame, catalogue: Catalogue) -> DataFrame:
 
 def strategy(complete: Column, has_labelled: Column, eligible: Column, cached: Column,
              fresh: Column, error: Column, provider: Column, model: Column,
-             template_key: Column) -> Column:
-    """Name of the cheapest sufficient strategy; the first that applies wins.
+             template_key: Column, limited: Column | None = None, fall_back: Column | None = None,
+             defer: Column | None = None) -> Column:
+    """Name of the cheapest sufficient strategy; the first that applies wins. NULL where the run ends without one (see outcome).
 
-    complete: labelled values suffice; cached / fresh: a stored / new model result with fields;
-    error: the model failed.
+    complete: labelled values suffice; cached / fresh: a stored / new model result with fields; error: the model failed;
+    limited: its quota was used up (what it said); fall_back: deterministic fields replace what the model does not give (default:
+    yes); defer: with the quota used up the run waits for the next window (default: yes).
     """
+    limited = F.lit(None).cast("string") if limited is None else limited
+    fall_back = F.lit(True) if fall_back is None else fall_back
+    waits, fails = _unfinished(complete, eligible, cached, error, limited, fall_back, defer)
     suffix = F.when(template_key.isNotNull(), F.concat(F.lit(":template:"), template_key)).otherwise("")
     run = F.concat(provider, F.lit(":"), model)
     return (F.when(complete, F.concat(F.lit("deterministic_labelled"), suffix))
             .when(eligible & cached, F.concat(F.lit("ai_cache:"), run, suffix))
+            .when(waits | fails, None)
+            .when(eligible & limited.isNotNull(),
+                  F.concat(F.lit("deterministic_fallback_after_ai_rate_limit:"), provider))
             .when(eligible & error.isNotNull(),
                   F.concat(F.lit("deterministic_fallback_after_ai_error:"), provider))
             .when(eligible & (fresh | has_labelled), F.concat(F.lit("ai:"), run, suffix))
+            .when(eligible & ~fall_back, F.concat(F.lit("ai:"), run, F.lit(":empty")))
             .otherwise(F.concat(F.when(has_labelled, "deterministic_labelled")
                                 .otherwise("deterministic"), suffix)))
 
 
+def _unfinished(complete, eligible, cached, error, limited, fall_back, defer):
+    """(the run waits for its quota, the run fails) as two conditions."""
+    asked = ~complete & eligible & ~cached
+    defer = F.lit(True) if defer is None else defer
+    waits = asked & limited.isNotNull() & defer
+    fails = asked & ~fall_back & ((limited.isNotNull() & ~defer) | (limited.isNull() & error.isNotNull()))
+    return waits, fails
+
+
+def outcome(complete: Column, eligible: Column, cached: Column, error: Column, limited: Column, fall_back: Column,
+            defer: Column) -> Column:
+    """How the run of a document ends: done, deferred (quota used up) or failed (the model failed and nothing replaces it)."""
+    waits, fails = _unfinished(complete, eligible, cached, error, limited, fall_back, defer)
+    return F.when(waits, "deferred").when(fails, "failed").otherwise("done")
+
+
 def choose_fields(decisions: DataFrame, labelled: DataFrame, model: DataFrame,
                   generic: DataFrame) -> DataFrame:
     """The field rows each document's strategy asks for, as one union.
 
-    ``decisions``: doc_id, strategy, error. Every branch is cut down by its own join first.
+    ``decisions``: doc_id, strategy, error, and limited where quotas count. Every branch is cut down by its own join first.
+    Documents without a strategy, and those with an empty model result, have no rows.
     """
-    plan = decisions.select("doc_id", "strategy", "error")
+    if "limited" not in decisions.columns:
+        decisions = decisions.withColumn("limited", F.lit(None).cast("string"))
+    decisions = decisions.where("strategy is not null")
+    plan = decisions.select("doc_id", "strategy", "error", "limited")
     use_model = F.startswith("strategy", F.lit("ai"))
+    labelled = labelled.join(decisions.select("doc_id"), "doc_id", "left_semi")
     complete = F.startswith("strategy", F.lit("deterministic_labelled")) & F.col("complete")
     flags = decisions.select("doc_id", use_model.alias("_model"), complete.alias("_complete"))
     of_model = model.join(flags.filter("_model"), "doc_id", "left_semi")
     of_text = generic.join(flags.filter("not _model and not _complete"), "doc_id", "left_semi")
     fallback = plan.filter(F.startswith("strategy", F.lit("deterministic_fallback"))).select(
         "doc_id", F.lit(1_000_000).alias("pos"), field(
-            "ai_fallback_reason", F.col("error"), 0.45, F.left("error", F.lit(500)),
-            K.FALLBACK_ERROR_REASON).alias("_f")).select("doc_id", "pos", "_f.*")
+            "ai_fallback_reason", F.coalesce("limited", "error"), 0.45, F.left(F.coalesce("limited", "error"), F.lit(500)),
+            F.when(F.col("limited").isNotNull(), K.FALLBACK_LIMIT_REASON).otherwise(K.FALLBACK_ERROR_REASON)).alias("_f")).select(
+                "doc_id", "pos", "_f.*")
     return (labelled.unionByName(of_model).unionByName(of_text)
             .unionByName(fallback, allowMissingColumns=True))

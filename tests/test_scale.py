@@ -201,3 +201,27 @@ def test_sources(spark, tmp_path):
     from fieldmill.operators.ingest import parse_text
     r = parse_text(up).first()
     assert (r.filename, r.raw_text) == ("n.txt", "caf�")
+
+
+def test_a_page_reads_only_what_follows_the_one_before(spark):
+    from fieldmill.operators.analytics import search_table
+    part = spark.read.parquet(f"{SMALL}/part.parquet")
+    first = search_table(part, "p_partkey", "a", 5).collect()
+    page = search_table(part, "p_partkey", "a", 5, after=first[-1].p_partkey)
+    assert f"LessThan(p_partkey,{first[-1].p_partkey})" in page._jdf.queryExecution().executedPlan().toString()
+    both = search_table(part, "p_partkey", "a", 10).collect()
+    assert first + page.collect() == both
+
+
+def test_entry_goes_on_without_the_training_data_packages(monkeypatch, capsys):
+    import builtins
+
+    import __spark_entry__ as entry
+    real = builtins.__import__
+
+    def without(name, *args, **kwargs):
+        if name == "corpus_pipeline":
+            raise ImportError("no module named tokenizers")
+        return real(name, *args, **kwargs)
+    monkeypatch.setattr(builtins, "__import__", without)
+    assert set(entry.queries()) == set(QUERIES) and "tokenizers" in capsys.readouterr().err

@@ -37,6 +37,16 @@ def search_any_text_column(t: Tables):
     return Q.search_table(t.part, "p_partkey", "ring", 40, 5).select("p_partkey", "p_name", "p_brand", "p_type")
 
 
+# The second page: what follows the last id of the first one, which the caller has seen.
+@query("search_next_page", """
+SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE (p_name ILIKE '%ring%' OR p_brand ILIKE '%ring%' OR p_type ILIKE '%ring%') AND p_partkey <
+  (SELECT min(p_partkey) FROM (SELECT p_partkey FROM part WHERE p_name ILIKE '%ring%' OR p_brand ILIKE '%ring%' OR p_type ILIKE '%ring%' ORDER BY p_partkey DESC LIMIT 7) f)
+ORDER BY p_partkey DESC LIMIT 9""")
+def search_next_page(t: Tables):
+    seen = Q.search_table(t.part, "p_partkey", "ring", 7).agg(F.min("p_partkey")).first()[0]
+    return Q.search_table(t.part, "p_partkey", "ring", 9, after=seen).select("p_partkey", "p_name", "p_brand", "p_type")
+
+
 @query("printable_rows", """
 SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime(ts, '%f') <> '000000' THEN '.' || strftime(ts, '%f') ELSE '' END AS ts,
   user_id, '<' || strlen(props) || ' bytes>' AS payload, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day FROM events""")

@@ -120,14 +120,15 @@ def labelled_values(t: Tables):
                         "reasoning")
 
 
-# Labels and keys come from the part table: every part name and type is a label of its own.
+# Labels and keys come from the part table: every part name and type is a label of its own. Longest first, then as given.
 @query("label_variants", f"""
-SELECT p_partkey, array_to_string(list_sort(list_distinct([lower(trim(regexp_replace(
-  replace(p_name, '_', ' '), '\\s+', ' ', 'g'))), lower(p_type), lower(p_brand)])), '|') AS labels FROM part""")
+SELECT p_partkey, string_agg(x, '|' ORDER BY length(x) DESC, i) AS labels FROM (SELECT p_partkey, x, min(i) AS i FROM (
+  SELECT p_partkey, unnest([lower(p_type), lower(trim(regexp_replace(replace(p_name, '_', ' '), '\\s+', ' ', 'g'))), lower(p_brand), left(lower(p_type), length(p_brand))]) AS x,
+    unnest([0, 1, 2, 3]) AS i FROM part) a GROUP BY p_partkey, x) b WHERE x <> '' GROUP BY p_partkey""")
 def label_variants(t: Tables):
     from fieldmill.catalogue import label_variants as variants
-    labels = variants(F.col("p_name"), F.col("p_type"), F.array("p_brand"))
-    return t.part.select("p_partkey", F.array_join(F.array_sort(labels), "|").alias("labels"))
+    labels = variants(F.col("p_name"), F.col("p_type"), F.array(F.col("p_brand"), F.left("p_type", F.length("p_brand"))))
+    return t.part.select("p_partkey", F.array_join(labels, "|").alias("labels"))
 
 
 @query("normalize_key", f"""

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fieldmill import constants as K
 from fieldmill.functions import review as C
 from fieldmill.operators import review as R
 from workload import duck as D
-from workload.registry import Tables, q, query
+from workload.registry import INPUTS, Tables, q, query
 from workload.templates import BUNDLED
 from workload.validation import _check
 
@@ -237,7 +238,12 @@ _ADD = f"""(SELECT a.action_id, a.doc_id, a.actor, d.status, d.document_type_key
   {D.strip("coalesce(a.value, '')")} AS value, a.source_snippet FROM @actions a LEFT JOIN @app_documents d ON d.doc_id = a.doc_id WHERE kind = 'add')"""
 
 
-@query("apply_additions", f"""
+def additions(t: Tables):
+    return t.actions.filter("kind = 'add'").withColumn("field_name", F.coalesce(
+        "field_name", F.concat(F.lit("Total "), (F.col("action_id") % 3).cast("string"))))
+
+
+ORACLE_ADD = f"""
 WITH a AS (SELECT * FROM {_ADD} x), m AS (SELECT action_id, arg_min(fkey, forder) AS fkey, arg_min(dtype, forder) AS dtype, arg_min(req, forder) AS req
   FROM (SELECT action_id, tk, unnest({D.candidates('given')}) AS c FROM a) c JOIN (SELECT *, unnest(synonyms) AS syn FROM {D.template_fields()} f) s
   ON s.template = c.tk AND s.syn = c.c GROUP BY action_id),
@@ -248,11 +254,12 @@ n AS (SELECT a.*, fkey, CASE WHEN fkey IS NOT NULL THEN fkey WHEN tk IS NOT NULL
 SELECT action_id, doc_id, field_name, fkey AS standard_field_key, CASE WHEN fkey IS NOT NULL THEN tk END AS template_key, data_type, required,
   value AS extracted_value, coalesce(source_snippet, {q(K.MANUAL_SNIPPET)}) AS snippet, {_check('status')} AS validation_status,
   CASE WHEN status IS NULL THEN {q(K.REFUSED_NO_DOCUMENT)} WHEN status = 'rejected' THEN {q(K.REFUSED_READONLY)}
-    WHEN given = '' THEN {q(K.REFUSED_ADD_NAME)} WHEN value = '' THEN {q(K.REFUSED_ADD_VALUE)} END AS refusal FROM n""")
+    WHEN given = '' THEN {q(K.REFUSED_ADD_NAME)} WHEN value = '' THEN {q(K.REFUSED_ADD_VALUE)} END AS refusal FROM n"""
+
+
+@query("apply_additions", ORACLE_ADD)
 def apply_additions(t: Tables):
-    adds = t.actions.filter("kind = 'add'").withColumn("field_name", F.coalesce(
-        "field_name", F.concat(F.lit("Total "), (F.col("action_id") % 3).cast("string"))))
-    return R.apply_additions(adds, t.app_documents, BUNDLED).select(
+    return R.apply_additions(additions(t), t.app_documents, BUNDLED).select(
         "action_id", "doc_id", "field_name", "standard_field_key", "template_key", "data_type", "required",
         "extracted_value", "snippet", "validation_status", "refusal")
 
@@ -307,6 +314,13 @@ def rejected_are_readonly(t: Tables):
 _Q = lambda c: f"'\"' || {c} || '\"'"
 
 
+# How jobs end, and who briefs the reviewers.
+_ENDED = """SELECT doc_id, job_id, 'p1' AS provider, 'm1' AS model, 'minute' AS window_type, 30 AS quota, 'day ' || job_id AS retry_at, 'broken ' || job_id AS error,
+  CASE job_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'deferred' WHEN 2 THEN 'rejected_before' WHEN 3 THEN 'rejected_while' ELSE 'done' END AS ending FROM """
+_BRIEFED = """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'p1' ELSE 'system' END AS provider, 'm1' AS model,
+  CASE WHEN doc_id % 4 = 1 THEN 'quota ' || doc_id END AS limited, CASE WHEN doc_id % 4 < 3 THEN 'down ' || doc_id END AS error FROM """
+
+
 @query("audit_events", f"""
 WITH f AS (SELECT * FROM {FOLDED} x WHERE outcome IN ('applied', 'blocked')),
 r AS (SELECT * FROM {REJECTED} x WHERE refusal IS NULL),
@@ -330,8 +344,40 @@ UNION ALL SELECT doc_id, 'structured_fields_auto_accepted', 'worker', 'Auto-acce
   || 'Confidence threshold: 80%. Validation rules were applied to extracted/template fields. AI Review Assistant: created.' FROM s
 UNION ALL SELECT doc_id, 'processing_finished', 'worker', 'Job ' || doc_id || ' completed and extraction rows committed. Document status is ' || status || '.' FROM s
 UNION ALL SELECT doc_id, 'document_approved', 'system', 'Document approved automatically by the system because all extracted fields were accepted during '
-  || 'deterministic structured-data processing and no fields require review.' FROM s WHERE status = 'approved'""")
+  || 'deterministic structured-data processing and no fields require review.' FROM s WHERE status = 'approved'
+UNION ALL SELECT doc_id, 'document_created', 'api', 'Raw input parsed via ' || parser_type || '; document and durable processing job stored in PostgreSQL. Mode: '
+  || extraction_mode || CASE WHEN document_type_label IS NOT NULL THEN '. Template selected: ' || document_type_label || '.' ELSE '. No template selected; free discovery extraction will be used.' END
+  FROM @app_documents d
+UNION ALL SELECT doc_id, 'job_queued', 'api', 'Celery received only the PostgreSQL processing_jobs.id.' FROM @app_documents d
+UNION ALL SELECT doc_id, 'field_manually_added', actor, field_name || ': manually added with value "' || extracted_value || '". Validation status: ' || validation_status || '.'
+  FROM ({ORACLE_ADD}) a JOIN (SELECT action_id, actor FROM @actions x) b USING (action_id) WHERE refusal IS NULL
+UNION ALL SELECT doc_id, 'field_removed', actor, field_name || ': removed from extracted fields. Previous display value was "' || extracted_value || '".'
+  FROM (SELECT a.actor, s.*, row_number() OVER (PARTITION BY a.field_id ORDER BY ts, action_id) AS n FROM @actions a JOIN @stored_fields s ON s.field_id = a.field_id
+    WHERE kind = 'remove') r WHERE n = 1 AND {_REMOVABLE}
+UNION ALL SELECT doc_id, CASE ending WHEN 'failed' THEN 'processing_failed' WHEN 'deferred' THEN 'ai_rate_limited_job_deferred'
+    WHEN 'rejected_before' THEN 'processing_skipped_rejected_document' ELSE 'processing_write_skipped_rejected_document' END, 'worker',
+  CASE ending WHEN 'failed' THEN error WHEN 'deferred' THEN 'Job ' || job_id || ' kept pending because p1/m1 reached its minute quota of 30. Next retry after ' || retry_at || '.'
+    WHEN 'rejected_before' THEN 'Job ' || job_id || ' skipped because document #' || doc_id || ' is rejected.'
+    ELSE 'Job ' || job_id || ' completed extraction work but skipped database writes because document #' || doc_id || ' was rejected.' END
+  FROM ({_ENDED} @jobs j) e WHERE ending <> 'done'
+UNION ALL SELECT doc_id, unnest(CASE WHEN provider <> 'system' THEN ['ai_review_assistant_completed'] WHEN limited IS NOT NULL THEN ['ai_review_assistant_deferred_or_skipped', 'ai_review_assistant_fallback_created']
+    WHEN error IS NOT NULL THEN ['ai_review_assistant_skipped', 'ai_review_assistant_fallback_created'] ELSE ['ai_review_assistant_fallback_created'] END), 'worker',
+  unnest(CASE WHEN provider <> 'system' THEN ['AI Review Assistant generated reviewer briefing using ' || provider || '/m1.']
+    WHEN limited IS NOT NULL THEN ['AI Review Assistant provider skipped because quota was reached: ' || limited, 'Deterministic AI Review Assistant fallback created. Reason: provider quota was reached: ' || limited]
+    WHEN error IS NOT NULL THEN ['AI Review Assistant provider failed non-fatally: ' || error, 'Deterministic AI Review Assistant fallback created. Reason: provider failed non-fatally: ' || error]
+    ELSE ['Deterministic AI Review Assistant fallback created. Reason: ' || {q(K.BRIEFING['default_reason'])}] END) FROM ({_BRIEFED} @app_documents d) b""")
 def audit_events(t: Tables):
+    adds = R.apply_additions(additions(t), t.app_documents, BUNDLED)
+    removes = t.actions.filter("kind = 'remove'")
+    _, report = R.apply_removals(t.stored_fields, removes)
+    removed = report.join(removes.select("action_id", "actor"), "action_id").join(
+        t.stored_fields.select("field_id", "doc_id", F.col("extracted_value").alias("display_value")), "field_id")
+    more = (R.creation_audit(t.app_documents), R.addition_audit(adds), R.removal_audit(removed),
+            R.job_audit(t.sql(_ENDED + "(" + INPUTS["jobs"] + ") j")), R.briefing_audit(t.sql(_BRIEFED + "(" + INPUTS["app_documents"] + ") d")))
+    return reduce(DataFrame.unionByName, more, _finished_audit(t))
+
+
+def _finished_audit(t: Tables):
     runs = R.document_status(R.decide(_validated(t))).withColumn("job_id", F.col("doc_id")).withColumn(
         "strategy", F.lit("deterministic"))
     return (R.fold_audit(folded(t)).unionByName(R.rejection_audit(rejections(t)))
@@ -349,7 +395,7 @@ _MISS, _INV, _LOWC = f"(required AND {D.blank('value')})", "(validation_status =
 WITH f AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE {_MISS}) AS n_m, count(*) FILTER (WHERE {_INV}) AS n_v, count(*) FILTER (WHERE {_LOWC}) AS n_l,
   {D.mean_units('confidence', 3)} / 1000 AS c, {_TOP(_MISS, 'field_name')} AS m,
   {_TOP(_INV, "(field_name || ': ' || validation_message)")} AS v, {_TOP(_LOWC, 'field_name')} AS l FROM @stored_fields s GROUP BY doc_id),
-d AS (SELECT a.doc_id, a.filename, a.document_type_label, coalesce(n, 0) AS n, coalesce(n_m, 0) AS n_m, coalesce(n_v, 0) AS n_v, coalesce(n_l, 0) AS n_l,
+d AS (SELECT a.doc_id, a.filename, CASE WHEN a.doc_id % 10 = 0 THEN a.document_type_key ELSE a.document_type_label END AS document_type_label, coalesce(n, 0) AS n, coalesce(n_m, 0) AS n_m, coalesce(n_v, 0) AS n_v, coalesce(n_l, 0) AS n_l,
   coalesce(c, 0) AS c, m, v, l FROM @app_documents a LEFT JOIN f ON f.doc_id = a.doc_id)
 SELECT doc_id, c AS overall_confidence, CASE WHEN n_v > 0 OR n_m >= 3 THEN 'poor' WHEN n_m + n_l > 0 OR n = 0 THEN 'needs_review' ELSE 'good' END AS document_quality,
   'Deterministic reviewer briefing generated for ' || coalesce(filename, 'this document') || '. Extraction strategy: deterministic. {_B['default_reason']}.' AS summary,
@@ -359,7 +405,9 @@ SELECT doc_id, c AS overall_confidence, CASE WHEN n_v > 0 OR n_m >= 3 THEN 'poor
   concat_ws(chr(10), CASE WHEN document_type_label IS NOT NULL THEN {q(_B['template'])} || document_type_label || '.' ELSE {q(_B['no_template'])} END,
     CASE WHEN n_m = 0 THEN {q(_B['ok_required'])} END, CASE WHEN n_v = 0 THEN {q(_B['ok_validation'])} END) AS checks FROM d""")
 def reviewer_briefing(t: Tables):
-    b = R.briefings(t.app_documents, t.stored_fields)
+    # a template without a name goes by its key
+    named = t.app_documents.withColumn("document_type_label", F.when(F.col("doc_id") % 10 != 0, F.col("document_type_label")))
+    b = R.briefings(named, t.stored_fields)
     return b.select("doc_id", "overall_confidence", "document_quality", "summary", "recommendation",
                     F.array_join("issues", "\n").alias("issues"), F.array_join("checks", "\n").alias("checks"))
 

@@ -170,10 +170,12 @@ def required_completeness(t: Tables):
 
 _DECIDE = """SELECT doc_id, doc_id % 4 = 0 AS complete, doc_id % 4 < 2 AS has_labelled, doc_id % 3 < 2 AS eligible,
   doc_id % 5 = 0 AS cached, doc_id % 7 < 3 AS fresh, CASE WHEN doc_id % 11 = 0 THEN 'timeout ' || doc_id END AS error,
+  CASE WHEN doc_id % 13 = 0 THEN 'quota of ' || doc_id END AS limited, doc_id % 17 <> 0 AND doc_id % 4 <> 2 AS fall_back, doc_id % 26 <> 0 AS defer,
   'p1' AS provider, 'm1' AS model, CASE WHEN doc_id % 2 = 0 THEN 'finance_invoice' END AS template_key FROM """
 _STRATEGY = """CASE WHEN complete THEN 'deterministic_labelled' || sfx WHEN eligible AND cached THEN 'ai_cache:p1:m1' || sfx
-  WHEN eligible AND error IS NOT NULL THEN 'deterministic_fallback_after_ai_error:p1'
-  WHEN eligible AND (fresh OR has_labelled) THEN 'ai:p1:m1' || sfx
+  WHEN eligible AND limited IS NOT NULL THEN CASE WHEN NOT defer AND fall_back THEN 'deterministic_fallback_after_ai_rate_limit:p1' END
+  WHEN eligible AND error IS NOT NULL THEN CASE WHEN fall_back THEN 'deterministic_fallback_after_ai_error:p1' END
+  WHEN eligible AND (fresh OR has_labelled) THEN 'ai:p1:m1' || sfx WHEN eligible AND NOT fall_back THEN 'ai:p1:m1:empty'
   WHEN has_labelled THEN 'deterministic_labelled' || sfx ELSE 'deterministic' || sfx END"""
 
 
@@ -181,18 +183,23 @@ _STRATEGY = """CASE WHEN complete THEN 'deterministic_labelled' || sfx WHEN elig
 WITH s AS (SELECT *, {_STRATEGY} AS strategy FROM (SELECT *, coalesce(':template:' || template_key, '') AS sfx
   FROM ({_DECIDE} @app_documents a) d) e),
 f AS (SELECT doc_id, field_name, field_id % 6 AS j, value FROM @raw_fields r)
-SELECT s.doc_id, strategy, field_name, value FROM s JOIN f ON f.doc_id = s.doc_id WHERE
-  (j < 2 AND has_labelled) OR (j = 2 AND strategy LIKE 'ai%') OR (j > 2 AND strategy NOT LIKE 'ai%' AND NOT complete)
-UNION ALL SELECT doc_id, strategy, 'ai_fallback_reason', error FROM s WHERE strategy LIKE '%fallback%'""")
+SELECT s.doc_id, strategy, field_name, value, NULL AS reasoning FROM s JOIN f ON f.doc_id = s.doc_id WHERE strategy IS NOT NULL AND (
+  (j < 2 AND has_labelled) OR (j = 2 AND strategy LIKE 'ai%' AND (strategy NOT LIKE 'ai:%' OR fresh)) OR (j > 2 AND strategy NOT LIKE 'ai%' AND NOT complete))
+UNION ALL SELECT doc_id, strategy, 'ai_fallback_reason', coalesce(limited, error), CASE WHEN limited IS NULL THEN {q(K.FALLBACK_ERROR_REASON)}
+  ELSE {q(K.FALLBACK_LIMIT_REASON)} END FROM s WHERE strategy LIKE '%fallback%'
+UNION ALL SELECT doc_id, strategy, CASE WHEN strategy IS NOT NULL THEN 'done' WHEN limited IS NOT NULL AND defer THEN 'deferred' ELSE 'failed' END, NULL, NULL FROM s""")
 def extraction_strategy(t: Tables):
     from workload.registry import INPUTS
     d = t.sql(_DECIDE + "(" + INPUTS["app_documents"] + ") a")
     d = d.withColumn("strategy", TP.strategy(*[F.col(c) for c in (
-        "complete", "has_labelled", "eligible", "cached", "fresh", "error", "provider", "model", "template_key")]))
+        "complete", "has_labelled", "eligible", "cached", "fresh", "error", "provider", "model", "template_key", "limited", "fall_back", "defer")]))
+    ends = d.select("doc_id", TP.outcome(*[F.col(c) for c in ("complete", "eligible", "cached", "error", "limited", "fall_back", "defer")]).alias("field_name"))
     rows = _with_rules(t).drop("doc_template").withColumn("j", F.col("field_id") % 6)
     labelled = rows.filter("j < 2").join(d.filter("has_labelled").select("doc_id"), "doc_id", "left_semi")
-    chosen = TP.choose_fields(d, labelled, rows.filter("j = 2"), rows.filter("j > 2"))
-    return chosen.select("doc_id", "field_name", "value").join(d.select("doc_id", "strategy"), "doc_id")
+    given = d.filter("cached or fresh").select("doc_id")  # a model result without fields gives no rows
+    chosen = TP.choose_fields(d, labelled, rows.filter("j = 2").join(given, "doc_id", "left_semi"), rows.filter("j > 2"))
+    said = chosen.select("doc_id", "field_name", "value", F.when(F.col("field_name") == "ai_fallback_reason", F.col("reasoning")).alias("reasoning"))
+    return said.unionByName(ends, allowMissingColumns=True).join(d.select("doc_id", "strategy"), "doc_id")
 
 
 @query("field_definition_lookup", f"""
