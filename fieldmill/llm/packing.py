@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmill.llm.common import slices, stored, texts
-from fieldmill.llm.units import library_encoder
+from fieldmill.llm.common import slices, stored
+from fieldmill.llm.encoder import SLICE, batch_encoder
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -30,15 +30,16 @@ PLACED = "sequence_id long, offset long"
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of the ids (with the end id 0) of each whole text."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer, drops_space=True)
+        encoder = batch_encoder(tokenizer, drops_space=True)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
+                ids, ends = encoder.encode(part.column("text"))
                 rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.separate_texts(texts(part)), strict=True):
-                    ids += b"\0\0\0\0"
-                    for k in range(0, len(ids), 4 * capacity):
-                        own = ids[k:k + 4 * capacity]
-                        rows.append((doc_id, k // (4 * capacity), k // 4, len(own) // 4, zlib.crc32(own)))
+                for doc_id, first, stop in zip(part.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    own = ids[first:stop].tobytes() + b"\0\0\0\0"
+                    for k in range(0, len(own), 4 * capacity):
+                        piece = own[k:k + 4 * capacity]
+                        rows.append((doc_id, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece)))
                 columns = zip(*rows, strict=True)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],

@@ -7,10 +7,16 @@ Shard file: records in ascending doc_id order (nulls first, then by a hash of th
 Spark's text writer writes the records as they are (its line separator is the end id), so files are committed by Spark on
 any file system. Shards follow one another in the order of their part numbers.
 
+Shards follow the size of the text (SHARD_TEXT bytes each, at least one per shuffle partition), so a file stays small enough to be one cell
+whatever the size of the table.
+
 Index: one row per group of keys. A key is (doc_id, its number among rows of the same doc_id). Inside a group every key
 has a slot of its own (hash, displace and compare); the slot holds a fingerprint, shard, byte offset and count, so a
 lookup is constant time and a foreign key is told by its fingerprint. Rows without doc_id are in the shards, not in the index.
 
+Reading by key goes through the index alone: it names shard, offset and count, and the ids are cut from the shard there. A key of the
+table that the index does not hold, or that is found with another doc_id at its place, is an error.
+
 Null text: no ids but the end id. Empty table: no records, an empty index. Repeated doc_ids: each row is kept and indexed.
 """
 
@@ -25,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldmill.llm.common import new_folder, slices, stored, texts
-from fieldmill.llm.units import library_encoder
+from fieldmill.llm.common import new_folder, slices, stored
+from fieldmill.llm.encoder import SLICE, batch_encoder
 
 END = "\x00\x00"
 NO_ID = 1 << 31
@@ -34,21 +40,28 @@ HEAD = np.dtype([("doc_id", "<i8"), ("n", "<u4")])
 #: Keys of one index group, about.
 GROUP_KEYS = 20_000
 KEYS_PER_BUCKET = 3
-ENTRIES = "doc_id long, shard int, at long, before long, n_tokens int, ids_crc32 long"
+#: Bytes of text of which one shard is made.
+SHARD_TEXT = 48 << 20
+ENTRIES = "doc_id long, shard int, at long, before long, n_tokens int, copy long, in_first_run boolean"
 INDEX = "grp long, n int, seed int, pilots binary, prints binary, shards binary, ats binary, counts binary"
-FOUND = "doc_id long, copy long, shard int, at long, n_tokens int"
+FOUND = "doc_id long, copy long, start long, shard int, at long, n_tokens int"
+READ = "doc_id long, copy long, start long, shard int, at long, n_tokens int, ids_crc32 long"
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int) -> None:
     """docs (doc_id, text) as `shards` files below `folder`. Ranges of (doc_id, hash of text): no hot doc_id in one task."""
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer, drops_space=False, width=2)
+        encoder = batch_encoder(tokenizer, drops_space=False, width=2)
         for batch in batches:
-            for part in slices(batch, "text"):
-                out = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.spaced_texts(texts(part)), strict=True):
-                    head = np.array([(doc_id or 0, len(ids) // 2 + 1 + (NO_ID if doc_id is None else 0))], HEAD)
-                    out.append(head.tobytes() + ids)
+            for part in slices(batch, "text", SLICE):
+                ids, ends = encoder.encode(part.column("text"))
+                heads = np.zeros(part.num_rows, HEAD)
+                none = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                heads["doc_id"] = part.column("doc_id").fill_null(0).to_numpy()
+                heads["n"] = np.diff(ends) + 1 + np.where(none, NO_ID, 0)
+                head, body, step = heads.tobytes(), ids.tobytes(), HEAD.itemsize
+                out = [head[step * i:step * (i + 1)] + body[2 * first:2 * stop]
+                       for i, (first, stop) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
@@ -74,45 +87,47 @@ def walk(content: bytes) -> Iterator[tuple[int | None, int, int, memoryview]]:
 
 
 def read_entries(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record of the files: doc_id, shard, at (byte offset), before (ids before it in the shard), n_tokens,
-    ids_crc32 (over the ids as 32-bit integers)."""
+    """A row per record of the files: doc_id, shard, at (byte offset), before (ids before it in the shard), n_tokens, copy (its number
+    among the rows of its doc_id in this shard, which stand together), in_first_run (its doc_id is the shard's first)."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
-                rows, before = [], 0
-                for doc_id, at, n, ids in walk(content.as_py()):
-                    crc = zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4"))
-                    rows.append((doc_id, shard, at, before, n, crc))
+                rows, before, now, copy, first = [], 0, NO_ID, 0, True
+                for doc_id, at, n, _ in walk(content.as_py()):
+                    copy = copy + 1 if rows and doc_id == now else 0
+                    first = first and (not rows or doc_id == now)
+                    now = doc_id
+                    rows.append((doc_id, shard, at, before, n, copy, first))
                     before += n
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                names = ["doc_id", "shard", "at", "before", "n_tokens", "ids_crc32"]
+                columns = list(zip(*rows, strict=True)) or [[]] * 7
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+                names = ["doc_id", "shard", "at", "before", "n_tokens", "copy", "in_first_run"]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return shard_files(spark, folder).mapInArrow(read, ENTRIES)
 
 
 def numbered(entries: DataFrame) -> DataFrame:
-    """Adds start (ids of all records before) and copy (0 for the first row of a doc_id, then 1, 2, ...)."""
-    sums = entries.groupBy("shard").agg(F.sum("n_tokens").alias("_sum"))
+    """doc_id, copy (0 for the first row of a doc_id, then 1, 2, ...), shard, at, n_tokens, start (ids of all records before).
+
+    The files are in the order of doc_id, so all but a shard's first run are numbered in the shard already. How many rows of the first
+    run's doc_id, and how many ids, earlier shards hold is worked out from one or two rows per shard.
+    """
+    size = F.col("copy") + 1
+    sums = entries.groupBy("shard").agg(
+        F.sum("n_tokens").alias("_sum"), F.max(F.when(F.col("in_first_run"), size)).alias("_head"),
+        F.min_by("doc_id", "at").alias("_first_id"), F.max_by(F.struct("doc_id", "copy", "in_first_run"), "at").alias("_last"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row per shard
-    base = sums.select("shard", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    first = entries.groupBy("doc_id").agg(F.min(F.struct("shard", "at")).alias("_first"), F.count(F.lit(1)).alias("_copies"))
-    lone = first.where("_copies = 1 or doc_id is null")
-    many = first.where("_copies > 1 and doc_id is not null").select("doc_id", "_copies")
-    rows = entries.join(base, "shard").withColumn("start", F.col("_start") + F.col("before"))
-    single = rows.join(lone.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # rows of one doc_id stand together: rank inside the shard, plus what earlier shards hold of the same doc_id
-    repeated = rows.join(many.select("doc_id"), "doc_id", "left_semi")
-    inside = Window.partitionBy("doc_id", "shard").orderBy("at")
-    held = repeated.groupBy("doc_id", "shard").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("doc_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select("doc_id", "shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_held"))
-    repeated = repeated.join(held, ["doc_id", "shard"]).withColumn(
-        "copy", F.col("_held") + F.row_number().over(inside) - 1)
-    names = ["doc_id", "copy", "shard", "at", "n_tokens", "ids_crc32", "start"]
-    return single.withColumn("copy", F.lit(0).cast("long")).select(names).unionByName(
-        repeated.withColumn("copy", F.col("copy").cast("long")).select(names))
+    base = sums.select("*", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    # along each doc_id: the last run of every shard, and between them the shards that go on with it
+    ends = base.select(F.col("_last.doc_id").alias("_id"), "shard", F.lit(1).alias("_kind"), (F.col("_last.copy") + 1).alias("_rows"))
+    goes_on = base.select(F.col("_first_id").alias("_id"), "shard", F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_rows"))
+    along = Window.partitionBy("_id").orderBy("shard", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    held = ends.union(goes_on).where("_id is not null").withColumn("_held", F.sum("_rows").over(along)).where("_kind = 0").select("shard", "_held")
+    shards = base.select("shard", "_start").join(held, "shard", "left")
+    rows = entries.join(F.broadcast(shards), "shard")  # one row per shard of SHARD_TEXT bytes
+    copy = F.col("copy") + F.when(F.col("in_first_run"), F.coalesce("_held", F.lit(0))).otherwise(0)
+    return rows.select("doc_id", copy.alias("copy"), "shard", "at", "n_tokens", (F.col("_start") + F.col("before")).alias("start"))
 
 
 # ---- minimal perfect hash
@@ -204,25 +219,45 @@ def group_of(groups: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", "copy"), F.lit(groups)).cast("long").alias("grp")
 
 
-def look_up(keys: DataFrame, index: DataFrame, groups: int) -> DataFrame:
-    """The place of each key (doc_id, copy) of the index; keys that it doesn't hold (by fingerprint) give no row."""
+def look_up(keys: DataFrame, index: DataFrame, groups: int, all_known: bool = False) -> DataFrame:
+    """The place of each key (doc_id, copy, and start, which is handed on) of the index; keys that it doesn't hold, by their fingerprint,
+    give no row, or, where all are known to be there, an error."""
     def find(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"doc_id": [], "copy": [], "shard": [], "at": [], "n_tokens": []}).astype("int64")
-        if not len(rows) or not len(asked):
-            return empty
-        row = rows.iloc[0]
-        hashes = key_hash(asked["doc_id"].to_numpy(), asked["copy"].to_numpy())
-        at = slots(hashes, int(row["n"]), int(row["seed"]), np.frombuffer(row["pilots"], np.uint64))
-        known = np.frombuffer(row["prints"], "<u4")[at] == (mixed(hashes, 7) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        names = ["doc_id", "copy", "start", "shard", "at", "n_tokens"]
+        at = known = np.zeros(len(asked), bool)
+        if len(rows) and len(asked):
+            row = rows.iloc[0]
+            hashes = key_hash(asked["doc_id"].to_numpy(), asked["copy"].to_numpy())
+            at = slots(hashes, int(row["n"]), int(row["seed"]), np.frombuffer(row["pilots"], np.uint64))
+            known = np.frombuffer(row["prints"], "<u4")[at] == (mixed(hashes, 7) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        if all_known and not known.all():
+            lost = asked[~known].iloc[0]
+            raise ValueError(f"the index does not hold doc_id {lost['doc_id']}, copy {lost['copy']}")
+        if not known.any():
+            return pd.DataFrame({n: [] for n in names}).astype("int64")
         at = at[known]
-        return pd.DataFrame({"doc_id": asked["doc_id"].to_numpy()[known], "copy": asked["copy"].to_numpy()[known],
-                             "shard": np.frombuffer(row["shards"], "<i4")[at], "at": np.frombuffer(row["ats"], "<i8")[at],
-                             "n_tokens": np.frombuffer(row["counts"], "<i4")[at]})
+        return asked.loc[known, ["doc_id", "copy", "start"]].assign(
+            shard=np.frombuffer(row["shards"], "<i4")[at], at=np.frombuffer(row["ats"], "<i8")[at], n_tokens=np.frombuffer(row["counts"], "<i4")[at])
 
-    asked = keys.where("doc_id is not null").select(group_of(groups), "doc_id", "copy")
+    start = F.col("start") if "start" in keys.columns else F.lit(0).cast("long").alias("start")
+    asked = keys.where("doc_id is not null").select(group_of(groups), "doc_id", "copy", start)
     return asked.groupBy("grp").cogroup(index.groupBy("grp")).applyInPandas(find, FOUND)
 
 
+def digests(found: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """The found places with ids_crc32, over the ids (as 32-bit integers) that stand there. A place that holds another record is an error."""
+    def cut(asked: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+        content = files["content"].iloc[0] if len(files) else b""
+        sums = []
+        for doc_id, at, n in zip(asked["doc_id"].tolist(), asked["at"].tolist(), asked["n_tokens"].tolist(), strict=True):
+            if at + 2 * n > len(content) or np.frombuffer(content, HEAD, 1, at - HEAD.itemsize)[0].tolist() != (doc_id, n):
+                raise ValueError(f"the place that the index names for doc_id {doc_id} holds another record")
+            sums.append(zlib.crc32(np.frombuffer(content, "<u2", n, at).astype("<u4")))
+        return asked.assign(ids_crc32=np.array(sums, np.int64))
+
+    return found.groupBy("shard").cogroup(shard_files(spark, folder).groupBy("shard")).applyInPandas(cut, READ)
+
+
 def fetch(found: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, copy, ids): the ids at the places that look_up() found, cut from the shard files."""
     def cut(asked: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
@@ -239,7 +274,10 @@ def write_indexed(docs: DataFrame, tokenizer: str, shards: int | None = None) ->
     """Writes shards and index into the shared folder: (folder, numbered rows, index, number of groups)."""
     spark = docs.sparkSession
     folder = new_folder(spark, "token-ids")
-    write_shards(docs, f"{folder}/ids", tokenizer, shards or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        shards = max(size // SHARD_TEXT + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    write_shards(docs, f"{folder}/ids", tokenizer, shards)
     rows = stored(numbered(stored(read_entries(spark, f"{folder}/ids"), "token-entries")), "token-rows")
     groups = rows.count() // GROUP_KEYS + 1
     build_index(rows, groups).write.parquet(f"{folder}/index")
@@ -249,11 +287,25 @@ def write_indexed(docs: DataFrame, tokenizer: str, shards: int | None = None) ->
 def token_places(docs: DataFrame, tokenizer: str, shards: int | None = None) -> DataFrame:
     """Writes docs, looks every key up in the index and reads the ids' digest at the place it names.
 
-    doc_id, start, n_tokens, ids_crc32, shard, at. Rows without doc_id come from the shard files directly.
+    doc_id, start, n_tokens, ids_crc32, shard, at. Rows without doc_id have no key; their places come from the walk over the files.
     """
-    _, rows, index, groups = write_indexed(docs, tokenizer, shards)
-    found = look_up(rows, index, groups).withColumnRenamed("doc_id", "_id").withColumnRenamed("n_tokens", "_n")
-    read = rows.select("doc_id", "shard", "at", "start", "ids_crc32", "n_tokens")
-    keyed = found.join(read, ["shard", "at"]).where("_id = doc_id and _n = n_tokens")
-    names = ["doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32", "shard", "at"]
-    return keyed.select(names).unionByName(read.where("doc_id is null").select(names))
+    folder, rows, index, groups = write_indexed(docs, tokenizer, shards)
+    spark = docs.sparkSession
+    found = look_up(rows, index, groups, all_known=True)
+    nameless = rows.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "copy", "start", "shard", "at", "n_tokens")
+    names = ["start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32", "shard", "at"]
+    keyed = digests(found, spark, f"{folder}/ids").select("doc_id", *names)
+    return keyed.unionByName(unkeyed_digests(nameless, spark, f"{folder}/ids").select(F.lit(None).cast("long").alias("doc_id"), *names))
+
+
+def unkeyed_digests(places: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """The same for records without doc_id, whose count in the file says so."""
+    def cut(asked: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+        content = files["content"].iloc[0] if len(files) else b""
+        sums = [zlib.crc32(np.frombuffer(content, "<u2", n, at).astype("<u4"))
+                for at, n in zip(asked["at"].tolist(), asked["n_tokens"].tolist(), strict=True)]
+        return asked.assign(ids_crc32=np.array(sums, np.int64))
+
+    # only the files that hold such records are read
+    files = shard_files(spark, folder).join(places.select("shard").distinct(), "shard", "left_semi")
+    return places.groupBy("shard").cogroup(files.groupBy("shard")).applyInPandas(cut, READ)

@@ -7,11 +7,9 @@ units it has met, over all its tasks. `limit` bounds what it remembers; beyond i
 
 from __future__ import annotations
 
-import os
 import re
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
 
 #: White space other than blank and newline.
 ODD_SPACE = re.compile(r"[^\S \n]")
@@ -121,38 +119,3 @@ class UnitEncoder:
                     parts.extend(map(spaced, words[1:]))
                 out.append(b"".join(parts))
         return out
-
-    def separate_texts(self, texts: list[str]) -> list[bytes]:
-        """For tokenizers that drop white space."""
-        self._forget()
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        units: set[str] = set()
-        for words in cut:
-            units.update(words)
-        self._learn(self.plain, units, False)
-        known = self.plain.__getitem__
-        return [b"".join(map(known, words)) for words in cut]
-
-
-@lru_cache(maxsize=2)
-def library_encoder(path: str, drops_space: bool, width: int = 4) -> UnitEncoder:
-    """For a byte-level file of the tokenizers library; strings of special tokens are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    model = tokenizer.model
-
-    def encode_many(texts: list[str]) -> list:
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def signs(word: str) -> str:
-        return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
-
-    def encode_words(words: list[str], blank: bool) -> list[list[int]]:
-        if drops_space:
-            words = [w.lower() for w in words]
-        lead = BYTE_SIGNS[32] if blank else ""
-        return [[t.id for t in model.tokenize(lead + signs(w))] for w in words]
-
-    return UnitEncoder(encode_many, encode_words, width)

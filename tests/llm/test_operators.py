@@ -7,12 +7,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from fieldmill.llm import byte_bpe, hosts, language, licences, minmax, packing, quality, shards, token_files, topk
-from fieldmill.llm.units import library_encoder
+from fieldmill.llm import byte_bpe, encoder, hosts, language, licences, minmax, packing, quality, shards, token_files, topk
 
 #: Extra columns bear the names of the operators' own results.
 SCHEMA = "doc_id long, text string, lang string, kept boolean, shard int, words string, node string, row string"
@@ -36,6 +36,7 @@ def texts() -> list[tuple]:
         (9, "one two"), (10, "one two"), (11, "One\tTWO"), (12, "word " * 200), (13, "a\n\nb\n b.\nb.\na\n"), (None, base), (None, "lonely text here"),
         (14, prose(3, 30_000)), (15, prose(3, 30_000)), (4, base), (16, "é ß 日本 😀 don't 12 MIT License. x" * 3), (17, "x" * 5000),
         (18, "Licensed under the Apache License, Version 2.0.\nMIT license mit license"), (19, "12 !! 34"), (20, "\x00 \x1c\xa0y"),
+        (22, "a<|endoftext|>b <|startoftext|> c <|ENDOFTEXT|>"),
         (21, "This is a sentence that ends well and has words.\n" * 8 + "Home | About | Contact | More"),
     ]
     return [(i, t, ["en", "de", None][k % 3], True, 3, "w", "n", "r") for k, (i, t) in enumerate(rows)]
@@ -62,29 +63,28 @@ def multiset(frame):
 
 # ---- tokenizers
 
-@pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_units_give_the_ids_of_whole_texts(name, drops, rows):
+@pytest.mark.parametrize("name,drops,width", [("byte_bpe_50k.json", False, 2), ("word_bpe_49k.json", True, 4)])
+@pytest.mark.parametrize("kept", [40, 100_000])
+def test_batches_give_the_ids_of_whole_texts(name, drops, width, kept, rows):
+    """Against the library as it is, strings of special tokens included; with a memory that is full all the time as well."""
     rnd = random.Random(5)
-    bits = [" ", "  ", "\n", "\t", "\r\n", "a", "foo", "Bar", ".", ",", "!!", "é", "日本", "1", "'s", "\x1c", "\xa0", "́", "Σ", "İ", "x-y"]
-    some = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 20))) for _ in range(2000)] + [r[1] or "" for r in rows]
+    bits = [" ", "  ", "\n", "\t", "\r\n", "a", "foo", "Bar", ".", ",", "!!", "é", "日本", "1", "'s", "\x1c", "\xa0", "́", "Σ", "İ", "x-y",
+            "<|endoftext|>", "<|startoftext|>", "<|", "ENDOFTEXT|>", "\u212a", "ﬁ", "ᄀ", "ᅡ"]
+    some = ["".join(rnd.choice(bits[:21] if k % 2 else bits) for _ in range(rnd.randint(0, 20))) for k in range(4000)] + [r[1] for r in rows]
     library = Tokenizer.from_file(P.path(name))
-    library.encode_special_tokens = True
-    encoder = library_encoder(P.path(name), drops)
-    got = (encoder.separate_texts if drops else encoder.spaced_texts)(some)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
-
-
-def test_unit_memory_is_bounded_and_changes_nothing():
-    encoder = library_encoder.__wrapped__(P.path("byte_bpe_50k.json"), False)
-    encoder.limit = 50
-    some = [prose(k, 40) for k in range(20)]
-    fresh = library_encoder.__wrapped__(P.path("byte_bpe_50k.json"), False)
-    assert [encoder.spaced_texts([t])[0] for t in some * 2] == fresh.spaced_texts(some * 2)
+    batches = encoder.BatchEncoder(P.path(name), drops, width)
+    batches.known.most = kept
+    for k in range(0, len(some), 500):
+        part = some[k:k + 500]
+        ids, ends = batches.encode(pa.array(part, pa.string()))
+        got = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        assert got == [e.ids for e in library.encode_batch([t or "" for t in part], add_special_tokens=False)]
+        assert len(batches.known.young) <= max(kept, 100_000 if kept > 40 else 20_000)
+    assert batches.encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
 def test_token_files(spark, docs, rows, none):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     ids_of = lambda t: library.encode(t or "", add_special_tokens=False).ids + [0]
     got = token_files.token_places(docs, P.path("byte_bpe_50k.json"), shards=4).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
     want = Counter((r[0], len(ids_of(r[1])), zlib.crc32(np.array(ids_of(r[1]), "<u4").tobytes())) for r in rows)
@@ -101,6 +101,32 @@ def test_token_files(spark, docs, rows, none):
     text = {r[0]: r[1] for r in rows}
     assert {k: v for k, v in read.items() if k[0] != 999} == {(i, c): ids_of(text[i]) for i, c in [(4, 0), (4, 1), (8, 0)]}
 
+    # a key that the index lost, and a place that it names wrongly, are errors
+    with pytest.raises(Exception, match="does not hold doc_id"):
+        token_files.look_up(asked, index, groups, all_known=True).collect()
+    def damaged(column, width):
+        def change(frame):
+            raw = bytearray(frame[column].iloc[0])
+            raw[0] ^= 1 << 2
+            return frame.assign(**{column: [bytes(raw)]})
+        return index.groupBy("grp").applyInPandas(change, token_files.INDEX)
+    keys = kept.where("doc_id is not null")
+    with pytest.raises(Exception, match="does not hold doc_id"):
+        token_files.look_up(keys, damaged("prints", 4), groups, all_known=True).collect()
+    with pytest.raises(Exception, match="holds another record"):
+        token_files.digests(token_files.look_up(keys, damaged("ats", 8), groups, all_known=True), spark, f"{folder}/ids").collect()
+
+
+def test_a_hot_doc_id_is_numbered_over_many_shards(spark):
+    data = [(k, f"text {k}") for k in range(40)] + [(17, f"again {k}") for k in range(300)] + [(None, f"none {k}") for k in range(60)] + [(39, "last")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    folder, kept, _, _ = token_files.write_indexed(docs, P.path("byte_bpe_50k.json"), 12)
+    numbers = kept.where("doc_id is not null").groupBy("doc_id").agg({"copy": "collect_list"}).collect()
+    assert {r[0]: sorted(r[1]) for r in numbers} == {k: list(range(301 if k == 17 else 2 if k == 39 else 1)) for k in range(40)}
+    assert kept.where("doc_id = 17").select("shard").distinct().count() > 3
+    starts = [r[0] for r in kept.where("doc_id = 17").orderBy("copy").select("start").collect()]
+    assert starts == sorted(starts)
+
 
 def test_perfect_hash_is_minimal():
     for n in (1, 2, 3, 50, 5000):
@@ -149,7 +175,6 @@ def test_plan_places_every_length_once():
 
 def test_packing(docs, rows, none):
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     want = Counter()
     for r in rows:
         ids = library.encode(r[1] or "", add_special_tokens=False).ids + [0]
