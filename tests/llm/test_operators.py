@@ -436,6 +436,11 @@ def test_top_k(spark):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(own[:5])]
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.top_k(frame.limit(0), topk.F.col("id") % 50 == 0).count() == 0
+    # repeated ids: every row is asked, and is a candidate of all rows but itself
+    twice = spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 0.0]), (50, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    one = 256 * 256
+    assert sorted(map(tuple, topk.top_k(twice, topk.F.col("id") % 50 == 0).collect())) == sorted(
+        [(50, 1, 2, 2 * one), (50, 2, 1, one), (50, 3, 50, one), (50, 4, 50, 0)] * 2 + [(50, 1, 1, one), (50, 2, 2, 0), (50, 3, 50, 0), (50, 4, 50, 0)])
     few = topk.top_k(frame.where("vec_id in (100, 101, 102)"), topk.F.col("id") % 50 == 0).collect()
     assert [r["rank"] for r in sorted(few)] == [1, 2]
 
