@@ -22,10 +22,11 @@ l AS (SELECT doc_id, line, trim(line, {BLANKS}) AS bare FROM (SELECT doc_id, unn
 m AS (SELECT doc_id, line, bare, lower(bare) AS low, len(regexp_split_to_array(bare, '{SPACE}')) AS n,
   length(bare) - length(regexp_replace(bare, '{quality.SYMBOL}', '', 'g')) AS marks,
   len(list_filter(string_split(bare, ' '), lambda x: regexp_matches(x, '[!?]{{2,}}$'))) AS doubled,
-  len(list_filter(string_split(bare, ' '), lambda x: x IN ('|', '»', '›', '•', '·', '>'))) AS separators FROM l),
-p AS (SELECT doc_id, line, bare, bare = '' OR ((regexp_matches(bare, {quoted(quality.ENDS_SENTENCE)}) OR n < 3) AND doubled * 3 <= n
+  len(list_filter(string_split(bare, ' '), lambda x: x IN ('|', '»', '›', '•', '·', '>'))) AS separators,
+  {' + '.join(f"(len(string_split(lower(bare), {quoted(x)})) - 1) * {x.count(' ') + 1}" for x in quality.BOILERPLATE)} AS phrase_words FROM l),
+p AS (SELECT doc_id, line, bare, bare = '' OR ((regexp_matches(bare, {quoted(quality.ENDS_SENTENCE)}) OR regexp_matches(bare, {quoted(quality.SENTENCE_MARKS)}) OR n < 3) AND doubled * 3 <= n
   AND marks * 10 <= length(bare) AND separators * 8 <= n AND rtrim(low, ' .!>»') NOT IN ({', '.join(map(quoted, quality.CALLS))})
-  AND NOT ({' OR '.join(f'contains(low, {quoted(x)})' for x in quality.BOILERPLATE)})) AS pass FROM m),
+  AND (phrase_words = 0 OR phrase_words * {quality.BOILERPLATE_SHARE} < n)) AS pass FROM m),
 s AS (SELECT doc_id, count(*) FILTER (WHERE bare <> '') - count(DISTINCT line) FILTER (WHERE bare <> '') AS n_dup_lines,
   CAST(sum(length(bare)) AS BIGINT) AS line_chars, CAST(coalesce(sum(length(bare)) FILTER (WHERE pass), 0) AS BIGINT) AS kept_chars FROM p GROUP BY doc_id),
 b AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars,

@@ -8,10 +8,9 @@ too much of their text are rejected:
 * navigation: separators such as | or » between its words, or nothing but a call such as "read more";
 * boilerplate: phrases of cookie banners, legal footers and script notices.
 
-There are two sets of them. line_passes decides by the last mark and by any mention of a phrase, whatever a line's length; the
-SQL check of op1_line_quality is written for it. long_line_passes, which cleaned_documents (the pipeline) uses, lets a line
-pass that holds a sentence end anywhere, in any of the scripts of SENTENCE_MARKS, and lets boilerplate phrases fail a line only
-where they are at least a tenth of its words: a long line is not lost for its missing last stop or for one mention.
+A rule decides by what it finds in relation to the whole line, so that a long line is not lost for its missing last stop or for one
+mention of a phrase: a sentence end anywhere in the line is enough, in any of the scripts of SENTENCE_MARKS, and boilerplate phrases
+fail a line only where they are at least a tenth of its words.
 
 Null text: no words, so base_failed. Repeated rows give repeated results. Empty table: no rows. All of it happens inside
 the row: no shuffle, memory in proportion to the longest text.
@@ -21,7 +20,6 @@ n_repeat_words compares 3-word windows by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from operator import add, or_
 
@@ -32,9 +30,9 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE = "[ \\t\\n\\x0B\\f\\r]"
 SYMBOL = "[#*$%&|<>]"
 #: What a line may end with, as in published web-corpus rules, and phrases of page furniture.
-ENDS_SENTENCE = "[.!?:;…。！？][\"'’”»)\\]]*$"
+ENDS_SENTENCE = "[.!?:;…。！？][\"'’”»)\\]]*\\z"
 #: Marks that end a sentence anywhere in a line: those written before a blank, and those of scripts that need none after them.
-SENTENCE_MARKS = "[.!?…؟۔։።।॥។။][\"'’”»)\\]]*(?=[ \\t\\x0B\\f\\r]|$)|[。！？｡．।॥།]"
+SENTENCE_MARKS = "[.!?…؟۔։።][\"'’”»)\\]]*([ \\t\\x0B\\f\\r]|\\z)|[。！？｡．।॥]"
 BOILERPLATE_SHARE = 10
 DOUBLED_MARKS = "[!?]{2,}(?= |$)"
 SEPARATORS = "(?<![^ ])[|»›•·>](?![^ ])"
@@ -49,33 +47,19 @@ def words_in(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def phrases_in(low: Column) -> Column:
-    return reduce(or_, [F.contains(low, F.lit(phrase)) for phrase in BOILERPLATE])
-
-
-def passes(line: Column, ended: Column, boilerplate: Column) -> Column:
-    """The rules that go by shares of a line, with what is said of its end and its phrases."""
+def line_passes(line: Column) -> Column:
+    """Whether a line keeps all rules: fields bare (trimmed, with a word), low (lower case), n (words)."""
     bare, low, n = line["bare"], line["low"], line["n"]
     marks, doubled, separators = (F.size(F.split(bare, p)) - 1 for p in (SYMBOL, DOUBLED_MARKS, SEPARATORS))
+    ended = bare.rlike(ENDS_SENTENCE) | bare.rlike(SENTENCE_MARKS)
     punctuation = (ended | (n < 3)) & (doubled * 3 <= n) & (marks * 10 <= F.length(bare))
     navigation = (separators * 8 > n) | F.rtrim(low, F.lit(" .!>»")).isin(*CALLS)
-    return punctuation & ~navigation & ~boilerplate
-
-
-def line_passes(line: Column) -> Column:
-    """Whether a line keeps all rules: fields bare (trimmed, with a word), low (lower case), n (words)."""
-    return passes(line, line["bare"].rlike(ENDS_SENTENCE), phrases_in(line["low"]))
-
-
-def long_line_passes(line: Column) -> Column:
-    """The same for lines of any length: a sentence end anywhere is enough, and phrases count by their share of the words."""
-    bare, low, n = line["bare"], line["low"], line["n"]
+    mentioned = reduce(or_, [F.contains(low, F.lit(phrase)) for phrase in BOILERPLATE])
     held = reduce(add, [(F.size(F.split(low, phrase)) - 1) * (phrase.count(" ") + 1) for phrase in BOILERPLATE])
-    return passes(line, bare.rlike(ENDS_SENTENCE) | bare.rlike(SENTENCE_MARKS), phrases_in(low) & (held * BOILERPLATE_SHARE >= n))
+    return punctuation & ~navigation & ~(mentioned & (held * BOILERPLATE_SHARE >= n))
 
 
-def line_first(docs: DataFrame, carry: list[str] | None = None, min_words: int = 50, max_repeat_percent: int = 50, min_kept_percent: int = 50,
-               rules: Callable[[Column], Column] = line_passes) -> DataFrame:
+def line_first(docs: DataFrame, carry: list[str] | None = None, min_words: int = 50, max_repeat_percent: int = 50, min_kept_percent: int = 50) -> DataFrame:
     """_row (struct of the columns in `carry`, doc_id if None), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, line_chars, kept_chars, cleaned.
 
     cleaned: the lines that pass, and lines without a word, in their order. kept: not base_failed, and the passing lines
@@ -108,7 +92,7 @@ def line_first(docs: DataFrame, carry: list[str] | None = None, min_words: int =
     rows = rows.select(
         "_row", "_lines", "n_words", "word_chars", (F.size(F.split("_text", SYMBOL, -1)) - 1).cast("long").alias("n_symbols"),
         (F.size("_worded") - F.size(F.array_distinct("_worded"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
-        F.filter(full, lambda x: (x["bare"] == "") | rules(x)).alias("_passed"))
+        F.filter(full, lambda x: (x["bare"] == "") | line_passes(x)).alias("_passed"))
     chars = lambda lines: F.length(F.array_join(F.transform(lines, lambda x: x["bare"]), "")).cast("long")
     rows = rows.select("*", chars("_lines").alias("line_chars"), chars("_passed").alias("kept_chars"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -120,7 +104,7 @@ def line_first(docs: DataFrame, carry: list[str] | None = None, min_words: int =
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their cleaned text (and its length in n_chars, where there is one); same columns."""
-    done = line_first(docs, docs.columns, rules=long_line_passes)
+    done = line_first(docs, docs.columns)
     now = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
     row = F.struct(*[now.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
     # a generator, not a filter: a filter would be pushed down with every expression above copied into it

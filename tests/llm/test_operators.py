@@ -222,6 +222,7 @@ def test_long_lines_are_not_lost_for_one_mark_or_mention(spark):
     lost = [clean.replace(".", ""), "All rights reserved by us. " * 2 + "See our privacy policy and terms of use. " + " ".join(clean.split()[:50])]
     made = spark.createDataFrame(list(enumerate(whole + lost)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in quality.cleaned_documents(made).collect()) == [0, 1, 2, 3]
+    assert {r["_row"]["doc_id"]: r["kept"] for r in quality.line_first(made).collect()} == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False}
 
 
 # ---- licenses
