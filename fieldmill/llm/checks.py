@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldmill.llm import quality
+from fieldmill.llm import hosts, quality
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SPACE = r"[ \t\n\x0B\f\r]"
@@ -69,13 +69,17 @@ p_{key} AS (SELECT {key}, k * mean + good AS a, k * (1 - mean) + n - good AS b,
     return rf"""
 WITH u AS (SELECT page_id, lower(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), '')) AS host,
   coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-h AS (SELECT *, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain, '' AS every FROM u),
+v AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site FROM u),
+x AS (SELECT *, string_split(site, '.') AS l, regexp_full_match(site, '[0-9]+([.][0-9]+){{3}}') OR starts_with(site, '[') AS ip FROM v),
+y AS (SELECT *, CASE WHEN length(l[-1]) = 2 AND coalesce(l[-2], '') IN ({', '.join(map(quoted, hosts.SECOND_LEVEL))}) THEN 2 ELSE 1 END AS own FROM x),
+h AS (SELECT page_id, host, path, site, '' AS every, CASE WHEN ip THEN {quoted(hosts.ADDRESSES)} ELSE array_to_string(l[-own:], '.') END AS suffix,
+  CASE WHEN ip THEN site ELSE array_to_string(l[-own - 1:], '.') END AS domain FROM y),
 k AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 ELSE 0.0 END) AS good FROM labels
   WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
-counts AS (SELECT host, domain, suffix, every, CAST(sum(good) AS DOUBLE) AS good, CAST(count(*) AS DOUBLE) AS n FROM h JOIN k ON k.doc_id = h.page_id GROUP BY ALL),
+counts AS (SELECT site, domain, suffix, every, CAST(sum(good) AS DOUBLE) AS good, CAST(count(*) AS DOUBLE) AS n FROM h JOIN k ON k.doc_id = h.page_id GROUP BY ALL),
 top AS (SELECT '' AS every, (coalesce(sum(good), 0) + 1) AS a, (coalesce(sum(n - good), 0) + 1) AS b,
-  (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM counts),{level('suffix', 'every', 'top')},{level('domain', 'suffix', 'p_suffix')},{level('host', 'domain', 'p_domain')},
-e AS (SELECT h.*, coalesce(ph.a, pd.a, ps.a, top.a) AS a, coalesce(ph.b, pd.b, ps.b, top.b) AS b FROM h LEFT JOIN p_host ph ON ph.host = h.host
+  (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM counts),{level('suffix', 'every', 'top')},{level('domain', 'suffix', 'p_suffix')},{level('site', 'domain', 'p_domain')},
+e AS (SELECT h.*, coalesce(ph.a, pd.a, ps.a, top.a) AS a, coalesce(ph.b, pd.b, ps.b, top.b) AS b FROM h LEFT JOIN p_site ph ON ph.site = h.site
   LEFT JOIN p_domain pd ON pd.domain = h.domain LEFT JOIN p_suffix ps ON ps.suffix = h.suffix, top),
 r AS ({' UNION ALL '.join(fits)}),
 f AS (SELECT page_id, host, path, arg_max(own || prefix, length(own || prefix)) AS rule, arg_max(says, length(own || prefix)) AS says

@@ -367,6 +367,23 @@ def test_hosts(spark):
     assert hosts.judge(pages.limit(0), labels.limit(0), rules).count() == 0
 
 
+def test_levels_of_hosts(spark):
+    given = {"host.example.gov.uk:8080": ("host.example.gov.uk", "example.gov.uk", "gov.uk"), "1.2.3.4": ("1.2.3.4", "1.2.3.4", "[ip]"),
+             "me:pw@a.b.com:": ("a.b.com", "b.com", "com"), "[::1]:80": ("[::1]", "[::1]", "[ip]"), "co.uk": ("co.uk", "co.uk", "co.uk"),
+             "x.github.io": ("x.github.io", "github.io", "io"), "": ("", "", ""), "localhost": ("localhost", "localhost", "localhost"), "1.2.3.com": ("1.2.3.com", "3.com", "com")}
+    frame = spark.createDataFrame([(h,) for h in given], "host string")
+    assert {r.host: (r.site, r.domain, r.suffix) for r in hosts.with_levels(frame).collect()} == given
+    listed = spark.createDataFrame([("github.io",), ("b.com",), ("github.io",), ("io",)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in hosts.with_levels(frame, listed).collect()}
+    assert got["x.github.io"] == ("x.github.io", "github.io") and got["me:pw@a.b.com:"] == ("a.b.com", "b.com")
+    assert len(got) == len(given) and got["1.2.3.4"] == ("1.2.3.4", "[ip]")
+    # pages of one site on two ports share its reputation; labels that disagree on a page count as bad
+    pages = spark.createDataFrame([(k, f"http://s.net:{k % 2 + 80}/{k}") for k in range(30)] + [(99, "http://s.net/new")], "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1) for k in range(30)] + [(3, 0), (3, 1)], "page_id long, good int")
+    out = {r.page_id: r for r in hosts.judge(pages, labels, []).collect()}
+    assert out[99].share == out[0].share == out[1].share and out[0].host == "s.net:80" and 0.8 < out[0].share < 1
+
+
 # ---- language
 
 def brute_bits(samples: list[bytes], text: bytes, order: int) -> float:
