@@ -45,7 +45,7 @@ SHARD_TEXT = 48 << 20
 ENTRIES = "doc_id long, shard int, at long, before long, n_tokens int, copy long, in_first_run boolean"
 INDEX = "grp long, n int, seed int, pilots binary, prints binary, shards binary, ats binary, counts binary"
 FOUND = "doc_id long, copy long, start long, shard int, at long, n_tokens int"
-READ = "doc_id long, copy long, start long, shard int, at long, n_tokens int, ids_crc32 long"
+READ = "name long, named boolean, copy long, start long, shard int, at long, n_tokens int, ids_crc32 long"
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int) -> None:
@@ -244,18 +244,23 @@ def look_up(keys: DataFrame, index: DataFrame, groups: int, all_known: bool = Fa
     return asked.groupBy("grp").cogroup(index.groupBy("grp")).applyInPandas(find, FOUND)
 
 
-def digests(found: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """The found places with ids_crc32, over the ids (as 32-bit integers) that stand there. A place that holds another record is an error."""
+def digests(places: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Places (doc_id, null where the record has none, and copy, start, shard, at, n_tokens) with ids_crc32, over the ids (as 32-bit
+    integers) that stand there. A place that holds another record is an error."""
     def cut(asked: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
         content = files["content"].iloc[0] if len(files) else b""
         sums = []
-        for doc_id, at, n in zip(asked["doc_id"].tolist(), asked["at"].tolist(), asked["n_tokens"].tolist(), strict=True):
-            if at + 2 * n > len(content) or np.frombuffer(content, HEAD, 1, at - HEAD.itemsize)[0].tolist() != (doc_id, n):
-                raise ValueError(f"the place that the index names for doc_id {doc_id} holds another record")
+        for name, named, at, n in zip(*(asked[c].tolist() for c in ("name", "named", "at", "n_tokens")), strict=True):
+            head = (name, n) if named else (0, n + NO_ID)
+            if at + 2 * n > len(content) or np.frombuffer(content, HEAD, 1, at - HEAD.itemsize)[0].tolist() != head:
+                raise ValueError(f"the place that the index names for doc_id {name if named else None} holds another record")
             sums.append(zlib.crc32(np.frombuffer(content, "<u2", n, at).astype("<u4")))
         return asked.assign(ids_crc32=np.array(sums, np.int64))
 
-    return found.groupBy("shard").cogroup(shard_files(spark, folder).groupBy("shard")).applyInPandas(cut, READ)
+    asked = places.select(F.coalesce("doc_id", F.lit(0)).alias("name"), F.col("doc_id").isNotNull().alias("named"), "copy", "start", "shard", "at", "n_tokens")
+    # a shard's places and its file meet in one task: as many rows, and as many bytes, as SHARD_TEXT of text makes
+    read = asked.groupBy("shard").cogroup(shard_files(spark, folder).groupBy("shard")).applyInPandas(cut, READ)
+    return read.select(F.when(F.col("named"), F.col("name")).alias("doc_id"), "copy", "start", "shard", "at", "n_tokens", "ids_crc32")
 
 
 def fetch(found: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
@@ -290,22 +295,7 @@ def token_places(docs: DataFrame, tokenizer: str, shards: int | None = None) ->
     doc_id, start, n_tokens, ids_crc32, shard, at. Rows without doc_id have no key; their places come from the walk over the files.
     """
     folder, rows, index, groups = write_indexed(docs, tokenizer, shards)
-    spark = docs.sparkSession
     found = look_up(rows, index, groups, all_known=True)
-    nameless = rows.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "copy", "start", "shard", "at", "n_tokens")
-    names = ["start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32", "shard", "at"]
-    keyed = digests(found, spark, f"{folder}/ids").select("doc_id", *names)
-    return keyed.unionByName(unkeyed_digests(nameless, spark, f"{folder}/ids").select(F.lit(None).cast("long").alias("doc_id"), *names))
-
-
-def unkeyed_digests(places: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """The same for records without doc_id, whose count in the file says so."""
-    def cut(asked: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
-        content = files["content"].iloc[0] if len(files) else b""
-        sums = [zlib.crc32(np.frombuffer(content, "<u2", n, at).astype("<u4"))
-                for at, n in zip(asked["at"].tolist(), asked["n_tokens"].tolist(), strict=True)]
-        return asked.assign(ids_crc32=np.array(sums, np.int64))
-
-    # only the files that hold such records are read
-    files = shard_files(spark, folder).join(places.select("shard").distinct(), "shard", "left_semi")
-    return places.groupBy("shard").cogroup(files.groupBy("shard")).applyInPandas(cut, READ)
+    nameless = rows.where("doc_id is null").select("doc_id", "copy", "start", "shard", "at", "n_tokens")
+    read = digests(found.unionByName(nameless), docs.sparkSession, f"{folder}/ids")
+    return read.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32", "shard", "at")
