@@ -137,13 +137,13 @@ def line_table(text: Column) -> Column:
     """
     def rows(segs, blocks):
         def block(b, before):
-            own = F.slice(segs, b * FAN + 1, F.lit(FAN))
-
-            def row(s, i):
-                lead = F.length(s) - F.length(F.ltrim(s, F.lit(" \t\n\r\x0b\x0c")))
-                start = before(b) + F.length(F.array_join(F.slice(own, F.lit(1), i), ""))
-                return F.struct((b * FAN + i + 1).alias("line"), (start + lead).cast("int").alias("start"), strip(s).alias("text"))
-            return F.transform(own, row)
+            def lines(v):
+                def row(s, i):
+                    lead = F.length(s) - F.length(F.ltrim(s, F.lit(" \t\n\r\x0b\x0c")))
+                    start = v["start"] + F.length(F.array_join(F.slice(v["own"], F.lit(1), i), ""))
+                    return F.struct((b * FAN + i + 1).alias("line"), (start + lead).cast("int").alias("start"), strip(s).alias("text"))
+                return F.transform(v["own"], row)
+            return bind(F.struct(before(b).alias("start"), F.slice(segs, b * FAN + 1, F.lit(FAN)).alias("own")), lines)
         return sums_before(blocks, lambda before: F.filter(
             F.flatten(F.transform(F.sequence(F.lit(0), F.size(blocks) - 1), lambda b: block(b, before))), lambda r: r["text"] != ""))
 
