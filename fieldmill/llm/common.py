@@ -14,15 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 2 << 20
 
 
+#: Temporary folders of local sessions that name none, by application.
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        master = spark.sparkContext.master
+        master, application = spark.sparkContext.master, spark.sparkContext.applicationId
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if application not in _local:
+            _local[application] = "file://" + tempfile.mkdtemp(prefix="scratch-")
+        folder = _local[application]
     return folder.rstrip("/")
 
 
