@@ -462,3 +462,24 @@ def test_top_k(spark):
     few = topk.top_k(frame.where("vec_id in (100, 101, 102)"), topk.F.col("id") % 50 == 0).collect()
     assert [r["rank"] for r in sorted(few)] == [1, 2]
 
+
+
+def test_documents_that_share_a_passage_do_not_make_all_their_pairs(spark, monkeypatch):
+    """300 documents of 40 words in common and 8 to 14 of their own: below the similarity, though every sketch is close."""
+    passage = prose(77, 40)
+    rows = [(k, passage + " " + prose(1000 + k, 8 + k % 7)) for k in range(300)] + [(500, passage + " " + prose(1000, 8) + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, pairs = [], minmax.prefix_pairs
+
+    def counted(*args):
+        found = pairs(*args)
+        seen.append(found.count())
+        return found
+    monkeypatch.setattr(minmax, "prefix_pairs", counted)
+    got = {r["doc_id"]: r["component_id"] for r in minmax.near_duplicates(docs, size=4).collect()}
+    _, classes = brute_classes(rows, 4)
+    least = {}
+    for (i, _), top in zip(rows, classes, strict=True):
+        least[top] = min(i, least.get(top, i))
+    assert got == {i: least[top] for (i, _), top in zip(rows, classes, strict=True)}
+    assert seen and seen[0] < 3 * len(rows)
