@@ -145,7 +145,8 @@ def review_prompts(docs: DataFrame, fields: DataFrame, listed: int = 80, text_ch
         F.lit("\n\nOriginal parsed document text:\n"), F.left("raw_text", F.lit(text_chars)),
         F.lit("\n\nExtracted/template fields:\n")).alias("_head"))
     body = F.concat("_head", F.coalesce(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit("")))
-    return head.join(lines, "doc_id", "left").select("doc_id", F.concat(
+    # the size of the lines cannot be told from that of the files they come from: never one broadcast table
+    return head.join(lines.hint("merge"), "doc_id", "left").select("doc_id", F.concat(
         F.lit("Review this processed document package and produce a reviewer briefing.\n\n"
               "Context:\n---\n"), F.left(body, F.lit(max_chars)),
         F.lit("\n---\n\nReturn JSON only.")).alias("prompt"))
