@@ -11,7 +11,8 @@ from fieldmill.catalogue import Catalogue
 from fieldmill.functions import review as R
 from fieldmill.functions.common import is_blank, percent, strip
 from fieldmill.functions.validation import check, explain, validate
-from fieldmill.operators.skew import bucketed_join, day_bucket, keyed_join, previous_values
+from fieldmill.llm.common import stored
+from fieldmill.operators.skew import asked_for, bucketed_join, day_bucket, keyed_join, previous_values
 from fieldmill.operators.templates import match_fields
 
 AUDIT_COLUMNS = ["doc_id", "action", "actor", "details"]
@@ -329,11 +330,9 @@ def removable(fields: DataFrame) -> Column:
 
 def apply_removals(fields: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(remaining fields, one outcome per action). Only suggested or manual fields can go."""
-    asked = actions.select("field_id").distinct()
-    can = removable(fields)
-    gone = fields.filter(can).join(asked, "field_id", "left_semi").select("field_id")
-    status = fields.select("field_id", can.alias("_can"), F.col("field_name").alias("_name"))
-    first = Window.partitionBy("field_id").orderBy("ts", "action_id")
+    status = stored(asked_for(fields, actions, ["field_id"]).select(
+        "field_id", removable(fields).alias("_can"), F.col("field_name").alias("_name")), "removals")
+    gone = status.filter("_can").select("field_id")
     outcome = keyed_join(actions, status, ["field_id"], "left").join(
         actions.groupBy("field_id").agg(F.min_by("action_id", F.struct("ts", "action_id")).alias("_first")),
         "field_id")

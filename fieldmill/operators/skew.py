@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fieldmill.llm.common import stored
+
 
 def row_index(df: DataFrame, keys: list[str], bucket: Column, order: list, name: str) -> DataFrame:
     """0-based position of each row within ``keys`` by (bucket, *order).
@@ -59,12 +61,13 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
                spread: Column | None = None, salts: int = 0) -> DataFrame:
     """Equi-join where ``small`` has one row per key and ``big`` may have very many of one key.
 
-    By default a plain join: adaptive execution splits a hot partition of ``big`` and hands each
-    piece the same rows of ``small``. With ``salts`` the split is made in the plan instead: rows
-    of ``big`` are dealt out by ``spread`` and ``small`` is repeated once per salt.
+    By default a sort-merge join, as the size of ``small`` cannot be told from the files it comes from: adaptive
+    execution splits a hot partition of ``big`` and hands each piece the same rows of ``small``. With ``salts``
+    the split is made in the plan instead: rows of ``big`` are dealt out by ``spread`` and ``small`` is repeated
+    once per salt.
     """
     if not salts:
-        return big.join(small, keys, how)
+        return big.join(small.hint("merge"), keys, how)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
@@ -77,8 +80,16 @@ def bucketed_join(big: DataFrame, small: DataFrame, keys: list[str], bucket: Col
     groups by (keys, bucket), with the bucket under the name `_bucket`, needs no further exchange.
     """
     tagged = big.withColumn("_bucket", bucket)
-    copies = tagged.select(*keys, "_bucket").distinct().join(small, keys)
-    return tagged.join(copies, [*keys, "_bucket"], how)
+    copies = tagged.select(*keys, "_bucket").distinct().join(small.hint("merge"), keys)
+    return tagged.join(copies.hint("merge"), [*keys, "_bucket"], how)
+
+
+def asked_for(table: DataFrame, asking: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``table`` whose key occurs in ``asking``.
+
+    The distinct keys are written first, so that their real size decides: few keys are broadcast and ``table`` is not shuffled.
+    """
+    return table.join(stored(asking.select(*keys).distinct(), "asked-for"), keys, "left_semi")
 
 
 def day_bucket(ts: Column) -> Column:

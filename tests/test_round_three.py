@@ -36,3 +36,15 @@ def test_prompt_lines_are_never_broadcast(spark):
     assert "Broadcast" not in plan_of(made)
     got = {r.doc_id: r.prompt for r in made.collect()}
     assert [got[1].index(f'"f{i}"') for i in range(3)] == sorted(got[1].index(f'"f{i}"') for i in range(3)) and got[2] is None
+
+
+def test_rows_per_key_meet_without_a_broadcast(spark):
+    big, small = spark.range(20).selectExpr("id % 3 as k", "id"), spark.range(2).selectExpr("id as k", "id as v")
+    assert "Broadcast" not in plan_of(skew.keyed_join(big, small, ["k"]))
+
+
+def test_fields_that_no_one_asks_for_are_not_shuffled(spark):
+    fields = spark.range(1000).selectExpr("id as field_id", "concat('name ', id) as field_name")
+    actions = spark.createDataFrame([(3,), (3,), (None,)], "field_id long")
+    asked = skew.asked_for(fields, actions, ["field_id"])
+    assert "hashpartitioning" not in plan_of(asked) and [r.field_id for r in asked.collect()] == [3]

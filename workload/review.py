@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from fieldmill import constants as K
 from fieldmill.functions import review as C
 from fieldmill.operators import review as R
+from fieldmill.operators.skew import asked_for
 from workload import duck as D
 from workload.registry import INPUTS, Tables, q, query
 from workload.templates import BUNDLED
@@ -371,7 +372,8 @@ def audit_events(t: Tables):
     removes = t.actions.filter("kind = 'remove'")
     _, report = R.apply_removals(t.stored_fields, removes)
     removed = report.join(removes.select("action_id", "actor"), "action_id").join(
-        t.stored_fields.select("field_id", "doc_id", F.col("extracted_value").alias("display_value")), "field_id")
+        asked_for(t.stored_fields, removes, ["field_id"]).select("field_id", "doc_id", F.col("extracted_value").alias("display_value")).hint("merge"),
+        "field_id")
     more = (R.creation_audit(t.app_documents), R.addition_audit(adds), R.removal_audit(removed),
             R.job_audit(t.sql(_ENDED + "(" + INPUTS["jobs"] + ") j")), R.briefing_audit(t.sql(_BRIEFED + "(" + INPUTS["app_documents"] + ") d")))
     return reduce(DataFrame.unionByName, more, _finished_audit(t))
