@@ -195,7 +195,7 @@ def fold_actions(fields: DataFrame, actions: DataFrame) -> DataFrame:
     refused), refusal, new_accepted, validation_*. Values chain through earlier actions of the
     field; they are re-validated without template rules.
     """
-    known = fields.select(
+    known = asked_for(fields, actions, ["field_id"]).select(
         "field_id", F.col("doc_id").alias("_doc"), F.col("field_name").alias("_name"), "extracted_value",
         "standard_field_key", "data_type", "required",
         (F.col("accepted") & ~F.col("needs_review")).alias("_settled"))
