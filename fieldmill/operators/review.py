@@ -67,9 +67,12 @@ def document_status(decided: DataFrame) -> DataFrame:
 # --- corrections -----------------------------------------------------------------------------
 
 def display_values(fields: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Adds corrected (any correction?) and display_value (latest correction, else extracted)."""
-    latest = corrections.groupBy("field_id").agg(F.max_by(
-        F.struct("corrected_value"), F.struct("corrected_at", "correction_id")).alias("_last"))
+    """Adds corrected (any correction?) and display_value (latest correction, else extracted).
+
+    The latest corrections are written first, so that their real size decides: where they are few, no field is shuffled.
+    """
+    latest = stored(corrections.groupBy("field_id").agg(F.max_by(
+        F.struct("corrected_value"), F.struct("corrected_at", "correction_id")).alias("_last")), "latest-corrections")
     return (fields.join(latest, "field_id", "left")
             .withColumn("corrected", F.col("_last").isNotNull())
             .withColumn("display_value", F.when(
@@ -132,7 +135,7 @@ def auto_accept_audit(refreshed: DataFrame, threshold: float = K.DEFAULT_THRESHO
         F.lit(" field(s) because the original extracted value exactly matched the current "
               f"review/display value and met the {round(threshold * 100)}% confidence threshold: "),
         F.array_join(F.transform("_n", lambda x: x["field_name"]), ", "), more, F.lit("."))
-    return n.join(first, "doc_id").select(
+    return n.join(first.hint("merge"), "doc_id").select(
         "doc_id", F.lit("fields_auto_accepted_exact_match").alias("action"),
         F.lit("system").alias("actor"), details.alias("details"))
 
