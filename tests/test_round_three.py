@@ -66,6 +66,41 @@ def test_few_corrections_leave_the_fields_where_they_are(spark):
         assert "latest-corrections" in plan and not re.search(r"hashpartitioning\(field_id#", plan)
 
 
+def test_template_columns_stay_out_of_the_shuffle(spark):
+    rows = templates.apply_template(_with_rules(Tables(spark, SMALL)), Catalogue.bundled())
+    aggregates = re.findall(r"max_by\((.*?)\)", plan_of(rows.select("doc_id", "value")), re.S)
+    assert aggregates and not any("template_name" in a or "template_key" in a for a in aggregates)
+
+
+def test_template_keeps_what_rows_of_unknown_templates_have(spark):
+    given = "doc_id long, pos long, doc_template string, field_name string, value string, confidence double"
+    rows = spark.createDataFrame([
+        (1, 0, "finance_invoice", "Invoice No", "a", 0.5), (1, 1, "finance_invoice", "invoice_number", "b", 0.9),
+        (1, 2, "finance_invoice", "Odd", None, 0.4), (1, 2, "finance_invoice", "Odd", None, 0.4),
+        (2, 0, "unheard", "Total", "c", None), (3, None, None, "Total", "d", 0.1)], given)
+    for c in ("snippet", "reasoning", "standard_field_key", "template_key", "data_type"):
+        rows = rows.withColumn(c, F.when(F.col("doc_id") > 1, F.lit(f"own {c}")))
+    from fieldmill.schemas import RULES, SOURCE
+    rows = rows.withColumn("auto_accept", F.lit(False)).withColumn("required", F.lit(True)).withColumn(
+        "rules", F.lit(None).cast(RULES)).withColumn("source", F.lit(None).cast(SOURCE))
+    got = {(r.doc_id, r.field_name): r for r in templates.apply_template(rows, Catalogue.bundled()).collect() if r.confidence != 0}
+    best, odd, free = got[1, "invoice_number"], got[1, "suggested_extra_fields.odd"], got[2, "Total"]
+    assert (best.value, best.pos, best.template_key, best.required, best.rules.min_length) == ("b", 1, "finance_invoice", True, 1)
+    assert (odd.value, odd.pos, odd.data_type, odd.required, odd.auto_accept) == (None, 2, "suggestion", False, True)
+    assert (free.value, free.pos, free.standard_field_key, free.data_type, free.required) == ("c", 0, "own standard_field_key", "own data_type", True)
+    assert len(got) == 4
+
+
+def test_required_keys_are_reduced_by_hash(spark):
+    rows = spark.createDataFrame([(1, "finance_invoice", "invoice_number", " ", True), (1, "finance_invoice", "invoice_number", "x", True),
+                                  (1, "finance_invoice", "notes", "x", False)],
+                                 "doc_id long, doc_template string, standard_field_key string, value string, required boolean")
+    done = templates.required_complete(rows, Catalogue.bundled())
+    assert plan_of(done).count("HashAggregate(keys=[doc_id") >= 2
+    (row,) = done.collect()
+    assert (row.found, row.complete) == (1, False)
+
+
 def test_display_values_of_null_and_repeated_keys(spark):
     fields = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "field_id long, extracted_value string")
     fixes = spark.createDataFrame([(1, None, 5, 1), (None, "z", 5, 2)], "field_id long, corrected_value string, corrected_at long, correction_id long")
