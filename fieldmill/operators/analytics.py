@@ -8,6 +8,7 @@ from pyspark.sql.types import BinaryType, DateType, StringType, TimestampNTZType
 from fieldmill import constants as K
 from fieldmill.functions import labels as L
 from fieldmill.functions.review import blocks_approval
+from fieldmill.llm.common import stored
 from fieldmill.operators.review import mean, mean_units
 from fieldmill.operators.skew import row_index
 
@@ -112,9 +113,14 @@ def document_view(documents: DataFrame, fields: DataFrame, corrections: DataFram
         return df.groupBy(*keys, "page").agg(F.transform(F.array_sort(F.collect_list(F.struct(
             F.col(order).alias("_o"), item.alias("item")))), lambda x: x["item"]).alias(name))
 
-    history = nested(paged(corrections, ["field_id"], "correction_id", "c"), ["field_id"], "correction_id",
-                     F.struct("correction_id", "old_value", "corrected_value", "corrected_by"), "corrections")
+    def last_page(df):
+        return df.groupBy("doc_id").agg(F.floor((F.count(F.lit(1)) - 1) / page_size).alias("_last"))
+
+    # written first, so that its real size decides: where few fields were corrected, no field is shuffled for it
+    history = stored(nested(paged(corrections, ["field_id"], "correction_id", "c"), ["field_id"], "correction_id",
+                            F.struct("correction_id", "old_value", "corrected_value", "corrected_by"), "corrections"), "histories")
     rows = fields.join(history, "field_id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
+    last = last_page(rows).unionByName(last_page(jobs)).unionByName(last_page(briefings)).groupBy("doc_id").agg(F.max("_last").alias("_last"))
     rows = rows.withColumn("_order", F.struct("field_id", F.col("page").alias("correction_page")))
     rows = row_index(rows.drop("page"), ["doc_id"], F.floor(F.col("field_id") / 100_000), ["_order"], "_pos")
     rows = rows.withColumn("page", F.floor(F.col("_pos") / page_size))
@@ -125,9 +131,12 @@ def document_view(documents: DataFrame, fields: DataFrame, corrections: DataFram
                        F.struct("job_id", "status", "attempts"), "jobs")
     briefing_pages = nested(paged(briefings, ["doc_id"], "briefing_id", "b"), ["doc_id"], "briefing_id",
                             F.struct("briefing_id", "summary"), "briefings")
-    pages = (field_pages.join(job_pages, ["doc_id", "page"], "full_outer")
-             .join(briefing_pages, ["doc_id", "page"], "full_outer"))
-    return documents.join(pages, "doc_id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
+    # the pages of each document are known beforehand, so that the lists meet them where they were gathered, by document and page
+    pages = documents.join(last.hint("merge"), "doc_id", "left").withColumn(
+        "page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_last", F.lit(0).cast("bigint"))))).drop("_last")
+    for lists in (field_pages, job_pages, briefing_pages):
+        pages = pages.join(lists.hint("merge"), ["doc_id", "page"], "left")
+    return pages.select("doc_id", *[c for c in documents.columns if c != "doc_id"], "page", "fields", "jobs", "briefings")
 
 
 def audit_trail(audit: DataFrame, doc_id: int | None = None, newest_first: bool = False) -> DataFrame:

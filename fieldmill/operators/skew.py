@@ -13,21 +13,17 @@ def row_index(df: DataFrame, keys: list[str], bucket: Column, order: list, name:
     ``bucket`` must grow with the order. Rows are ranked inside (keys, bucket), then shifted by
     the counts of the earlier buckets, so one group spreads over as many tasks as it has buckets.
     """
-    tagged = df.withColumn("_bucket", bucket)
-    counts = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+    # one struct holds the keys and the bucket: structs are equal where both have nulls, so a plain join finds the shifts
+    # where the ranks were taken, without another shuffle of the rows
+    tagged = df.withColumn("_at", F.struct(*keys, bucket.alias("_bucket")))
+    counts = tagged.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*[F.col("_at")[k] for k in keys]).orderBy(F.col("_at._bucket")).rowsBetween(
         Window.unboundedPreceding, -1)
-    shifts = counts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    shifts = counts.select("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("_at").orderBy(*order)
     ranked = tagged.withColumn("_rank", F.row_number().over(inside) - 1)
-    on = F.col("_bucket").eqNullSafe(F.col("_b"))
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return (ranked.join(shifts, on, "left")
-            .withColumn(name, F.col("_rank") + F.col("_shift"))
-            .drop("_bucket", "_b", "_rank", "_shift", *[f"_k{i}" for i in range(len(keys))]))
+    return (ranked.join(shifts.hint("merge"), "_at", "left")
+            .withColumn(name, F.col("_rank") + F.col("_shift")).select(*df.columns, name))
 
 
 def previous_values(df: DataFrame, keys: list[str], bucket: Column, order: list[str],

@@ -91,6 +91,29 @@ def test_template_keeps_what_rows_of_unknown_templates_have(spark):
     assert len(got) == 4
 
 
+def test_positions_need_one_shuffle_of_the_rows(by_shuffle):
+    rows = by_shuffle.createDataFrame([(k, i) for k in (1, None) for i in range(7)], "k long, i long")
+    ranked = skew.row_index(rows, ["k"], F.floor(F.col("i") / 3), ["i"], "pos")
+    plan = plan_of(ranked)
+    assert len(re.findall(r"Exchange hashpartitioning\(_at", plan)) <= 3 and "coalesce(k" not in plan
+    assert all(r.pos == r.i for r in ranked.collect())
+
+
+def test_pages_of_documents_are_known_beforehand(by_shuffle):
+    docs = by_shuffle.createDataFrame([(1, "a"), (1, "again"), (2, "b"), (None, "c")], "doc_id long, filename string")
+    fields = by_shuffle.range(5).selectExpr("1 as doc_id", "id as field_id", "'n' as field_name", "'v' as extracted_value", "0.5 as confidence",
+                                            "true as accepted", "false as needs_review")
+    fixes = by_shuffle.createDataFrame([(9, 3)], "correction_id long, field_id long").selectExpr("*", "'o' old_value", "'x' corrected_value", "'u' corrected_by")
+    jobs = by_shuffle.range(3).selectExpr("if(id = 0, 2, 7) as doc_id", "id as job_id", "'s' as status", "1 as attempts")
+    briefs = by_shuffle.range(3).selectExpr("1 as doc_id", "id as briefing_id", "'s' as summary")
+    view = analytics.document_view(docs, fields, fixes, jobs, briefs, page_size=2)
+    # what was gathered by document and page is not dealt out again by document alone
+    assert "Join [doc_id" in plan_of(view) and "FullOuter" not in plan_of(view)
+    got = sorted(((r.filename, r.page, len(r.fields or []), len(r.jobs or []), len(r.briefings or [])) for r in view.collect()))
+    one = [(0, 2, 0, 2), (1, 2, 0, 1), (2, 1, 0, 0)]
+    assert got == sorted([("b", 0, 0, 1, 0), ("c", 0, 0, 0, 0), *[(n, *x) for n in ("a", "again") for x in one]])
+
+
 def test_required_keys_are_reduced_by_hash(spark):
     rows = spark.createDataFrame([(1, "finance_invoice", "invoice_number", " ", True), (1, "finance_invoice", "invoice_number", "x", True),
                                   (1, "finance_invoice", "notes", "x", False)],
