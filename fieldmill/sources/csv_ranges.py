@@ -29,11 +29,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from fieldmill.llm.common import stored
 from fieldmill.operators.ingest import csv_rows, named_cells
 
 SEPARATORS = ",;\t|"
 #: Characters of a file's beginning that decide its separator.
 SAMPLE = 4096
+#: Bytes of small ranges that one task reads in turn.
+TASK_BYTES = 32 << 20
 QUOTED = r'"(?:[^"]++|"")*+'
 
 
@@ -71,14 +74,23 @@ class Grammar:
 
 
 def lines_of(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
-    """line, doc_id (hash of the path), path, block (where the line's range begins), in their order within each partition."""
+    """line, doc_id (hash of the path), path, block (where the line's range begins), in their order within each partition.
+
+    A task reads many small ranges one after the other, so the number of tasks goes by the bytes, not by the ranges.
+    """
     if range_bytes:
         spark = spark.newSession()
         spark.conf.set("spark.sql.files.maxPartitionBytes", range_bytes)
         spark.conf.set("spark.sql.files.openCostInBytes", range_bytes)
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
-    return lines.select(F.make_valid_utf8("value").alias("line"), F.xxhash64("_metadata.file_path").alias("doc_id"),
-                        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    tasks = 0
+    if range_bytes and range_bytes < TASK_BYTES:
+        ranges = lines.rdd.getNumPartitions()
+        tasks = max(spark.sparkContext.defaultParallelism, -(-ranges * range_bytes // TASK_BYTES))
+        tasks = tasks if tasks < ranges else 0
+    lines = lines.select(F.make_valid_utf8("value").alias("line"), F.xxhash64("_metadata.file_path").alias("doc_id"),
+                         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.coalesce(tasks) if tasks else lines
 
 
 def stretches(keys: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -245,25 +257,28 @@ def pieces(lines: DataFrame, ranges: DataFrame, crossing: bool) -> DataFrame:
                 # lines that are rows by themselves, in stretches between those that need a closer look
                 alone = ~begins & ~after
                 alone[part.returns] = False
+                numbers, rows = np.zeros(len(alone), np.int64), []
                 for x, y in stretches([alone]):
                     if alone[x]:
-                        keep = part.full[x:y]
-                        if not crossing and keep.any():
-                            rows = part.bare.slice(x, y - x).filter(pa.array(keep))
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(len(rows), now[0])), pa.array(np.arange(number, number + len(rows))),
-                                 pa.array(np.full(len(rows), now[1])), rows], ["doc_id", "row", "block", "text"])
-                        number += int(keep.sum())
+                        count = np.cumsum(part.full[x:y])
+                        numbers[x:y] = number - 1 + count
+                        number += int(count[-1])
                         continue
-                    rows = []
                     for i, line in enumerate(part.lines.slice(x, y - x).to_pylist(), x):
                         held.append(line)
                         if not after[i]:
                             more, number = closed(held, number, False)
                             rows += more
                             held, goes_on = [], False
-                    if rows:
-                        yield out(rows)
+                # one batch for each kind of lines, however often they take turns
+                keep = alone & part.full
+                if not crossing and keep.any():
+                    texts = part.bare.filter(pa.array(keep))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(texts), now[0])), pa.array(numbers[keep]), pa.array(np.full(len(texts), now[1])), texts],
+                        ["doc_id", "row", "block", "text"])
+                if rows:
+                    yield out(rows)
         if held:
             rows, _ = closed(held, number, inside)
             yield out(rows)
@@ -280,8 +295,9 @@ def read_csv_records(spark: SparkSession, path: str, range_bytes: int | None = N
     range_bytes: size of the ranges, where it is not the session's spark.sql.files.maxPartitionBytes.
     """
     lines = lines_of(spark, path, range_bytes)
-    starts = beginnings(lines)
-    ranges = placed(summaries(lines, starts.select("doc_id", "separator")))
+    # both are small and asked for several times; written once, the files are read once for each
+    starts = stored(beginnings(lines), "csv-beginnings")
+    ranges = stored(placed(summaries(lines, starts.select("doc_id", "separator"))), "csv-ranges")
     whole = pieces(lines, ranges, False).select("doc_id", "row", "text")
     crossing = pieces(lines, ranges, True).groupBy("doc_id", "row").agg(
         F.sort_array(F.collect_list(F.struct("block", "text"))).alias("_p"))

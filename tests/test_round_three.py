@@ -114,6 +114,16 @@ def test_pages_of_documents_are_known_beforehand(by_shuffle):
     assert got == sorted([("b", 0, 0, 1, 0), ("c", 0, 0, 0, 0), *[(n, *x) for n in ("a", "again") for x in one]])
 
 
+def test_small_ranges_share_tasks_and_batches(spark, tmp_path):
+    rows = [f'{i},"say ""{i}""\nand more"' if i % 2 else f"{i},plain" for i in range(400)]
+    (tmp_path / "a.csv").write_text("k,note\n" + "\n".join(rows) + "\n")
+    lines = csv_ranges.lines_of(spark, str(tmp_path / "a.csv"), 64)
+    assert lines.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    _, found = csv_ranges.read_csv_records(spark, str(tmp_path / "a.csv"), 64)
+    got = {r.record: tuple(c["value"] for c in r.cells) for r in found.collect()}
+    assert got == {i: (str(i), f'say "{i}"\nand more' if i % 2 else "plain") for i in range(400)}
+
+
 def test_required_keys_are_reduced_by_hash(spark):
     rows = spark.createDataFrame([(1, "finance_invoice", "invoice_number", " ", True), (1, "finance_invoice", "invoice_number", "x", True),
                                   (1, "finance_invoice", "notes", "x", False)],
