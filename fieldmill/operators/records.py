@@ -193,11 +193,12 @@ def leaf_rows(value: object, max_depth: int | None) -> Iterator[tuple]:
                 yield name if path == key or not isinstance(child, dict | list) else f"{name}.{path}", leaf, 1.0, None, LEAF
 
 
-def json_fields(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
+def json_fields(docs: DataFrame, max_depth: int | None = None, leaves: bool = True) -> DataFrame:
     """JSON documents (doc_id, text) -> field rows: doc_id, shape, is_head, pos, and the field columns.
 
     pos numbers the rows of a document as they are written, the describing rows first. A text that is not one JSON value has
-    one row without shape, pos and field. One parse a document, no shuffle; a document's rows leave in batches.
+    one row without shape, pos and field. One parse a document, no shuffle; a document's rows leave in batches. Without ``leaves``
+    only the describing rows are made.
     """
     schema = pa.schema([("shape", pa.string()), ("is_head", pa.bool_()), ("pos", pa.int64()), ("name", pa.string()), ("value", pa.string()),
                         ("confidence", pa.float64()), ("snippet", pa.string()), ("why", pa.int32())])
@@ -208,7 +209,7 @@ def json_fields(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
             yield i, None, False, None, None, None, None, None, None
             return
         kind, pos = json_tree.shape(value), 0
-        for head, rows in ((True, head_rows(value)), (False, leaf_rows(value, max_depth))):
+        for head, rows in ((True, head_rows(value)), (False, leaf_rows(value, max_depth) if leaves else ())):
             for row in rows:
                 yield i, kind, head, pos, *row
                 pos += 1

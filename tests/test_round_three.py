@@ -134,6 +134,14 @@ def test_required_keys_are_reduced_by_hash(spark):
     assert (row.found, row.complete) == (1, False)
 
 
+def test_describing_rows_without_leaves(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, '[{"a":1},{"b":2}]'), (2, "nope")], "doc_id long, text string")
+    every, heads = records.json_fields(docs), records.json_fields(docs, leaves=False)
+    assert heads.where("not is_head and shape is not null").count() == 0
+    key = lambda df: sorted((r.pos, r.field_name, r.value) for r in df.where("is_head").collect())
+    assert key(every) == key(heads)
+
+
 def test_display_values_of_null_and_repeated_keys(spark):
     fields = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "field_id long, extracted_value string")
     fixes = spark.createDataFrame([(1, None, 5, 1), (None, "z", 5, 2)], "field_id long, corrected_value string, corrected_at long, correction_id long")

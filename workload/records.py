@@ -43,7 +43,7 @@ f AS (SELECT doc_id, key, min(i * 1000 + p) AS place FROM (SELECT doc_id, i, unn
     generate_subscripts(ks, 1) AS p FROM k) u GROUP BY doc_id, key)
 SELECT doc_id, string_agg(key, ', ' ORDER BY place) AS schema_keys FROM f GROUP BY doc_id""")
 def schema_key_union(t: Tables):
-    described = R.json_fields(t.json_docs).where("shape = 'array' and is_head and field_name = 'schema_fields'")
+    described = R.json_fields(t.json_docs, leaves=False).where("shape = 'array' and is_head and field_name = 'schema_fields'")
     return described.select("doc_id", F.col("value").alias("schema_keys"))
 
 
