@@ -107,7 +107,9 @@ def csv_fields(parsed: DataFrame) -> DataFrame:
     cells = F.flatten(F.transform(rows, lambda row, i: F.transform(named_cells(headers, row), lambda c: csv_cell(i.cast("bigint"), c))))
     heads = bind(F.struct(csv_text(headers, rows).alias("text"), summary.alias("summary"), names.alias("names")), described)
     every = F.concat(heads.cast(f"array<{FIELD}>"), cells.cast(f"array<{FIELD}>"))
-    return parsed.select("doc_id", F.posexplode(every).alias("pos", "_f")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "_f.*")
+    # the outer form, as Spark would work out the array again to filter on its size before the other one
+    rows = parsed.select("doc_id", F.posexplode_outer(every).alias("pos", "_f")).where("pos is not null")
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "_f.*")
 
 
 def csv_cell(record: Column, cell: Column) -> Column:

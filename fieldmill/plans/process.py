@@ -126,8 +126,11 @@ def process_text(docs: DataFrame, catalogue: Catalogue, threshold: float = K.DEF
 
 
 def field_rows(processed: DataFrame) -> DataFrame:
-    """One row per field of processed documents."""
-    return processed.select("doc_id", F.inline("fields"))
+    """One row per field of processed documents.
+
+    The outer form, as Spark puts a filter on a non-empty array before the other one, and so works out all fields again for it.
+    """
+    return processed.select("doc_id", F.inline_outer("fields")).where("pos is not null")
 
 
 def structured_rows(docs: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -147,3 +147,19 @@ def test_display_values_of_null_and_repeated_keys(spark):
     fixes = spark.createDataFrame([(1, None, 5, 1), (None, "z", 5, 2)], "field_id long, corrected_value string, corrected_at long, correction_id long")
     got = sorted(((r.field_id or 0, r.corrected, r.display_value) for r in review.display_values(fields, fixes).collect()))
     assert got == [(0, False, "b"), (1, True, None), (1, True, None)]
+
+
+def test_fields_are_worked_out_once(spark):
+    from fieldmill.operators import ingest
+    from fieldmill.plans import process
+    docs = spark.createDataFrame([(1, "Invoice\nInvoice No: 7"), (2, None)], "doc_id long, raw_text string").select(
+        "*", F.lit("plain_text").alias("parser_type"), F.lit("auto_detect").alias("extraction_mode"), F.lit(None).cast("string").alias("document_type_key"))
+    done = process.process_text(docs, Catalogue.bundled())
+    rows = process.field_rows(done)
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    assert plan_of(rows).count("Deterministically extracted") == 1
+    assert rows.count() == sum(len(r.fields or []) for r in done.collect()) and rows.where("doc_id = 1").count() > 0
+    texts = spark.createDataFrame([(1, "a;b\n1;2\n"), (2, ""), (3, None)], "doc_id long, text string")
+    cells = records.csv_fields(ingest.parse_csv(texts))
+    assert plan_of(cells).count("structured_csv") == 1
+    assert sorted(r.pos for r in cells.where("doc_id = 1").collect()) == list(range(7))
