@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from fieldmill import constants as K
@@ -57,15 +59,15 @@ def first_phone(text: Column) -> Column:
     return F.regexp_extract(text, K.PHONE_FIND, 0)
 
 
-def snippet(text: Column, value: Column, width: int = 120) -> Column:
-    """Text around the first case-insensitive hit of value, else the head of the text."""
+def snippet(text: Column, value: Column, width: int = 120, low: Column | None = None) -> Column:
+    """Text around the first case-insensitive hit of value, else the head of the text. ``low``: lower-case text."""
     def cut(at):
         start = F.greatest(F.lit(0), at - 1 - width // 2)
         end = F.least(F.length(text), at - 1 + F.length(value) + width // 2)
         return F.when(at > 0, strip(F.substring(text, start + 1, end - start))).otherwise(
             F.left(text, F.lit(width)))
     at = F.when(F.coalesce(value, F.lit("")) == "", F.lit(0)).otherwise(
-        F.position(F.lower(value), F.lower(text)))
+        F.position(F.lower(value), F.lower(text) if low is None else low))
     return bind(at, cut)
 
 
@@ -74,7 +76,7 @@ def generic_fields(text: Column, parser_type: Column, low: Column | None = None)
     def token(name, value, confidence, reason):
         # value is bound once so that its pattern runs once per document
         return bind(value, lambda v: F.when(
-            v != "", field(name, v, confidence, snippet(text, v), reason)))
+            v != "", field(name, v, confidence, snippet(text, v, low=low), reason)))
     kind = classify(F.lower(text) if low is None else low, parser_type)
     head = F.left(text, F.lit(160))
     found = F.array(
@@ -158,6 +160,8 @@ def line_table(text: Column) -> Column:
 #: What stands in a line before a label, the label's first word, and what follows a label.
 FIRST_WORD = K.LABEL_PREFIX + r"([^\s_\-:=–—]+)"
 AFTER_LABEL = "^" + K.LABEL_SEPARATOR + r"(.+?)\s*$"
+#: One of them follows every label.
+SEPARATORS = [":", "=", "-", "–", "—"]
 
 
 def words_removed(body: Column, words: Column) -> Column:
@@ -193,10 +197,15 @@ def labelled_fields(text: Column, template_key: Column, labels: Column, template
                 return F.when((raw != "") & same, hit(i, line, x["order"], x["label"], raw, written))
             return bind(words_removed(body, x["words"]), end)
 
+        def fits(line, body, ls):
+            # the plain beginning settles most labels without a pattern
+            return bind(beginning(normal(body)), lambda low: F.transform(
+                F.filter(ls, lambda x: F.startswith(low, beginning(x["label"]))), lambda x: fit(line, body, x)))
+
         first = F.lower(F.regexp_extract(seg, FIRST_WORD, 1))
-        known = F.try_element_at(labels["by_word"], first)
+        known = F.when(any_of(seg, SEPARATORS), F.try_element_at(labels["by_word"], first))
         return bind(known, lambda ls: F.when(ls.isNotNull(), bind(strip(seg), lambda line: bind(
-            F.regexp_replace(line, K.LABEL_PREFIX, ""), lambda body: F.transform(ls, lambda x: fit(line, body, x))))))
+            F.regexp_replace(line, K.LABEL_PREFIX, ""), lambda body: fits(line, body, ls)))))
 
     def of_pattern(seg, i):
         def one(x, line):
@@ -233,16 +242,25 @@ def labelled_fields(text: Column, template_key: Column, labels: Column, template
     return F.coalesce(F.when(labels.isNotNull(), bind(segments(text), search)).cast(f"array<{FIELD}>"), empty)
 
 
+def any_of(text: Column, signs: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in signs])
+
+
+def beginning(low: Column) -> Column:
+    """Lower-case text to compare with the beginning of another: a sigma's form depends on what follows it."""
+    return F.replace(low, F.lit("ς"), F.lit("σ"))
+
+
 def normal(label: Column) -> Column:
     """A written label in lower case, its blanks, '_' and '-' as one blank."""
     return F.regexp_replace(F.lower(label), r"[\s_\-]+", " ")
 
 
-def with_template(item: Column, f: Column, template_key: Column) -> Column:
-    """The field struct with the template columns of template field ``f``."""
+def with_template(item: Column, f: Column, template_key: Column, name: Column | None = None) -> Column:
+    """The field struct with the template columns of template field ``f``, and another name if one is given."""
     return F.struct(
-        *[item[c].alias(c) for c in ("field_name", "value", "confidence", "snippet", "reasoning",
-                                     "auto_accept")],
+        (item["field_name"] if name is None else name).alias("field_name"),
+        *[item[c].alias(c) for c in ("value", "confidence", "snippet", "reasoning", "auto_accept")],
         f["key"].alias("standard_field_key"), template_key.alias("template_key"),
         f["data_type"].alias("data_type"), f["required"].alias("required"),
         f["rules"].alias("rules"), item["source"].alias("source"))

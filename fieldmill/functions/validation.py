@@ -23,8 +23,6 @@ def is_email(text: Column) -> Column:
 def check(value: Column, data_type: Column, required: Column, rules: Column | None = None) -> Column:
     """struct(rule, ok, detail): the first rule that applies and its verdict, each tested once."""
     rules = F.lit(None).cast(RULES) if rules is None else rules
-    text = strip(value)
-    kind = F.lower(F.coalesce(data_type, F.lit("string")))
     required = F.coalesce(required, F.lit(False))
     none = F.lit(None).cast("string")
 
@@ -35,31 +33,36 @@ def check(value: Column, data_type: Column, required: Column, rules: Column | No
     def given(listed, default):
         return F.when(F.size(listed) > 0, listed).otherwise(strings(default))
 
-    def money(amount):
-        symbol = F.exists(given(rules["currencies"], K.DEFAULT_CURRENCIES),
-                          lambda c: F.contains(F.lower(text), F.lower(c)))
-        return (amount.isNotNull()
-                & (~F.coalesce(rules["require_currency_symbol"], F.lit(False)) | symbol)
-                & (rules["min"].isNull() | (amount >= rules["min"])))
-
-    amount = parse_amount(text)
-    allowed = given(rules["allowed"], K.DEFAULT_CODES)
-    code = F.array_contains(F.transform(allowed, lambda c: F.upper(c)), F.upper(text))
-    minimum = F.coalesce(rules["min_length"], F.when(required, 1).otherwise(0))
+    def typed(text, kind):
+        def money(amount):
+            symbol = F.exists(given(rules["currencies"], K.DEFAULT_CURRENCIES),
+                              lambda c: F.contains(F.lower(text), F.lower(c)))
+            return (amount.isNotNull()
+                    & (~F.coalesce(rules["require_currency_symbol"], F.lit(False)) | symbol)
+                    & (rules["min"].isNull() | (amount >= rules["min"])))
+
+        amount = parse_amount(text)
+        allowed = given(rules["allowed"], K.DEFAULT_CODES)
+        code = F.array_contains(F.transform(allowed, lambda c: F.upper(c)), F.upper(text))
+        minimum = F.coalesce(rules["min_length"], F.when(required, 1).otherwise(0))
+        return (
+            F.when(kind == "email", result("email", is_email(text)))
+            .when(kind == "date", result("date", is_date(text)))
+            .when(kind == "currency", result("currency", bind(amount, money)))
+            .when(kind == "currency_code", result("currency_code", code, F.array_join(allowed, ", ")))
+            .when(kind == "percentage", result("percentage", amount.between(0, 100)))
+            .when(kind == "number", result("number", amount.isNotNull()))
+            .when(kind == "integer", result("integer", amount == F.floor(amount)))
+            .when(F.length(text) < minimum, result("string_min_length", False, minimum.cast("string")))
+            .when((F.coalesce(rules["pattern"], F.lit("")) != "") & ~F.rlike(text, rules["pattern"]),
+                  result("regex", False))
+            .otherwise(result("string", True)))
+
     blank = is_blank(value)
     return (
         F.when(blank & required, result("required", False)).when(blank, result("optional_empty", True))
-        .when(kind == "email", result("email", is_email(text)))
-        .when(kind == "date", result("date", is_date(text)))
-        .when(kind == "currency", result("currency", money(amount)))
-        .when(kind == "currency_code", result("currency_code", code, F.array_join(allowed, ", ")))
-        .when(kind == "percentage", result("percentage", amount.between(0, 100)))
-        .when(kind == "number", result("number", amount.isNotNull()))
-        .when(kind == "integer", result("integer", amount == F.floor(amount)))
-        .when(F.length(text) < minimum, result("string_min_length", False, minimum.cast("string")))
-        .when((F.coalesce(rules["pattern"], F.lit("")) != "") & ~F.rlike(text, rules["pattern"]),
-              result("regex", False))
-        .otherwise(result("string", True)))
+        .otherwise(bind(strip(value), lambda text: bind(
+            F.lower(F.coalesce(data_type, F.lit("string"))), lambda kind: typed(text, kind)))))
 
 
 def explain(checked: Column, name: Column) -> Column:

@@ -42,8 +42,7 @@ def enforce(fields: Column, template_key: Column, template_name: Column, templat
         hits = F.transform(F.filter(tagged, lambda x: x["order"] == t["order"]), lambda x: F.struct(
             x["f"]["confidence"].alias("c"), (-x["i"]).alias("back"), x["f"].alias("f")))
         return bind(F.array_max(hits), lambda best: F.when(
-            best.isNotNull(), with_template(best["f"].withField("field_name", t["key"]), t, template_key)
-            .cast(FIELD)).when(t["required"], absent(t).cast(FIELD)))
+            best.isNotNull(), with_template(best["f"], t, template_key, t["key"]).cast(FIELD)).when(t["required"], absent(t).cast(FIELD)))
 
     def suggestion(x):
         safe = F.coalesce(F.nullif(normalize_key(x["f"]["field_name"]), F.lit("")), F.lit("unknown_field"))
