@@ -478,38 +478,69 @@ def processing_audit(runs: DataFrame, threshold: float = K.DEFAULT_THRESHOLD) ->
 
 # --- briefings -------------------------------------------------------------------------------
 
+#: Documents with more fields than this have their lists limited before the shuffle.
+CROWDED = 2_000
+
+
+def _flag_totals() -> list[Column]:
+    """Counts and average of flagged fields, as aggregates."""
+    return [F.count(F.lit(1)).alias("n"), F.count_if("_missing").alias("n_missing"), F.count_if("_invalid").alias("n_invalid"),
+            F.count_if("_low").alias("n_low"), mean("confidence", 3).alias("avg_confidence")]
+
+
+_FLAGS = {"missing": "_missing", "failures": "_invalid", "low": "_low"}
+
+
+def _said(kind: str) -> Column:
+    return F.concat("field_name", F.lit(": "), "_message") if kind == "failures" else F.col("field_name")
+
+
+def _gathered(flagged: DataFrame, listed: int) -> DataFrame:
+    """Totals and lists of documents with few fields: the fields are shuffled once and met in one aggregate, nothing is ranked."""
+    # dealt out first: few fields of a document are in one task before the shuffle, so that an aggregate there only costs
+    lists = [F.collect_list(F.when(F.col(flag), F.struct("pos", _said(kind).alias("said")))).alias(kind)
+             for kind, flag in _FLAGS.items()]
+    found = flagged.repartition("doc_id").groupBy("doc_id").agg(*_flag_totals(), *lists)
+    for kind in _FLAGS:
+        found = found.withColumn(kind, F.transform(F.slice(F.sort_array(kind), 1, listed), lambda x: x["said"]))
+    return found
+
+
+def _limited(flagged: DataFrame, listed: int) -> DataFrame:
+    """Totals and lists of documents of any size: both are reduced before the shuffle, lists by ranks."""
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(flag).alias("_on"), _said(kind).alias("said"))
+                      for kind, flag in _FLAGS.items()])
+    top = flagged.select("doc_id", "pos", F.inline(kinds)).filter("_on").withColumn("_rn", F.row_number().over(
+        Window.partitionBy("doc_id", "kind").orderBy("pos", "said"))).filter(F.col("_rn") <= listed)
+    lists = top.groupBy("doc_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(
+        F.col("kind") == kind, F.struct("_rn", "said")))), lambda x: x["said"]).alias(kind) for kind in _FLAGS])
+    return flagged.groupBy("doc_id").agg(*_flag_totals()).join(lists, "doc_id", "left")
+
+
 def briefings(documents: DataFrame, fields: DataFrame, threshold: float = K.DEFAULT_THRESHOLD,
               listed: int = 12, reason: str = K.BRIEFING["default_reason"],
-              use_validation: bool = True) -> DataFrame:
+              use_validation: bool = True, crowded: int = CROWDED) -> DataFrame:
     """Reviewer briefing per document.
 
     ``documents``: doc_id, filename, document_type_label, document_type_key, strategy. ``fields``: doc_id, pos,
     field_name, value, required, confidence, validation_status, validation_message. At most
-    ``listed`` names of a kind are gathered per document (limited before the shuffle too); counts
-    and the average cover all rows. ``use_validation=False`` leaves validation results out.
+    ``listed`` names of a kind are gathered per document; counts and the average cover all rows. Documents of more than
+    ``crowded`` fields are counted first and limited before the shuffle. ``use_validation=False`` leaves validation results out.
     """
     say = K.BRIEFING
-    missing = F.col("required") & is_blank(F.col("value"))
     invalid = (F.col("validation_status") == "invalid") & F.lit(use_validation)
-    low = R.low_confidence(F.col("confidence"), threshold)
-    totals = fields.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(missing).alias("n_missing"),
-        F.count_if(invalid).alias("n_invalid"), F.count_if(low).alias("n_low"),
-        mean("confidence", 3).alias("avg_confidence"))
-    kinds = F.array_compact(F.array(
-        F.when(missing, F.struct(F.lit("m").alias("kind"), F.col("field_name").alias("said"))),
-        F.when(invalid, F.struct(F.lit("v").alias("kind"), F.concat(
-            "field_name", F.lit(": "), "validation_message").alias("said"))),
-        F.when(low, F.struct(F.lit("l").alias("kind"), F.col("field_name").alias("said")))))
-    flagged = fields.select("doc_id", "pos", F.explode(kinds).alias("_k")).select("doc_id", "pos", "_k.*")
-    top = flagged.withColumn("_rn", F.row_number().over(
-        Window.partitionBy("doc_id", "kind").orderBy("pos", "said"))).filter(F.col("_rn") <= listed)
-    pick = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(
-        F.col("kind") == kind, F.struct("_rn", "said")))), lambda x: x["said"])
-    lists = top.groupBy("doc_id").agg(pick("m").alias("missing"), pick("v").alias("failures"),
-                                      pick("l").alias("low"))
+    # a field without a document meets none; a message is said of invalid fields only
+    flagged = fields.filter(F.col("doc_id").isNotNull()).select(
+        "doc_id", "pos", "field_name", "confidence", F.when(invalid, F.col("validation_message")).alias("_message"),
+        (F.col("required") & is_blank(F.col("value"))).alias("_missing"), invalid.alias("_invalid"),
+        R.low_confidence(F.col("confidence"), threshold).alias("_low"))
+    # at most one in ``crowded`` rows is a key here
+    hot = F.broadcast(fields.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded).select("doc_id"))
+    found = lambda rows, name: rows.select("doc_id", F.struct(*[c for c in rows.columns if c != "doc_id"]).alias(name))
     none = F.array().cast("array<string>")
-    d = (documents.join(totals, "doc_id", "left").join(lists, "doc_id", "left")
+    d = (documents.join(found(_gathered(flagged.join(hot, "doc_id", "left_anti"), listed), "_few"), "doc_id", "left")
+         .join(found(_limited(flagged.join(hot, "doc_id", "left_semi"), listed), "_many"), "doc_id", "left")
+         .withColumn("_found", F.coalesce("_few", "_many")).select(*documents.columns, "_found.*")
          .fillna(0, ["n", "n_missing", "n_invalid", "n_low"]).fillna(0.0, ["avg_confidence"]))
     for c in ("missing", "failures", "low"):
         d = d.withColumn(c, F.coalesce(c, none))

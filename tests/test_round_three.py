@@ -163,3 +163,40 @@ def test_fields_are_worked_out_once(spark):
     cells = records.csv_fields(ingest.parse_csv(texts))
     assert plan_of(cells).count("structured_csv") == 1
     assert sorted(r.pos for r in cells.where("doc_id = 1").collect()) == list(range(7))
+
+
+def test_briefings_rank_only_the_fields_of_crowded_documents(spark):
+    docs = spark.createDataFrame([(1, "a.txt"), (2, None), (3, "c"), (1, "again"), (None, "n")], "doc_id long, filename string").select(
+        "*", F.lit("T").alias("document_type_label"), F.lit("deterministic").alias("strategy"))
+    names = ["Total", "Total 2", None, "a", "a1"]
+    # two fields at each place and some without one, so that names and messages decide: `a` < `a1`, but `a1: x` < `a: x`
+    fields = [(doc, None if i == 7 else i // 2, names[i % 5], [None, "", "v"][i % 3], [True, False, None][i % 4 % 3],
+               [0.2, None, 0.9, 0.123456][i % 4], ["invalid", "valid", None][i % 7 % 3], [None, "y", "x"][i % 3])
+              for doc, n in ((1, 60), (2, 9), (None, 30), (77, 4)) for i in range(n)]
+    rows = spark.createDataFrame(fields, "doc_id long, pos long, field_name string, value string, required boolean, confidence double, "
+                                         "validation_status string, validation_message string")
+
+    def said(doc, kind):
+        low_first = lambda x: (x is not None, x)
+        of = [f for f in fields if f[0] == doc is not None]
+        if kind == "v":
+            found = [(f[1], None if None in (f[2], f[7]) else f"{f[2]}: {f[7]}") for f in of if f[6] == "invalid"]
+        else:
+            found = [(f[1], f[2]) for f in of if (f[4] and not f[3] if kind == "m" else (f[5] or 0.0) < 0.8)]
+        return [x for _, x in sorted(found, key=lambda f: [low_first(x) for x in f])][:12]
+
+    def issues(doc):
+        joined = [head + ", ".join(x for x in said(doc, kind) if x is not None) for kind, head in (
+            ("m", "Missing required fields: "), ("l", "Low-confidence fields require review: ")) if said(doc, kind)]
+        none = [] if any(f[0] == doc is not None for f in fields) else ["No extracted fields were produced for this document."]
+        return joined[:-1] + said(doc, "v") + joined[-1:] + none
+
+    ordered = lambda df: sorted(map(str, df.collect()))
+    few = review.briefings(docs, rows)
+    assert {r.doc_id: r.issues for r in few.collect()} == {doc: issues(doc) for doc in (1, 2, 3, None)}
+    for crowded in (0, 9, 59, 60):
+        assert ordered(review.briefings(docs, rows, crowded=crowded)) == ordered(few)
+    # no document is crowded: what ran has no window, and the fields went through one exchange, as they are, and one of counts
+    assert "Window" in plan_of(few).split("== Initial Plan ==")[-1]
+    ran = plan_of(few).split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in ran and "Window" not in ran and "REPARTITION_BY_COL" in ran
