@@ -3,7 +3,8 @@
 Queries and candidates are dealt into blocks; every pair of blocks is one row of work that scores all its pairs in numpy.
 No score is kept: round by round the blocks count, per query, how many scores fall into each bin of the interval that
 still can hold the k-th highest; the counts are summed over all blocks, and the interval shrinks to one bin, until the
-k-th highest score itself is known. A last pass keeps the scores above it and, of those equal to it, the smallest
+k-th highest score itself is known. The first interval starts at the highest k-th score that one block alone has: no block has k scores
+above it, so a block counts at most k bins a query, however wide the scores spread. A last pass keeps the scores above it and, of those equal to it, the smallest
 candidate ids that each block needs.
 
 Vectors become floor(scale * x) as integers. Vectors that are null or empty, or hold null or non-finite components, take no part, nor do rows
@@ -75,15 +76,16 @@ def matrix(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def pairs(queries: DataFrame, candidates: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Every query block with every candidate block of its length. Each side is repeated for the block numbers of the other
-    and both meet on the pair of numbers: even work, nothing broadcast."""
-    numbers = lambda side, name: side.groupBy("dim").agg(F.max("blk").alias(name))
+    and both meet on the pair of numbers: even work. Only the numbers are broadcast, one a length: Spark takes a repeated side for as
+    small as its table, and would bring all repeats of the queries to the driver."""
+    numbers = lambda side, name: F.broadcast(side.groupBy("dim").agg(F.max("blk").alias(name)))
     sided = lambda side, s: [F.col(c).alias(s + c) for c in ("n", "ids", "rows", "kind", "data")]
     upto = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name)))
     left = queries.join(numbers(candidates, "_last"), "dim").select(
         "dim", F.col("blk").alias("qblk"), *sided(queries, "q"), *extra, upto("_last").alias("cblk"))
     right = candidates.join(numbers(queries, "_last"), "dim").select(
         "dim", F.col("blk").alias("cblk"), *sided(candidates, "c"), upto("_last").alias("qblk"))
-    return left.join(right, ["dim", "qblk", "cblk"])
+    return left.join(right.hint("merge"), ["dim", "qblk", "cblk"])
 
 
 def scored(work: DataFrame, function, schema: str) -> DataFrame:
@@ -101,8 +103,14 @@ def scored(work: DataFrame, function, schema: str) -> DataFrame:
     return work.mapInArrow(run, schema)
 
 
-def span(queries, cids, s, own, row):
-    return queries, np.where(own, LIMIT, s).min(1), np.where(own, -LIMIT, s).max(1), (~own).sum(1)
+def span(k: int):
+    """For `scored`: the lowest and the highest score of a query in a block, the k-th highest (-LIMIT: fewer), and their number."""
+    def measure(queries, cids, s, own, row):
+        others = np.where(own, -LIMIT, s)
+        at = others.shape[1] - k
+        kth = np.partition(others, at, 1)[:, at] if at >= 0 else np.full(len(queries), -LIMIT)
+        return queries, np.where(own, LIMIT, s).min(1), others.max(1), kth, (~own).sum(1)
+    return measure
 
 
 def width_of(low, high):
@@ -112,9 +120,8 @@ def width_of(low, high):
 
 def histogram(queries, cids, s, own, row):
     low, high = np.frombuffer(row["lows"], "<i8")[:, None], np.frombuffer(row["highs"], "<i8")[:, None]
-    inside = ~own & (s >= low) & (s <= high) & (low < high)
-    at = (np.arange(len(queries))[:, None] * BINS + (s - low) // width_of(low, high))[inside]
-    found, n = np.unique(at, return_counts=True)
+    q, c = np.nonzero(~own & (s >= low) & (s <= high) & (low < high))
+    found, n = np.unique(q * BINS + (s[q, c] - low[q, 0]) // width_of(low, high)[q, 0], return_counts=True)
     return queries[found // BINS], found % BINS, n
 
 
@@ -162,8 +169,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_co
     vectors = stored(sound_vectors(rows, id_column, vector), "topk-vectors")
     candidates = stored(blocks(vectors, CANDIDATE_ROWS, scale), "topk-candidates")
     queries = stored(blocks(vectors.where(is_query), QUERY_ROWS, scale), "topk-queries")
-    found = scored(pairs(queries, candidates), span, "query long, low long, high long, m long").where("m > 0")
-    state = found.groupBy("query").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("m").alias("m"))
+    found = scored(pairs(queries, candidates), span(k), "query long, low long, high long, kth long, m long").where("m > 0")
+    state = found.groupBy("query").agg(F.greatest(F.min("low"), F.max("kth")).alias("low"), F.max("high").alias("high"), F.sum("m").alias("m"))
     # want: which of the scores in the interval, from the top, is the k-th highest
     state = stored(state.select("query", "low", "high", F.least(F.lit(k), "m").cast("long").alias("want")), "topk-state")
     while state.agg(F.coalesce(F.max(F.col("high") - F.col("low")), F.lit(0)).alias("w")).first()["w"] > 0:
