@@ -104,32 +104,46 @@ def document_view(documents: DataFrame, fields: DataFrame, corrections: DataFram
 
     Nested lists are paged: ``page`` 0 holds the first ``page_size`` children of each kind, and a
     document with more children comes as several rows, so no list outgrows a task. Nothing is cut.
+    Only children of documents with more than one page are ranked; all others are dealt out once, by document.
     """
     def paged(df, keys, order, kind):
-        return row_index(df, keys, F.floor(F.col(order) / 100_000), [order], f"_{kind}_pos").withColumn(
-            "page", F.floor(F.col(f"_{kind}_pos") / page_size))
+        first = order[0] if isinstance(order, list) else order
+        return row_index(df, keys, F.floor(F.col(first) / 100_000), order if isinstance(order, list) else [order], f"_{kind}_pos").withColumn(
+            "page", F.floor(F.col(f"_{kind}_pos") / page_size)).drop(f"_{kind}_pos")
 
     def nested(df, keys, order, item, name):
-        return df.groupBy(*keys, "page").agg(F.transform(F.array_sort(F.collect_list(F.struct(
-            F.col(order).alias("_o"), item.alias("item")))), lambda x: x["item"]).alias(name))
+        # dealt out as rows: lists begun before the shuffle would be sorted, and spilled, there, and drop nothing
+        return df.repartition(*keys, "page").groupBy(*keys, "page").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+            order.alias("_o"), item.alias("item")))), lambda x: x["item"]).alias(name))
 
-    def last_page(df):
-        return df.groupBy("doc_id").agg(F.floor((F.count(F.lit(1)) - 1) / page_size).alias("_last"))
+    def sizes(df):
+        return df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
 
+    def by_document(df, order, kind):
+        """Every child with its page. A child without a document meets none."""
+        # at most one in ``page_size`` rows is a key here
+        hot = F.broadcast(sizes(df).where(F.col("_n") > page_size).select("doc_id"))
+        few = df.join(hot, "doc_id", "left_anti").withColumn("page", F.lit(0).cast("bigint"))
+        return few.unionByName(paged(df.join(hot, "doc_id", "left_semi"), ["doc_id"], order, kind))
+
+    owned = lambda df, *names: df.where("doc_id is not null").select("doc_id", *names)
     # written first, so that its real size decides: where few fields were corrected, no field is shuffled for it
-    history = stored(nested(paged(corrections, ["field_id"], "correction_id", "c"), ["field_id"], "correction_id",
+    history = stored(nested(paged(corrections, ["field_id"], "correction_id", "c"), ["field_id"], F.col("correction_id"),
                             F.struct("correction_id", "old_value", "corrected_value", "corrected_by"), "corrections"), "histories")
-    rows = fields.join(history, "field_id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
-    last = last_page(rows).unionByName(last_page(jobs)).unionByName(last_page(briefings)).groupBy("doc_id").agg(F.max("_last").alias("_last"))
-    rows = rows.withColumn("_order", F.struct("field_id", F.col("page").alias("correction_page")))
-    rows = row_index(rows.drop("page"), ["doc_id"], F.floor(F.col("field_id") / 100_000), ["_order"], "_pos")
-    rows = rows.withColumn("page", F.floor(F.col("_pos") / page_size))
-    field_pages = nested(rows, ["doc_id"], "_order", F.struct(
+    corrected = stored(history.select("field_id").distinct(), "corrected-fields")
+    shown = owned(fields, "field_id", "field_name", "extracted_value", "confidence", "accepted", "needs_review")
+    rows = shown.join(corrected, "field_id", "left_semi").join(history, "field_id").withColumnRenamed("page", "_correction_page")
+    plain = shown.join(corrected, "field_id", "left_anti")
+    rows = rows.unionByName(plain.withColumn("_correction_page", F.lit(0).cast("bigint")), allowMissingColumns=True)
+    jobs, briefings = owned(jobs, "job_id", "status", "attempts"), owned(briefings, "briefing_id", "summary")
+    last = [sizes(x).select("doc_id", F.floor((F.col("_n") - 1) / page_size).alias("_last")) for x in (rows, jobs, briefings)]
+    last = last[0].unionByName(last[1]).unionByName(last[2]).groupBy("doc_id").agg(F.max("_last").alias("_last"))
+    field_pages = nested(by_document(rows, ["field_id", "_correction_page"], "f"), ["doc_id"], F.struct("field_id", "_correction_page"), F.struct(
         "field_id", "field_name", "extracted_value", "confidence", "accepted", "needs_review",
         "corrections"), "fields")
-    job_pages = nested(paged(jobs, ["doc_id"], "job_id", "j"), ["doc_id"], "job_id",
+    job_pages = nested(by_document(jobs, "job_id", "j"), ["doc_id"], F.col("job_id"),
                        F.struct("job_id", "status", "attempts"), "jobs")
-    briefing_pages = nested(paged(briefings, ["doc_id"], "briefing_id", "b"), ["doc_id"], "briefing_id",
+    briefing_pages = nested(by_document(briefings, "briefing_id", "b"), ["doc_id"], F.col("briefing_id"),
                             F.struct("briefing_id", "summary"), "briefings")
     # the pages of each document are known beforehand, so that the lists meet them where they were gathered, by document and page
     pages = documents.join(last.hint("merge"), "doc_id", "left").withColumn(
