@@ -92,12 +92,12 @@ def csv_rows(text: Column, separator: Column) -> Column:
     return bind(separator, rows)
 
 
-def parse_csv(uploads: DataFrame) -> DataFrame:
-    """CSV documents (doc_id, text) -> doc_id, headers, rows (array of cell arrays)."""
+def parse_csv(uploads: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """CSV documents (doc_id, text, and columns to carry along) -> doc_id, the carried, headers, rows (array of cell arrays)."""
     text = F.regexp_replace(F.col("text"), BOM, "")
-    grid = uploads.select("doc_id", csv_rows(text, sniff_separator(text)).alias("grid"))
+    grid = uploads.select("doc_id", *carry, csv_rows(text, sniff_separator(text)).alias("grid"))
     return grid.select(
-        "doc_id", F.coalesce(F.get("grid", F.lit(0)), F.array().cast("array<string>")).alias("headers"),
+        "doc_id", *carry, F.coalesce(F.get("grid", F.lit(0)), F.array().cast("array<string>")).alias("headers"),
         F.slice("grid", F.lit(2), F.greatest(F.size("grid") - 1, F.lit(0))).alias("rows"))
 
 

@@ -88,7 +88,7 @@ def csv_text(headers: Column, rows: Column, preview_rows: int = 10) -> Column:
 def csv_fields(parsed: DataFrame) -> DataFrame:
     """Parsed CSV documents (doc_id, headers, rows) -> doc_id, pos, field columns: the describing rows, then every cell as written.
 
-    All of it happens in the document's row; records_to_fields and dataset_summary do the same for records in rows of their own.
+    Other columns are carried along. All of it happens in the document's row; records_to_fields and dataset_summary do the same for records in rows of their own.
     """
     headers, rows = F.col("headers"), F.col("rows")
     keys = F.when(F.size(rows) > 0, F.concat(headers, F.when(
@@ -108,8 +108,9 @@ def csv_fields(parsed: DataFrame) -> DataFrame:
     heads = bind(F.struct(csv_text(headers, rows).alias("text"), summary.alias("summary"), names.alias("names")), described)
     every = F.concat(heads.cast(f"array<{FIELD}>"), cells.cast(f"array<{FIELD}>"))
     # the outer form, as Spark would work out the array again to filter on its size before the other one
-    rows = parsed.select("doc_id", F.posexplode_outer(every).alias("pos", "_f")).where("pos is not null")
-    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "_f.*")
+    carry = [c for c in parsed.columns if c not in ("doc_id", "headers", "rows")]
+    rows = parsed.select("doc_id", *carry, F.posexplode_outer(every).alias("pos", "_f")).where("pos is not null")
+    return rows.select("doc_id", *carry, F.col("pos").cast("bigint").alias("pos"), "_f.*")
 
 
 def csv_cell(record: Column, cell: Column) -> Column:
@@ -195,8 +196,8 @@ def leaf_rows(value: object, max_depth: int | None) -> Iterator[tuple]:
                 yield name if path == key or not isinstance(child, dict | list) else f"{name}.{path}", leaf, 1.0, None, LEAF
 
 
-def json_fields(docs: DataFrame, max_depth: int | None = None, leaves: bool = True) -> DataFrame:
-    """JSON documents (doc_id, text) -> field rows: doc_id, shape, is_head, pos, and the field columns.
+def json_fields(docs: DataFrame, max_depth: int | None = None, leaves: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """JSON documents (doc_id, text, and columns to carry along) -> field rows: doc_id, the carried, shape, is_head, pos, and the field columns.
 
     pos numbers the rows of a document as they are written, the describing rows first. A text that is not one JSON value has
     one row without shape, pos and field. One parse a document, no shuffle; a document's rows leave in batches. Without ``leaves``
@@ -219,17 +220,17 @@ def json_fields(docs: DataFrame, max_depth: int | None = None, leaves: bool = Tr
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = (row for i, text in enumerate(batch.column("text").to_pylist()) for row in rows_of(i, text))
-            yield from spread(batch, ["doc_id"], every, schema)
+            yield from spread(batch, ["doc_id", *carry], every, schema)
 
     kinds = [StringType(), BooleanType(), LongType(), StringType(), StringType(), DoubleType(), StringType(), IntegerType()]
-    found = docs.select("doc_id", "text").mapInArrow(read, StructType(
-        [docs.schema["doc_id"], *[StructField(f.name, kind) for f, kind in zip(schema, kinds, strict=True)]]))
+    found = docs.select("doc_id", *carry, "text").mapInArrow(read, StructType(
+        [docs.schema["doc_id"], *[docs.schema[c] for c in carry], *[StructField(f.name, kind) for f, kind in zip(schema, kinds, strict=True)]]))
     snippet = F.coalesce("snippet", F.left(F.concat("name", F.lit(": "), "value"), F.lit(500)))
     path = F.when(~F.col("is_head"), F.col("name"))
     item = field(F.col("name"), F.col("value"), F.col("confidence"), snippet, F.get(strings(WHY), F.col("why")), True,
                  F.when(path.isNotNull(), source_span(json_path=path)))
-    return found.select("doc_id", "shape", "is_head", "pos", F.when(F.col("shape").isNotNull(), item).alias("_f")).select(
-        "doc_id", "shape", "is_head", "pos", "_f.*")
+    return found.select("doc_id", *carry, "shape", "is_head", "pos", F.when(F.col("shape").isNotNull(), item).alias("_f")).select(
+        "doc_id", *carry, "shape", "is_head", "pos", "_f.*")
 
 
 def _of_shape(docs: DataFrame, max_depth: int | None, *which: str, heads: bool = True) -> DataFrame:

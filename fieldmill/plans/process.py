@@ -132,13 +132,13 @@ def field_rows(processed: DataFrame) -> DataFrame:
     return processed.select("doc_id", F.inline_outer("fields")).where("pos is not null")
 
 
-def structured_rows(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
+def structured_rows(docs: DataFrame, max_depth: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Raw field rows of CSV and JSON documents (doc_id, text, parser_type), pos as written; no shuffle, one parse a document.
 
-    A JSON text that is refused has one row without field_name.
+    Every row of a document has its columns in ``carry``. A JSON text that is refused has one row without field_name.
     """
-    csv = records.csv_fields(ingest.parse_csv(docs.filter("parser_type = 'csv'")))
-    return csv.unionByName(records.json_fields(docs.filter("parser_type = 'json'"), max_depth).drop("shape", "is_head"))
+    csv = records.csv_fields(ingest.parse_csv(docs.filter("parser_type = 'csv'"), carry))
+    return csv.unionByName(records.json_fields(docs.filter("parser_type = 'json'"), max_depth, carry=carry).drop("shape", "is_head"))
 
 
 def structured_fields(docs: DataFrame, catalogue: Catalogue, threshold: float = K.DEFAULT_THRESHOLD,
@@ -148,14 +148,14 @@ def structured_fields(docs: DataFrame, catalogue: Catalogue, threshold: float =
     A template applies only where the document names one that exists; only the rows of such documents are shuffled. Ties between two
     aliases of one field go to the one written first. Adds doc_template and the sort columns of template order (ORDER_BY).
     """
-    asked = docs.select("doc_id", F.col("document_type_key").alias("doc_template")).where("doc_template is not null")
-    known = asked.where(F.col("doc_template").isin([t.key for t in catalogue.templates]))
-    free = docs.where(F.coalesce(~F.col("document_type_key").isin([t.key for t in catalogue.templates]), F.lit(True)))
-    ruled = structured_rows(docs.where(F.col("document_type_key").isin([t.key for t in catalogue.templates])), max_depth)
-    refused = ruled.where("field_name is null").withColumn("doc_template", F.lit(None).cast("string"))
-    named = apply_template(ruled.where("field_name is not null").join(known, "doc_id"), catalogue)
+    known = F.col("document_type_key").isin([t.key for t in catalogue.templates])
+    free = docs.where(F.coalesce(~known, F.lit(True)))
+    # the rows bring their document's template along and never look for it; a refused document has none
+    ruled = structured_rows(docs.where(known).withColumn("doc_template", F.col("document_type_key")), max_depth, ("doc_template",))
+    ruled = ruled.where("field_name is null or doc_id is not null").withColumn(
+        "doc_template", F.when(F.col("field_name").isNotNull(), F.col("doc_template")))
     rows = structured_rows(free, max_depth).withColumn("doc_template", F.lit(None).cast("string"))
-    rows = rows.unionByName(refused).unionByName(named)
+    rows = rows.unionByName(apply_template(ruled, catalogue))
     return order_columns(decide(validate_fields(rows), threshold), catalogue)
 
 
