@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldmill.catalogue import Catalogue
 from fieldmill.llm import topk
 from fieldmill.operators import analytics
+from fieldmill.operators.templates import match_fields
 from fieldmill.plans.process import structured_fields
 
 
@@ -94,3 +95,15 @@ def test_rows_bring_their_template_along(spark):
     assert [r.field_name for r in done if r.doc_id in (2, None)] == [None, None]
     named = {(r.doc_id, r.field_name): r.value for r in done if r.standard_field_key == "supplier_name"}
     assert named == {(1, "supplier_name"): "A", (3, "records[0].supplier_name"): "B"}
+
+
+def test_names_are_looked_up_by_hash(spark):
+    rows = spark.createDataFrame(
+        [(1, "Supplier", "finance_invoice"), (2, "records[3].Vendor", "finance_invoice"), (3, "a.b.Invoice No", "finance_invoice"), (4, "records_2_vendor", "finance_invoice"),
+         (5, "unheard of", "finance_invoice"), (6, None, "finance_invoice"), (7, "Supplier", "own_kind"), (8, "Supplier", None)],
+        "doc_id long, field_name string, doc_template string")
+    done = match_fields(rows, Catalogue.bundled())
+    assert done.columns == ["doc_template", "doc_id", "field_name", "template_name", "match"] and "element_at" not in plan_of(done, "optimizedPlan")
+    got = {r.doc_id: (r.template_name is not None, r.match and r.match.key) for r in done.collect()}
+    assert got == {1: (True, "supplier_name"), 2: (True, "supplier_name"), 3: (True, "invoice_number"), 4: (True, "supplier_name"),
+                   5: (True, None), 6: (True, None), 7: (False, None), 8: (False, None)}
